@@ -49,7 +49,7 @@ _VERSIONS = r"""
 with t as (
   select cluster_id,
     case when regexp_matches(fetched_at, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}')
-      then cast(epoch(cast(substr(fetched_at, 1, 10) || ' ' || substr(fetched_at, 12, 8) as timestamp)) as bigint)
+      then cast(epoch(try_cast(substr(fetched_at, 1, 10) || ' ' || substr(fetched_at, 12, 8) as timestamp)) as bigint)
         - case when regexp_matches(fetched_at, '[+-]\d{2}:\d{2}$')
             then (case when substr(fetched_at, -6, 1) = '-' then -1 else 1 end)
               * (cast(substr(fetched_at, -5, 2) as bigint) * 3600 + cast(substr(fetched_at, -2, 2) as bigint) * 60)
