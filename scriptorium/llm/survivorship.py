@@ -23,26 +23,36 @@ from ..functions.times import iso_seconds
 #: Marks of damage in a text: cut marks, tags in front, entities, broken encoding, doubled spaces.
 DAMAGE = r"(?s)(…|\.\.\.)\s*$|^\s*(…|\.\.\.)|^\s*\[[^\]]{1,12}\]|&#?\w{1,8};|&#?\w{0,7}$|[\x{FFFD}]|Ã.|â€|<[^>]{0,20}>|<\w{0,3}$|\s{2,}|^\s|\s$|[\x{200B}\x{AD}]"
 
+#: What is no part of a text although it stands in it: tags in front, cut marks, markup, outer white space.
+REPAIRABLE = r"(?s)^(\s*\[[^\]]{1,12}\])+\s*|\s*(…|\.\.\.)\s*$|<[^>]{0,20}>|^\s+|\s+$"
+#: Characters by which a damaged text may seem longer than the text it was.
+SLACK = 3
+
 
 @dataclass(frozen=True)
 class Rule:
     """How the survivor of one field is found.
 
     ``usable``: which values may survive; ``priority``: higher is better;
-    ``by_time``: the latest dated row decides (undated rows don't count).
+    ``by_time``: the latest dated row decides (undated rows don't count);
+    ``reach``: what every value of the group, usable or not, shows the priority
+    of the whole value to be; a survivor that falls short of it is incomplete.
     """
 
     field: str
     usable: Column
     priority: Column
     by_time: bool = False
+    reach: Column | None = None
 
 
 def text_rule(field: str) -> Rule:
     """The complete and undamaged text: no mark of damage, not all capitals, then the longest."""
     v = F.col(field)
     shouting = (v == F.upper(v)) & (v != F.lower(v)) & (F.length(v) > 8)
-    return Rule(field, F.coalesce(v.rlike(r"\S") & ~v.rlike(DAMAGE) & ~shouting, F.lit(False)), F.length(v).cast("long"))
+    mended = F.regexp_replace(F.regexp_replace(v, REPAIRABLE, ""), r"&#?\w{1,8};|â€.|Ã.|\s+", "_")
+    whole = F.length(mended).cast("long") - SLACK
+    return Rule(field, F.coalesce(v.rlike(r"\S") & ~v.rlike(DAMAGE) & ~shouting, F.lit(False)), F.length(v).cast("long"), reach=whole)
 
 
 def present_rule(field: str) -> Rule:
@@ -72,6 +82,7 @@ def survivors(df: DataFrame, key: str = "cluster_id", row_id: str = "obs_id", at
                 F.col(r.field).cast("string").alias("value"),
                 (r.usable & (F.col("__at").isNotNull() if r.by_time else F.lit(True))).alias("usable"),
                 F.when(r.usable, r.priority).alias("priority"),
+                (r.reach if r.reach is not None else F.lit(0).cast("long")).alias("reach"),
                 (F.when(r.usable, F.col("__at")) if r.by_time else F.lit(None).cast("long")).alias("at"),
             )
             for r in rules
@@ -80,11 +91,11 @@ def survivors(df: DataFrame, key: str = "cluster_id", row_id: str = "obs_id", at
     rows = df.where(F.col(key).isNotNull()).withColumn("__at", at)
     cell = rows.select(F.col(key), F.col(row_id), F.inline(cells))
     values = cell.groupBy(key, "field", "value").agg(
-        F.max("usable").alias("usable"), F.max("priority").alias("priority"), F.max("at").alias("at"), F.min(row_id).alias(row_id), F.count(F.lit(1)).alias("support")
+        F.max("usable").alias("usable"), F.max("priority").alias("priority"), F.max("reach").alias("reach"), F.max("at").alias("at"), F.min(row_id).alias(row_id), F.count(F.lit(1)).alias("support")
     )
     best = F.max(F.struct("usable", "priority", "at", "support", "value", row_id)).alias("best")
-    out = values.groupBy(key, "field").agg(best, F.count(F.lit(1)).alias("n_values"))
-    out = out.where("best.usable")
+    out = values.groupBy(key, "field").agg(best, F.count(F.lit(1)).alias("n_values"), F.max("reach").alias("reach"))
+    out = out.where("best.usable and best.priority >= reach")
     return out.select(key, "field", F.col("best.value").alias("value"), F.col(f"best.{row_id}").alias(row_id), "n_values", F.col("best.support").alias("support"))
 
 
