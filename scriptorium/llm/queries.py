@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .survivorship import disputed_survivors, survivor_records
 from .topn import top_n
+from .truncation import cut_values, host, truncation_report
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -26,7 +27,16 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_n(r, "query", "cluster_id", "cited_by_count", 5).select("query", "cluster_id", "place")
 
 
-QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    v = cut_values(read(spark, sf, "scholar_results"))
+    return v.where("cut_begin or cut_end").select("obs_id", "field")
+
+
+def p7_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation_report(read(spark, sf, "scholar_results"), source=host(F.col("link")))
+
+
+QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p7_found": p7_found, "p7_sources": p7_sources}
 
 ORACLES = {
     "p5_found": """
