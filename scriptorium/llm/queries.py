@@ -9,6 +9,8 @@ from .survivorship import disputed_survivors, survivor_records
 from .topn import top_n
 from .truncation import cut_values, host, truncation_report
 
+from .venues import map_venues
+
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
@@ -27,6 +29,16 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_n(r, "query", "cluster_id", "cited_by_count", 5).select("query", "cluster_id", "place")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return map_venues(read(spark, sf, "scholar_results"), read(spark, sf, "venue_list")).select("obs_id", "venue_id")
+
+
+def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each value that means no entry is typed."""
+    m = map_venues(read(spark, sf, "scholar_results"), read(spark, sf, "venue_list"))
+    return m.where("venue_id = 0").groupBy("venue").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     v = cut_values(read(spark, sf, "scholar_results"))
     return v.where("cut_begin or cut_end").select("obs_id", "field")
@@ -36,7 +48,7 @@ def p7_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation_report(read(spark, sf, "scholar_results"), source=host(F.col("link")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p7_found": p7_found, "p7_sources": p7_sources}
+QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_sources": p7_sources}
 
 ORACLES = {
     "p5_found": """
