@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .resolution import entities, variant_pairs
 from .survivorship import disputed_survivors, survivor_records
 from .topn import top_n
 from .truncation import cut_values, host, truncation_report
@@ -16,6 +17,17 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return variant_pairs(entities(read(spark, sf, "scholar_results"), read(spark, sf, "venue_list")))
+
+
+def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Every spelling with the smallest spelling of its entity, and how many there are."""
+    e = entities(read(spark, sf, "scholar_results"), read(spark, sf, "venue_list"))
+    of = e.groupBy("kind", "entity").agg(F.min("spelling").alias("entity_name"), F.count(F.lit(1)).alias("n_spellings"))
+    return e.join(of, ["kind", "entity"]).select("kind", "spelling", "entity_name", "n_spellings")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return disputed_survivors(read(spark, sf, "scholar_results")).select("cluster_id", "field", "obs_id")
 
@@ -48,7 +60,7 @@ def p7_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation_report(read(spark, sf, "scholar_results"), source=host(F.col("link")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_sources": p7_sources}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_sources": p7_sources}
 
 ORACLES = {
     "p5_found": """
