@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .leaks import leaks, without_leaks
+from .packing import pack_documents, packing_report
 from .resolution import entities, variant_pairs
+from .spam import spam_pages
 from .survivorship import disputed_survivors, survivor_records
 from .topn import top_n
 from .truncation import cut_values, host, truncation_report
@@ -60,7 +63,45 @@ def p7_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation_report(read(spark, sf, "scholar_results"), source=host(F.col("link")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_sources": p7_sources}
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(read(spark, sf, "documents"))
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing_report(pack_documents(read(spark, sf, "documents")))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark")).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Which test items leaked, into how many documents, and how much of them at most."""
+    found = leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("share").alias("most"))
+
+
+def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return without_leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spam_pages(read(spark, sf, "documents")).where("is_spam").select("doc_id")
+
+
+def p10_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages and spam pages of each host."""
+    pages = spam_pages(read(spark, sf, "documents"))
+    return pages.groupBy("source").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if("is_spam").alias("n_spam"), F.max("host_rate").alias("host_rate"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_entities, p3_found, p3_records, p5_found, p6_found, p6_unmatched, p7_found, p7_sources,
+        p8_pack, p8_report, p9_found, p9_items, p9_clean, p10_found, p10_hosts,
+    )
+}
 
 ORACLES = {
     "p5_found": """
