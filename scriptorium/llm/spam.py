@@ -34,7 +34,7 @@ from ..session import materialize
 SAMPLE_PAGES, TREES, DEPTH, LEAF, BAG = 4_000, 12, 7, 8, 1_500
 #: Share of the text that makes a page spam; weight of the host in a page's score; pages of prior.
 SHARE, HOST_WEIGHT, PRIOR = 0.7, 0.15, 20.0
-WINDOW = 24
+WINDOW, LEAST_LABELS = 24, 4
 #: Log-odds above which a word tells of spam; pages judged together, in characters.
 TELLING, BATCH_CHARS = 1.5, 4_000_000
 
@@ -306,7 +306,7 @@ def train(texts: list[str], seed: int = 7) -> Model:
     pages, odds = [facts(t) for t in texts], {}
     for _ in range(3):  # the words of the labelled pages label more pages
         labels = [weak_label(f, odds) for f in pages]
-        if min(labels.count(0), labels.count(1)) < 20:
+        if min(labels.count(0), labels.count(1)) < LEAST_LABELS:
             return Model({}, [])
         odds = _odds(pages, labels)
     known = [(t, k) for t, k in zip(texts, labels, strict=True) if k is not None]
