@@ -1,0 +1 @@
+"""Whole pipelines: the digest of a collection, its documents and its report."""

@@ -1,0 +1,72 @@
+"""Incremental forms: append without repeats, upsert, audit with alarms, ordered pages."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+
+from ..operators.audit import ALARM_RECORDS, ALARM_SHARE, Check, audit_alarms
+from ..operators.merge import new_rows
+from ..sources.sinks import upsert
+
+
+def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What a sink folder holds, empty if there is none yet."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], like.schema)
+    return spark.read.schema(like.schema).parquet(path)
+
+
+def append_new(stream: DataFrame, key: Column, order: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends the first row of every key the sink doesn't hold; restarts go on where they stopped,
+    and a batch that is run again adds nothing."""
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        rows = df.withColumn("__key", key)
+        stored = _stored(df.sparkSession, path, rows)
+        new_rows(rows, "__key", order, stored).select(*rows.columns).write.mode("append").parquet(path)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_stream(stream: DataFrame, key: str, order: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the last row per key; every batch writes a new version and then points to it."""
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        stored = _stored(df.sparkSession, f"{path}/v{epoch - 1}", df) if epoch else df.limit(0)
+        upsert(stored, df, key, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def audit_stream(stream: DataFrame, registry: list[Check], name: str, checkpoint: str) -> StreamingQuery:
+    """Running counts per check in the memory table ``name``: ``check``, ``severity``, ``count``, ``total``."""
+    idx = F.array_compact(F.array(F.lit(-1), *[F.when(k.applies, F.lit(i)) for i, k in enumerate(registry)]))
+    counts = stream.select(F.explode(idx).alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("count"))
+    return counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def audit_result(counts: DataFrame, registry: list[Check]) -> DataFrame:
+    """The memory table of :func:`audit_stream` as the batch audit gives it."""
+    names, kinds = F.array(*[F.lit(k.name) for k in registry]), F.array(*[F.lit(k.severity) for k in registry])
+    total = counts.where("idx = -1").select(F.col("count").alias("total"))
+    rows = counts.where("idx >= 0").crossJoin(F.broadcast(total))  # one row
+    return rows.select(F.get(names, F.col("idx")).alias("check"), F.get(kinds, F.col("idx")).alias("severity"), "count", "total", (F.col("count") / F.col("total")).alias("share"))
+
+
+def alarms(counts: DataFrame, registry: list[Check], share: float = ALARM_SHARE, least: int = ALARM_RECORDS) -> DataFrame:
+    return audit_alarms(audit_result(counts, registry), share, least)
+
+
+def page_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved pages of a folder as a stream of ``path`` and ``html``."""
+    pages = spark.readStream.format("text").option("wholetext", "true").load(folder)
+    return pages.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+
+
+Batch = Callable[[DataFrame, int], None]
