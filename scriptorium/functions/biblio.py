@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_slug, filled, strip, surname
+from .text import ascii_slug, filled, let, strip, surname
 from .venues import entry_type, split_venue, venue_field
 
 #: Title words that name nothing, and characters with a meaning in the format.
@@ -47,8 +47,7 @@ def authors_raw(authors: Column, byline: Column) -> Column:
 
 
 def authors_cut(authors: Column, byline: Column) -> Column:
-    raw = authors_raw(authors, byline)
-    return raw.endswith("…") | raw.endswith("...")
+    return let(authors_raw(authors, byline), lambda raw: raw.endswith("…") | raw.endswith("..."))
 
 
 def authors_field(authors: Column, byline: Column) -> Column:
@@ -60,7 +59,7 @@ def authors_field(authors: Column, byline: Column) -> Column:
 def base_key(authors: Column, byline: Column, year: Column, title: Column, stored: Column) -> Column:
     """The stored key, else surname, year and first telling title word."""
     line = F.coalesce(filled(authors), filled(byline), F.lit(""))
-    name = F.coalesce(filled(ascii_slug(F.coalesce(surname(line, line), F.lit("")))), F.lit("anon"))
+    name = F.coalesce(filled(ascii_slug(F.coalesce(let(line, lambda x: surname(x, x)), F.lit("")))), F.lit("anon"))
     words = F.transform(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(r"((?U:[\w'])+)"), F.lit(1)), ascii_slug)
     telling = F.get(F.filter(words, lambda w: ~w.isin(*STOPWORDS)), F.lit(0))
     made = F.concat(name, F.coalesce(F.nullif(year, F.lit(0)).cast("string"), F.lit("")), F.coalesce(telling, F.lit("")))
@@ -69,12 +68,19 @@ def base_key(authors: Column, byline: Column, year: Column, title: Column, store
 
 def entry(key: Column, title: Column, authors: Column, byline: Column, venue: Column, year: Column, link: Column, count: Column, site: str) -> Column:
     """The text of an entry; empty fields are left out.  ``site`` names where the count was seen."""
-    kind, v = entry_type(venue), split_venue(F.coalesce(venue, F.lit("")))
+    known = F.struct(
+        entry_type(venue).alias("kind"), split_venue(F.coalesce(venue, F.lit(""))).alias("v"), escape(authors_field(authors, byline)).alias("authors"), escape(venue_field(venue)).alias("venue")
+    )
+    return let(known, lambda k: _entry(k, key, title, year, link, count, site))
+
+
+def _entry(known: Column, key: Column, title: Column, year: Column, link: Column, count: Column, site: str) -> Column:
+    kind, v = known["kind"], known["v"]
     pair = lambda n, value: F.when(filled(value).isNotNull(), F.concat(F.lit("  "), n if isinstance(n, Column) else F.lit(n), F.lit(" = {"), value, F.lit("},\n")))
     fields = [
         F.concat(F.lit("  title = {{"), escape(F.coalesce(title, F.lit(""))), F.lit("}},\n")),
-        pair("author", escape(authors_field(authors, byline))),
-        pair(F.when(kind == "inproceedings", "booktitle").otherwise("journal"), escape(venue_field(venue))),
+        pair("author", known["authors"]),
+        pair(F.when(kind == "inproceedings", "booktitle").otherwise("journal"), known["venue"]),
         pair("volume", escape(v["volume"])), pair("number", escape(v["number"])), pair("pages", escape(v["pages"])),
         pair("year", F.nullif(year, F.lit(0)).cast("string")), pair("url", escape(link)),
         pair("note", F.concat(F.lit("cited by "), count.cast("string"), F.lit(f" on {site}"))),

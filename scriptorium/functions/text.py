@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ GROUPED_INT = r"\d[\d,.\s\x{A0}]*"
 YEAR = r"(?<![\d:.])(?U:\b)(1[89]\d{2}|20\d{2})(?U:\b)(?![.\d])"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def filled(c: Column) -> Column:
     """Null for the empty text."""
     return F.nullif(c, F.lit(""))
@@ -52,10 +58,9 @@ def casefold(c: Column) -> Column:
     """Full Unicode case folding, from a table derived from the character database."""
     one, to, grow = _fold_table()
     wide = "[" + "".join(x for x, _ in grow) + "]"
-    grown = c
-    for x, f in grow:
-        grown = F.replace(grown, F.lit(x), F.lit(f))
-    return F.lower(F.translate(F.when(c.rlike(wide), grown).otherwise(c), one, to))
+    longer = F.map_from_arrays(F.lit([x for x, _ in grow]), F.lit([f for _, f in grow]))
+    spelled = lambda v: F.array_join(F.transform(F.split(v, ""), lambda x: F.coalesce(F.try_element_at(longer, x), x)), "")
+    return F.lower(F.translate(let(c, lambda v: F.when(v.rlike(wide), spelled(v)).otherwise(v)), one, to))
 
 
 #: Letters without a decomposition, and what they are written as.

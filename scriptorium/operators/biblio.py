@@ -25,7 +25,7 @@ def unique_keys(df: DataFrame, base: str, order: str, key: str = "key") -> DataF
     """
     w = Window.partitionBy(base).orderBy(order)
     rows = df.withColumn("__n", (F.row_number().over(w) - 1).cast("int"))
-    rows = rows.withColumn("__key", F.when(F.col("__n") == 0, F.col(base)).otherwise(F.concat(F.col(base), F.char(F.lit(96) + F.col("__n")))))
+    rows = rows.withColumn("__key", F.when(F.col("__n") == 0, F.col(base)).otherwise(F.concat(F.col(base), F.decode(F.unhex(F.lpad(F.hex(F.lit(96) + F.col("__n")), 4, "0")), "utf-16be"))))
     names = rows.select(base).distinct()
     stems = names.select(F.expr(f"substring({base}, 1, length({base}) - 1)").alias("stem"), F.col(base).alias("longer")).where(F.expr("longer rlike '[a-z]$'"))
     meet = stems.join(names.select(F.col(base).alias("stem")), "stem")

@@ -37,7 +37,7 @@ def csv_rows(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, order: str | None = None, single: bool = False) -> None:
     rows = csv_rows(df.orderBy(order) if order else df)
-    (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, header=True, escape='"', quote='"', lineSep="\r\n", emptyValue="")
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, header=True, escape='"', quote='"', lineSep="\r\n", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_text(df: DataFrame, column: str, path: str, order: str, single: bool = True) -> None:
