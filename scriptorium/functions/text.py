@@ -40,7 +40,7 @@ def collapse(c: Column) -> Column:
 @lru_cache(1)
 def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Where case folding differs from lower casing: letters one for one, and letters that grow."""
-    one, to, grow = [], [], []
+    one, to, grow = ["Σ"], ["σ"], []  # lower casing knows a final form
     for k in range(sys.maxunicode + 1):
         c = chr(k)
         if 0xD800 <= k < 0xE000 or c.casefold() == c.lower():

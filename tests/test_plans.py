@@ -1,0 +1,82 @@
+import json
+from datetime import datetime, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from scriptorium import streaming
+from scriptorium.functions.ids import work_key
+from scriptorium.operators import audit
+from scriptorium.plans import digest, report, settings
+
+NOW = datetime(2026, 9, 2, tzinfo=timezone.utc)
+
+
+def write(path, rows):
+    path.write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def test_digest_end_to_end(spark, tmp_path):
+    new = write(tmp_path / "new.jsonl", [{"cluster_id": "a", "title": "One", "year": "2020", "cited_by_count": 5, "venue": "Reef 3 (1)", "query": "q"}, "{broken", {"cluster_id": "a", "title": "One", "cited_by_count": 9, "query": "q"}, {"cluster_id": "b", "title": "Two", "cited_by_count": -1}, {"title": "Three", "year": 2021, "fetched_at": "2026-01-01", "versions_url": "/s?cluster=5"}])
+    old = write(tmp_path / "old.jsonl", [{"cluster_id": "a", "title": "One", "cited_by_count": 4}, {"cluster_id": "z", "title": "Gone"}])
+    s = digest.Settings(files=[new], since=old, out_jsonl=str(tmp_path / "o1"), out_csv=str(tmp_path / "o2"), out_report=str(tmp_path / "o3"), out_refresh=str(tmp_path / "o4"), out_bibtex=str(tmp_path / "o5"))
+    d = digest.run(spark, s, NOW)
+    assert d.counts == {"records": 2, "read": 4, "files": 1, "duplicates": 1, "filtered_out": 1, "unreadable_lines": 1, "repaired_records": 1}
+    doc = digest.document(d, s)
+    assert doc["ok"] and doc["overview"]["citations"] == 9 and doc["overview"]["most_cited"][0] == {"citations": 9, "year": 2020, "title": "One"}
+    assert doc["delta"]["gone"] == ["Gone"] and doc["delta"]["moved"] == [{"title": "One", "before": 4, "after": 9, "change": 5}] and doc["delta"]["citations_gained"] == 5
+    back = spark.read.text(s.out_jsonl).collect()
+    assert json.loads(sorted(r[0] for r in back)[0])["title"] in ("One", "Three") and len(back) == 2
+    text = "\n".join(r[0] for r in spark.read.text(s.out_report).collect())
+    assert text.startswith("# q") and "## At a glance" in text and "**2 records**, 9 citations" in text
+    assert any(r[0] == "5" for r in spark.read.text(s.out_refresh).collect())
+    assert json.loads(digest.emit(doc))["counts"]["records"] == 2
+    assert report.summary_lines(d.kept)[0].startswith("2 records, 9 citations")
+
+
+def test_digest_refusals(spark, tmp_path):
+    with pytest.raises(digest.DigestError) as e:
+        digest.run(spark, digest.Settings(), NOW)
+    assert e.value.kind == "bad_inputs"
+    empty = write(tmp_path / "e.jsonl", ["{x", ""])
+    with pytest.raises(digest.DigestError) as e:
+        digest.run(spark, digest.Settings(files=[empty]), NOW)
+    assert e.value.kind == "no_records"
+    with pytest.raises(digest.DigestError) as e:
+        digest.run(spark, digest.Settings(files=[empty], recent=2, year_low=2000), NOW)
+    assert e.value.kind == "usage"
+
+
+def test_settings():
+    got = settings.read_settings('top = 3\n[outputs]\nout-csv = "x.csv"\n')
+    s, origins = settings.overlay({"top": 9}, got)
+    assert (s.top, s.out_csv, origins["top"], origins["out_csv"], origins["groups"]) == (9, "x.csv", "command line", "file", "default")
+    for bad in ('topp = 1', 'top = "x"', "top = true", "config = 1", "[a.b]\ntop = 1", "top = 1\n[x]\ntop = 2"):
+        with pytest.raises(settings.SettingsError):
+            settings.read_settings(bad)
+
+
+def test_report_cells():
+    assert report.cell("*a* [b]|c") == "\\*a\\* \\[b\\]\\|c" and report.cell(None) == "—"
+    assert report.bars([(2020, 1), (2021, 56)]) == ["```", "2020  ▇ 1", "2021  " + "▇" * 28 + " 56", "```"]
+
+
+def test_streams_equal_batch(spark, tmp_path):
+    rows = [(i, f"c{i % 7}", f"T{i % 7}", None, None if i % 3 else -1) for i in range(40)]
+    df = spark.createDataFrame(rows, "obs_id long, cluster_id string, title string, link string, cited_by_count long")
+    src = str(tmp_path / "src")
+    df.repartition(3).write.parquet(src)
+    key = work_key(F.col("cluster_id"), F.col("title"), F.col("link"))
+    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    for _ in range(2):  # a restart adds nothing
+        streaming.append_new(stream(), key, "obs_id", str(tmp_path / "out"), str(tmp_path / "s1")).awaitTermination()
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("cluster_id").collect()) == [f"c{i}" for i in range(7)]
+    checks = [audit.Check("negative_count", "error", "", F.coalesce(F.col("cited_by_count") < 0, F.lit(False))), audit.Check("link_missing", "warn", "", F.col("link").isNull())]
+    streaming.audit_stream(stream(), checks, "audit_t", str(tmp_path / "s2")).awaitTermination()
+    got = {tuple(r) for r in streaming.audit_result(spark.table("audit_t"), checks).collect()}
+    assert got == {tuple(r) for r in audit.audit_counts(df, checks).collect()}
+    assert [r["check"] for r in streaming.alarms(spark.table("audit_t"), checks).collect()] == ["negative_count"]
+    streaming.upsert_stream(stream().select("cluster_id", "obs_id"), "cluster_id", "obs_id", str(tmp_path / "up"), str(tmp_path / "s3")).awaitTermination()
+    last = sorted((tmp_path / "up").iterdir(), key=lambda p: int(p.name[1:]))[-1]
+    assert spark.read.parquet(str(last)).count() == 7
