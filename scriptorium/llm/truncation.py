@@ -30,8 +30,8 @@ BEGIN_MARK = r"^[\s\x{A0}]*(…|\.\.\.)"
 #: A transfer that broke off: half a character, entity or tag, a tag opened and not closed.
 BROKEN_END = r"(\x{FFFD}|&#?\w{0,7}|<[^<>]{0,20}|\s<\w{1,6}>[^<]{0,12})$"
 BROKEN_BEGIN = r"^(\x{FFFD}|[^<]{0,12}</\w{1,6}>)"
-#: Ends of whole running text: closing punctuation, perhaps a bracket or quote behind it, or an address.
-SENTENCE_END = r"""([.?!。！？][)\]"'”’»]*|\([^()]*\)|https?://\S+/\S+)[\s\x{A0}]*$"""
+#: Ends of whole running text: closing punctuation, perhaps a bracket or quote behind it, or an address; a space behind it shows that more followed.
+SENTENCE_END = r"""([.?!。！？][)\]"'”’»]*|\([^()]*\)|https?://\S+/\S+)$"""
 #: A list that was opened and not closed; a closed one is whole.
 OPEN_LIST = r"^\s*\[.*[^\]\s]\s*$"
 CLOSED_LIST = r"""(\]|^\s*".*")\s*$"""
