@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_slug, filled, let, strip, surname
+from .text import ascii_fold, ascii_slug, filled, let, strip, surname
 from .venues import entry_type, split_venue, venue_field
 
 #: Title words that name nothing, and characters with a meaning in the format.
@@ -60,7 +60,8 @@ def base_key(authors: Column, byline: Column, year: Column, title: Column, store
     """The stored key, else surname, year and first telling title word."""
     line = F.coalesce(filled(authors), filled(byline), F.lit(""))
     name = F.coalesce(filled(ascii_slug(F.coalesce(let(line, lambda x: surname(x, x)), F.lit("")))), F.lit("anon"))
-    words = F.transform(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(r"((?U:[\w'])+)"), F.lit(1)), ascii_slug)
+    words = F.regexp_extract_all(ascii_fold(F.coalesce(title, F.lit(""))), F.lit(r"((?U:[\w'])+)"), F.lit(1))
+    words = F.transform(words, lambda w: F.regexp_replace(w, "[^a-z0-9]", ""))
     telling = F.get(F.filter(words, lambda w: ~w.isin(*STOPWORDS)), F.lit(0))
     made = F.concat(name, F.coalesce(F.nullif(year, F.lit(0)).cast("string"), F.lit("")), F.coalesce(telling, F.lit("")))
     return F.coalesce(filled(stored), made)

@@ -60,9 +60,11 @@ def casefold(c: Column) -> Column:
     wide = "[" + "".join(x for x, _ in grow) + "]"
     longer = F.map_from_arrays(F.lit([x for x, _ in grow]), F.lit([f for _, f in grow]))
     spelled = lambda v: F.array_join(F.transform(F.split(v, ""), lambda x: F.coalesce(F.try_element_at(longer, x), x)), "")
-    return F.lower(F.translate(let(c, lambda v: F.when(v.rlike(wide), spelled(v)).otherwise(v)), one, to))
+    full = lambda v: F.lower(F.translate(F.when(v.rlike(wide), spelled(v)).otherwise(v), one, to))
+    return let(c, lambda v: F.when(v.rlike(NOT_ASCII), full(v)).otherwise(F.lower(v)))
 
 
+NOT_ASCII = r"[^\x00-\x7F]"
 #: Letters without a decomposition, and what they are written as.
 TRANSLITERATIONS = {"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ð": "d"}
 
@@ -80,13 +82,22 @@ def _plain_table() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+def ascii_fold(c: Column) -> Column:
+    """Case-folded, accents dropped; other characters stay."""
+    src, dst = _plain_table()
+
+    def full(v: Column) -> Column:
+        t = casefold(v)
+        for a, b in TRANSLITERATIONS.items():
+            t = F.replace(t, F.lit(a), F.lit(b))
+        return F.regexp_replace(F.translate(t, src, dst), r"\p{M}", "")
+
+    return let(c, lambda v: F.when(v.rlike(NOT_ASCII), full(v)).otherwise(F.lower(v)))
+
+
 def ascii_slug(c: Column) -> Column:
     """Lower-case ASCII letters and digits of a text, accents dropped."""
-    t = casefold(c)
-    for a, b in TRANSLITERATIONS.items():
-        t = F.replace(t, F.lit(a), F.lit(b))
-    src, dst = _plain_table()
-    return F.regexp_replace(F.translate(t, src, dst), "[^a-z0-9]", "")
+    return F.regexp_replace(ascii_fold(c), "[^a-z0-9]", "")
 
 
 def clip(c: Column, width: int) -> Column:
