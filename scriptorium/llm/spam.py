@@ -327,10 +327,17 @@ def train(texts: list[str], seed: int = 7) -> Model:
 
 
 def train_on(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_pages: int = SAMPLE_PAGES) -> Model:
-    """Trained on at most ``sample_pages`` pages, those with the least hash of their key."""
-    src = documents.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(key).cast("string"), F.lit("spam")).alias("h"), F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
-    rows = src.orderBy("h", "k").limit(sample_pages).select("t").collect()
-    return train([r["t"] for r in rows])
+    """Trained on about ``sample_pages`` pages, those whose key hashes below the share that makes so many.
+
+    The share comes from a count, so only the sample itself goes to the driver:
+    at most twice ``sample_pages``, however large the corpus is.
+    """
+    total = documents.count()
+    share = min(1.0, sample_pages / max(1, total))
+    spread = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("spam")), F.lit(1 << 40))
+    src = documents.where(F.col(text).isNotNull() & (spread < F.lit(int(share * (1 << 40))))).select(F.col(text).alias("t"), spread.alias("h"))
+    rows = src.limit(2 * sample_pages).collect()
+    return train([r["t"] for r in sorted(rows, key=lambda r: (r["h"], r["t"]))])
 
 
 def page_scores(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
