@@ -23,8 +23,13 @@ def unique_keys(df: DataFrame, base: str, order: str, key: str = "key") -> DataF
     A rank within the base gives the letter.  Only where a base is another base
     with a letter behind it can two bases meet; those few are taken one by one.
     """
-    w = Window.partitionBy(base).orderBy(order)
-    rows = df.withColumn("__n", (F.row_number().over(w) - 1).cast("int"))
+    rows = df.withColumn("__slice", F.floor(F.col(order) / SUFFIX_SLICE).cast("long"))
+    per = rows.groupBy(base, "__slice").agg(F.count(F.lit(1)).alias("__c"))
+    earlier = Window.partitionBy(base).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(base, "__slice", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(base, "__slice").orderBy(order)
+    rows = rows.withColumn("__rn", F.row_number().over(within)).join(per, [base, "__slice"])
+    rows = rows.withColumn("__n", (F.col("__rn") - 1 + F.col("__before")).cast("int")).drop("__slice", "__rn", "__before")
     rows = rows.withColumn("__key", F.when(F.col("__n") == 0, F.col(base)).otherwise(F.concat(F.col(base), F.decode(F.unhex(F.lpad(F.hex(F.lit(96) + F.col("__n")), 4, "0")), "utf-16be"))))
     names = rows.select(base).distinct()
     stems = names.select(F.expr(f"substring({base}, 1, length({base}) - 1)").alias("stem"), F.col(base).alias("longer")).where(F.expr("longer rlike '[a-z]$'"))

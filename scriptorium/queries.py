@@ -17,7 +17,7 @@ from .functions import text as tx
 from .functions import venues as vx
 from .operators import audit, biblio, delta, filters, graph, merge, planning, stale, summary
 from .plans import digest
-from .session import checkpoint_dir, materialize
+from .session import checkpoint_dir
 from .sources import html, jsonl, sinks, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -735,14 +735,11 @@ def append_dedup(spark, sf):
     return merge.new_rows(r.where("year >= 2015 or year is null"), "work_key", "obs_id", r.where("year < 2015")).select("work_key", "obs_id")
 
 
-@query("with p as (select *, row_number() over (order by fetched_at nulls first, h_index nulls first, name nulls first, cited_by_total nulls first, affiliation nulls first, homepage nulls first) as n from author_profiles) select user_id, max(n) as n from p group by all")
+@query("select user_id, coalesce(max(case when name is not null then coalesce(cited_by_total, -1) end), max(coalesce(cited_by_total, -1))) as n from author_profiles group by all")
 def upsert_profiles(spark, sf):
-    from pyspark.sql import Window
-
-    keys = ("fetched_at", "h_index", "name", "cited_by_total", "affiliation", "homepage")
-    p = read(spark, sf, "author_profiles").withColumn("n", F.row_number().over(Window.orderBy(*[F.asc_nulls_first(k) for k in keys])).cast("long")).select("user_id", "n", "name")
-    p = materialize(p)
-    return sinks.upsert(p.where("name is null"), p.where("name is not null"), "user_id", "n").select("user_id", "n").join(p.groupBy("user_id").agg(F.max("n").alias("m")), "user_id").select("user_id", c("m").alias("n"))
+    """Profiles without a name stored first, those with one written over them; the greatest total is the last row."""
+    p = read(spark, sf, "author_profiles").select("user_id", "name", F.coalesce("cited_by_total", F.lit(-1)).alias("n"))
+    return sinks.upsert(p.where("name is null"), p.where("name is not null"), "user_id", "n").select("user_id", "n")
 
 
 def _stream(spark, sf) -> DataFrame:
