@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Marks of omission at either end.
 END_MARK = r"(…|\.\.\.)[\s\x{A0}]*$"
 BEGIN_MARK = r"^[\s\x{A0}]*(…|\.\.\.)"
@@ -117,10 +119,10 @@ def length_spikes(cells: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataF
 def cut_values(df: DataFrame, row_id: str = "obs_id", source: Column | None = None, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """``row_id``, ``source``, ``field``, ``value``, ``cut_begin``, ``cut_end``, ``at_spike``: one row per
     value of ``fields`` that is neither null nor blank; it was cut where one of the flags holds."""
-    cells = _cells(df, row_id, result_source() if source is None else source, fields)
+    cells = materialize(_cells(df, row_id, result_source() if source is None else source, fields))  # read three times
     spikes = length_spikes(cells, fields).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cells = cells.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
-    joined = cells.join(spikes, ["source", "field", "__salt"], "left").drop("__salt")
+    joined = cells.join(spikes, ["source", "field", "__salt"], "left")
     at = F.array_contains("at_chars", F.col("chars")) | F.array_contains("at_bytes", F.col("bytes"))
     joined = joined.withColumn("at_spike", F.coalesce(at, F.lit(False)) & ~F.col("ended") & ~F.col("whole"))
     # A value of no running text may be as long as the limit and whole: then other sources have it too.
@@ -131,7 +133,8 @@ def cut_values(df: DataFrame, row_id: str = "obs_id", source: Column | None = No
             F.count_if("at_spike").alias("spiked"), F.count_if(~F.col("at_spike")).alias("free"), F.approx_count_distinct(F.when(~F.col("at_spike"), F.col("source"))).alias("sources")
         )
         attested = seen.where("spiked > 0 and sources >= 2 and free * 2 >= spiked").select("field", "value", F.lit(True).alias("attested"))
-        joined = joined.join(attested, ["field", "value"], "left")
+        attested = attested.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = joined.join(attested, ["field", "value", "__salt"], "left")
         joined = joined.withColumn("at_spike", F.col("at_spike") & F.col("attested").isNull()).drop("attested")
     return joined.select(
         F.col("__id").alias(row_id), "source", "field", "value", F.col("begun").alias("cut_begin"), (F.col("ended") | F.col("broken") | F.col("at_spike")).alias("cut_end"), "at_spike"
