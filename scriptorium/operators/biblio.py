@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.biblio import authors_cut, base_key, entry
 from ..functions.text import filled
+from ..session import materialize
 
 SUFFIX_SLICE = 1_000_000
 
@@ -64,8 +65,9 @@ def bibliography(df: DataFrame, order: str, site: str) -> DataFrame:
     """``order``, ``key``, ``entry``, ``reused``, ``cut`` for every record with a title."""
     rows = df.where(F.col("title").rlike(r"\S"))
     c = F.col
-    rows = rows.withColumn("__base", base_key(c("authors"), c("byline"), c("year"), c("title"), c("extra.bibtex_key")))
-    keyed = unique_keys(rows, "__base", order)
+    base = base_key(c("authors"), c("byline"), c("year"), c("title"), c("extra.bibtex_key"))
+    bases = materialize(rows.select(order, base.alias("__base")))  # read four times
+    keyed = rows.join(unique_keys(bases, "__base", order).select(order, "key"), order)
     text = entry(c("key"), c("title"), c("authors"), c("byline"), c("venue"), c("year"), c("link"), c("cited_by_count"), site)
     return keyed.select(order, "key", text.alias("entry"), filled(c("extra.bibtex_key")).isNotNull().alias("reused"), authors_cut(c("authors"), c("byline")).alias("cut"))
 
