@@ -79,3 +79,11 @@ def bibliography_report(df: DataFrame) -> DataFrame:
         F.count_if(has).alias("written"), F.count_if(has & filled(F.col("extra.bibtex_key")).isNotNull()).alias("reused_keys"),
         F.count_if(has & authors_cut(F.col("authors"), F.col("byline"))).alias("truncated_authors"), F.count_if(~F.coalesce(has, F.lit(False))).alias("skipped"),
     )
+
+
+def with_entries(records: DataFrame, entries: DataFrame) -> DataFrame:
+    """Records beside the stored entry their ``extra.bibtex_key`` names; ``entries`` has ``entry``."""
+    from ..functions.biblio import bibtex_key
+
+    keyed = entries.select(bibtex_key(F.col("entry")).alias("__key"), "entry").where("__key is not null").groupBy("__key").agg(F.min("entry").alias("entry"))
+    return records.join(keyed, records["extra.bibtex_key"] == keyed["__key"], "left").drop("__key")

@@ -41,6 +41,12 @@ def resolve_recent(recent: int | None, year_low: int | None, today: date, recent
     return recent_year_low(recent, today)
 
 
+def request_fault(query: Column, cites: Column, cluster: Column, low: Column, high: Column) -> Column:
+    """Why a search request can't be run, null if it can."""
+    none = lambda x: F.coalesce(x, F.lit("")) == ""
+    return F.when(none(query) & none(cites) & none(cluster), "no query and no id").when(low > high, "the years are the wrong way round")
+
+
 def cap_per_target(df: DataFrame, target: str, order: str, cap: int) -> DataFrame:
     """The first ``cap`` rows of each target, and ``truncated`` where it had more."""
     w = Window.partitionBy(target)

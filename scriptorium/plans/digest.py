@@ -165,6 +165,12 @@ def document(d: Digest, s: Settings, tool: str = "scriptorium-digest", error: Di
     return payload
 
 
+def failed(error: DigestError, s: Settings, tool: str = "scriptorium-digest") -> dict[str, Any]:
+    """The run document of a digest that stopped."""
+    fail = {"kind": error.kind, "message": error.message, "next_steps": []}
+    return {"tool": tool, "version": "0.1.0", "ok": False, "exit_code": 1, "counts": {}, "files": {}, "records": [], "error": fail}
+
+
 def network(records: DataFrame, kept: DataFrame, order: str = "ord") -> DataFrame:
     """Counts of the citation graph: edges of all records, nodes of the kept ones."""
     return graph.network_summary(graph.nodes_of(kept, order), graph.build_edges(records, kept, order))

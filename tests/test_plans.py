@@ -48,6 +48,19 @@ def test_digest_refusals(spark, tmp_path):
     assert e.value.kind == "usage"
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from scriptorium.__main__ import main
+
+    rows = write(tmp_path / "in.jsonl", [{"cluster_id": "a", "title": "One", "cited_by_count": 5, "year": 2020}])
+    (tmp_path / "s.toml").write_text("top = 1\n[limits]\nmin-citations = 2\n")
+    assert main([rows, "--config", str(tmp_path / "s.toml")]) == 0
+    assert capsys.readouterr().out.startswith("1 record, 5 citations")
+    assert main(["--json"]) == 1
+    assert json.loads(capsys.readouterr().out)["error"]["kind"] == "bad_inputs"
+    d = digest.compare_with(spark.createDataFrame([(1, "a", "One", None, 3)], "ord long, cluster_id string, title string, link string, cited_by_count long"), spark.createDataFrame([(1, "a", "One", None, 5)], "ord long, cluster_id string, title string, link string, cited_by_count long"))
+    assert report.delta_lines(d) == ["0 added, 0 gone, 1 moved (+2 citations), 0 unchanged", "  +2: One (3 to 5)"]
+
+
 def test_settings():
     got = settings.read_settings('top = 3\n[outputs]\nout-csv = "x.csv"\n')
     s, origins = settings.overlay({"top": 9}, got)
