@@ -38,6 +38,8 @@ NUMBERS = re.compile(r"(?:^|(?<![^\W\d_]))[\s,;:.]*(?:(?:\b(?:vol|no|pp?|nr|issu
 LEADING = re.compile(r"^\s*(?:['’]?\d+(?:st|nd|rd|th)?\b\.?|annual\b|the\b|proceedings of (?=the \d))\s*", re.IGNORECASE)
 MARK_END, MARK_BEGIN = re.compile(r"\s*(?:…|\.\.\.|�)\s*$"), re.compile(r"^\s*(?:…|\.\.\.|�)\s*")
 ACRONYM = re.compile(r"\s*\(([A-Z][A-Za-z]{2,})\)?")
+#: Words without meaning that may as well be short forms ("For." for Forecasting).
+TELLING = frozenset({"for", "in"})
 #: The list must not be larger than this to be shipped to every task.
 MAX_ENTRIES = 100_000
 MAX_MEMO = 200_000
@@ -56,9 +58,9 @@ def fold_word(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str, stop: frozenset[str] = STOP) -> list[str]:
     found = (fold_word(w) for w in re.split(r"[^\w'’]+", text.lower()))
-    return [w for w in found if w and w not in STOP]
+    return [w for w in found if w and w not in stop]
 
 
 def strip_numbers(part: str) -> str:
@@ -72,7 +74,7 @@ def strip_numbers(part: str) -> str:
 class Parsed:
     """A typed value: words of its name, whether an end is missing, and acronyms in brackets."""
 
-    __slots__ = ("acronyms", "begin_cut", "dangling", "end_cut", "parts", "words")
+    __slots__ = ("acronyms", "begin_cut", "dangling", "end_cut", "loose", "parts", "words")
 
     def __init__(self, value: str):
         text = plain(value)
@@ -92,6 +94,7 @@ class Parsed:
         last = re.findall(r"\w+", parts[-1].lower())[-1:] if parts else []
         self.dangling = bool(last) and last[0] in STOP
         self.words = [w for p in self.parts for w in p]
+        self.loose = [words_of(p, STOP - TELLING) for p in parts]
 
 
 class WordTrie:
@@ -228,12 +231,11 @@ class VenueTrie:
         found = [[w for w, c in self.house.find(x) if c <= 1] for x in words]
         return bool(found) and all(found) and any(len(p) == len(words) and all(w in f for w, f in zip(p, found, strict=True)) for p in self.publishers)
 
-    def names(self, parsed: Parsed) -> list[str]:
+    def names(self, parsed: Parsed, loose: bool = False) -> list[str]:
         """The words of the value without publishers."""
-        words = parsed.words
-        if len(parsed.parts) > 1:
-            left = [p for p in parsed.parts if not self.is_publisher(p)]
-            words = [w for p in left or parsed.parts for w in p]
+        parts = parsed.loose if loose else parsed.parts
+        left = [p for p in parts if not self.is_publisher(p)] if len(parts) > 1 else parts
+        words = [w for p in left or parts for w in p]
         if "preprint" in words and len(words) > 1:  # a server's name, once or twice, beside what it is
             words = list(dict.fromkeys(w for w in words if w != "preprint"))
         return words or parsed.words
@@ -290,6 +292,12 @@ class VenueTrie:
         if not words:
             hits = [self.acronyms[a] for a in parsed.acronyms if a in self.acronyms]
             return [(0.0, h) for h in hits]
+        got = self._known(words, parsed)
+        if not got and (loose := self.names(parsed, True)) != words:
+            got = self._known(loose, parsed)
+        return got
+
+    def _known(self, words: list[str], parsed: Parsed) -> list[tuple[float, int]]:
         key = (*words, parsed.begin_cut, parsed.end_cut or parsed.dangling)
         got = self.found.get(key)
         if got is None:
