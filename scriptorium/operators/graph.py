@@ -7,6 +7,8 @@ aggregates; components are contracted iteratively.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,11 +74,13 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "key") -> DataFram
 def network_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = all_nodes(nodes, edges)
     sizes = components(n, edges).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
-    totals = n.agg(F.count_if(~F.col("stub")).alias("collected"), F.count_if("stub").alias("uncollected"))
-    arcs = edges.agg(F.count(F.lit(1)).alias("edges"))
-    alone = isolated(nodes, edges).agg(F.count(F.lit(1)).alias("isolated"))
-    return totals.crossJoin(arcs).crossJoin(largest).crossJoin(alone)  # four single rows
+    one = lambda name, df, value: df.agg(value.cast("long").alias("v")).select(F.lit(name).alias("k"), "v")
+    rows = [
+        one("collected", n, F.count_if(~F.col("stub"))), one("uncollected", n, F.count_if("stub")), one("edges", edges, F.count(F.lit(1))), one("components", sizes, F.count(F.lit(1))),
+        one("largest", sizes, F.max("size")), one("isolated", isolated(nodes, edges), F.count(F.lit(1))),
+    ]
+    names = ("collected", "uncollected", "edges", "components", "largest", "isolated")
+    return reduce(DataFrame.unionByName, rows).agg(*[F.max(F.when(F.col("k") == x, F.col("v"))).alias(x) for x in names])
 
 
 def next_level(results: DataFrame, visited: DataFrame, breadth: int, floor: int = 0, order: str = "obs_id") -> DataFrame:

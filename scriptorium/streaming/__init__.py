@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -54,8 +54,8 @@ def audit_stream(stream: DataFrame, registry: list[Check], name: str, checkpoint
 def audit_result(counts: DataFrame, registry: list[Check]) -> DataFrame:
     """The memory table of :func:`audit_stream` as the batch audit gives it."""
     names, kinds = F.array(*[F.lit(k.name) for k in registry]), F.array(*[F.lit(k.severity) for k in registry])
-    total = counts.where("idx = -1").select(F.col("count").alias("total"))
-    rows = counts.where("idx >= 0").crossJoin(F.broadcast(total))  # one row
+    whole = Window.partitionBy(F.lit(1))  # at most one row per check
+    rows = counts.withColumn("total", F.max(F.when(F.col("idx") == -1, F.col("count"))).over(whole)).where("idx >= 0")
     return rows.select(F.get(names, F.col("idx")).alias("check"), F.get(kinds, F.col("idx")).alias("severity"), "count", "total", (F.col("count") / F.col("total")).alias("share"))
 
 
