@@ -366,9 +366,10 @@ def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", so
     pages = pages.withColumn("host", F.coalesce("source", F.lit("")))
     looks = (F.col("share") >= share).cast("double")
     hosts = pages.groupBy("host").agg(F.sum(looks).alias("spam"), F.count(F.lit(1)).alias("n"))
-    base = hosts.agg((F.sum("spam") / F.sum("n")).alias("base"))
-    hosts = hosts.crossJoin(F.broadcast(base)).select("host", ((F.col("spam") + PRIOR * F.col("base")) / (F.col("n") + PRIOR)).alias("host_rate"), "base")
+    n_spam, n_pages = hosts.agg(F.sum("spam"), F.sum("n")).first()  # one row
+    base = (n_spam or 0.0) / n_pages if n_pages else 0.0
+    hosts = hosts.select("host", ((F.col("spam") + PRIOR * base) / (F.col("n") + PRIOR)).alias("host_rate"))
     out = pages.join(hosts, "host")
-    smooth = F.col("share") + HOST_WEIGHT * (F.col("host_rate") - F.col("base")) * 4 * F.col("share") * (1 - F.col("share"))
+    smooth = F.col("share") + HOST_WEIGHT * (F.col("host_rate") - base) * 4 * F.col("share") * (1 - F.col("share"))
     out = out.withColumn("smoothed", smooth)
     return out.select(key, "source", "share", F.col("smoothed").alias("score"), "host_rate", ((F.col("smoothed") >= share) & (F.col("share") >= share - 0.05)).alias("is_spam"))
