@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import cited_target, parse_id, work_key
 from ..functions.text import filled
+from ..session import materialize
 from .components import connected_components
 
 
@@ -72,6 +73,7 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "key") -> DataFram
 
 
 def network_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    nodes, edges = materialize(nodes), materialize(edges)  # each is read several times
     n = all_nodes(nodes, edges)
     sizes = components(n, edges).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     one = lambda name, df, value: df.agg(value.cast("long").alias("v")).select(F.lit(name).alias("k"), "v")
