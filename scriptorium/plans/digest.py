@@ -132,8 +132,7 @@ def write_outputs(kept: DataFrame, s: Settings, now: datetime) -> None:
     if s.out_csv:
         sinks.write_csv(kept, s.out_csv, "ord")
     if s.out_report:
-        text = build_report(kept, now, title=s.title, top=s.report_top, groups=s.groups)
-        sinks.write_text(kept.sparkSession.createDataFrame([(0, text)], "n int, line string"), "line", s.out_report, "n")
+        sinks.write_text(build_report(kept, now, title=s.title, top=s.report_top, groups=s.groups), "line", s.out_report, "n")
     if s.out_refresh:
         ranked = stale.rank_stale(kept, F.lit(now.isoformat()).cast("timestamp"), s.stale_days, "ord")
         ids = stale.refresh_targets(ranked, s.refresh_limit, "ord").join(kept.select("ord", "title"), "ord")

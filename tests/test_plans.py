@@ -35,6 +35,18 @@ def test_digest_end_to_end(spark, tmp_path):
     assert report.summary_lines(d.kept)[0].startswith("2 records, 9 citations")
 
 
+def test_report_lists_every_query(spark, tmp_path):
+    rows = [{"cluster_id": f"c{i}", "title": f"T{i}", "query": f"q|{i}"} for i in range(1_203)] + [{"cluster_id": "d", "title": "D", "query": "q|7"}]
+    s = digest.Settings(files=[write(tmp_path / "in.jsonl", rows)], out_report=str(tmp_path / "out"))
+    digest.run(spark, s, NOW)
+    (part,) = (tmp_path / "out").glob("part-*")
+    lines = part.read_text(encoding="utf-8").split("\n")
+    at = lines.index("## What was searched") + 2
+    want = ["| q\\|7 | 2 |"] + [f"| q\\|{i} | 1 |" for i in range(1_203) if i != 7]
+    assert lines[at : at + 2] == ["| Query | Records |", "| --- | --- |"] and lines[at + 2 : at + 1_205] == want
+    assert lines[at + 1_205 : at + 1_207] == ["", "## How much of this to trust"]
+
+
 def test_digest_refusals(spark, tmp_path):
     with pytest.raises(digest.DigestError) as e:
         digest.run(spark, digest.Settings(), NOW)
