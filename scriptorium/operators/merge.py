@@ -12,6 +12,10 @@ the order, so no task gathers the rows of one work.
 Defined results: a zero count ranks like a missing one; ties keep the earlier
 row; a null key is left out; an empty table gives no row; columns that are not
 named in ``fields`` are left out.
+
+Keys no schema names come as a map: each counts as a field, so the first row in
+which a key is filled adds one to the union from then on, and each is picked by
+itself, keyed by (key, name).
 """
 
 from __future__ import annotations
@@ -32,8 +36,15 @@ def is_filled(c: Column, kind: T.DataType) -> Column:
     return c.isNotNull()
 
 
-def mark_winners(df: DataFrame, key: str, order: str, count: str, fields: list[str], slice_rows: int = SLICE) -> DataFrame:
-    """``df`` with ``__wins`` where the row wins over the record merged so far (the first row does)."""
+def _entries(rows: DataFrame, key: str, order: str, rest: str, *more: str) -> DataFrame:
+    """``__name``, ``__value`` and ``__has`` (filled) of the map ``rest``, one row per entry."""
+    e = rows.select(key, order, *more, F.explode(rest).alias("__name", "__value"))
+    return e.withColumn("__has", ~F.coalesce(F.to_json("__value"), F.lit("null")).isin("null", '""', "[]"))
+
+
+def mark_winners(df: DataFrame, key: str, order: str, count: str, fields: list[str], slice_rows: int = SLICE, rest: str | None = None) -> DataFrame:
+    """``df`` with ``__wins`` where the row wins over the record merged so far (the first row does);
+    the entries of the map ``rest`` count as fields."""
     types = {f.name: f.dataType for f in df.schema.fields}
     has = [F.when(is_filled(F.col(f), types[f]), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")) for f in fields]
     mask, filled = F.lit(0).cast("long"), F.lit(0).cast("long")
@@ -43,22 +54,48 @@ def mark_winners(df: DataFrame, key: str, order: str, count: str, fields: list[s
     rows = df.where(F.col(key).isNotNull()).withColumns(
         {"__c": F.coalesce(F.nullif(F.col(count), F.lit(0)), F.lit(-1)).cast("long"), "__mask": mask, "__filled": filled, "__slice": F.floor(F.col(order) / slice_rows).cast("long")}
     )
+    if rest:
+        has = _entries(rows, key, order, rest).where("__has")
+        own = has.groupBy(key, order).agg(F.count(F.lit(1)).alias("own"), F.lit(0).cast("long").alias("new"))
+        new = has.groupBy(key, "__name").agg(F.min(order).alias(order)).groupBy(key, order).agg(F.lit(0).cast("long").alias("own"), F.count(F.lit(1)).alias("new"))
+        both = own.unionByName(new).groupBy(key, order).agg(F.sum("own").alias("__own"), F.sum("new").alias("__new"))
+        rows = rows.join(both, [key, order], "left").withColumns({"__filled": F.col("__filled") + F.coalesce("__own", F.lit(0)), "__new": F.coalesce("__new", F.lit(0))}).drop("__own")
+    else:
+        rows = rows.withColumn("__new", F.lit(0).cast("long"))
     past = Window.partitionBy(key, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    slices = rows.groupBy(key, "__slice").agg(F.max("__c").alias("c"), F.bit_or("__mask").alias("m"))
+    slices = rows.groupBy(key, "__slice").agg(F.max("__c").alias("c"), F.bit_or("__mask").alias("m"), F.sum("__new").alias("n"))
     earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(key, "__slice", F.max("c").over(earlier).alias("__c0"), F.bit_or("m").over(earlier).alias("__m0"))
-    rows = rows.withColumns({"__c1": F.max("__c").over(past), "__m1": F.bit_or("__mask").over(past)}).join(slices, [key, "__slice"])
+    slices = slices.select(key, "__slice", F.max("c").over(earlier).alias("__c0"), F.bit_or("m").over(earlier).alias("__m0"), F.sum("n").over(earlier).alias("__n0"))
+    rows = rows.withColumns({"__c1": F.max("__c").over(past), "__m1": F.bit_or("__mask").over(past), "__n1": F.sum("__new").over(past)}).join(slices, [key, "__slice"])
     top = F.greatest("__c0", "__c1")
-    union = F.bit_count(F.coalesce("__m0", F.lit(0)).bitwiseOR(F.coalesce("__m1", F.lit(0))))
+    union = F.bit_count(F.coalesce("__m0", F.lit(0)).bitwiseOR(F.coalesce("__m1", F.lit(0)))) + F.coalesce("__n0", F.lit(0)) + F.coalesce("__n1", F.lit(0))
     wins = top.isNull() | (F.col("__c") > top) | ((F.col("__c") == top) & (F.col("__filled") > union))
-    return rows.withColumn("__wins", wins).drop("__c", "__mask", "__filled", "__slice", "__c0", "__m0", "__c1", "__m1")
+    return rows.withColumn("__wins", wins).drop("__c", "__mask", "__filled", "__slice", "__c0", "__m0", "__c1", "__m1", "__new", "__n0", "__n1")
+
+
+def _merged_map(rows: DataFrame, key: str, order: str, column: str, overlay: bool) -> DataFrame:
+    """``key`` and the map ``column`` of the merged record.
+
+    ``overlay``: a key the winner has stays, whatever its value; else an empty value
+    gives way to the loser's, even to another empty one.
+    """
+    e = _entries(rows, key, order, column, "__wins")
+    has, wins = F.lit(True) if overlay else F.col("__has"), F.col("__wins")
+    won, lost = F.when(has & wins, F.col(order)), F.when(has & ~wins, F.col(order))
+    value = F.when(F.max(won).isNotNull(), F.max_by("__value", won)).when(F.min(lost).isNotNull(), F.min_by("__value", lost))
+    if not overlay:
+        late = F.when(~wins, F.col(order))
+        value = value.when(F.max(late).isNotNull(), F.max_by("__value", late)).otherwise(F.min_by("__value", order))
+    one = e.groupBy(key, "__name").agg(value.alias("__value"))
+    return one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__name", "__value"))).alias(column))
 
 
-def merge_richest(df: DataFrame, key: str, order: str, count: str, fields: list[str], extra: str | None = None, least: tuple[str, ...] = ("follow_depth",)) -> DataFrame:
+def merge_richest(df: DataFrame, key: str, order: str, count: str, fields: list[str], extra: str | None = None, least: tuple[str, ...] = ("follow_depth",), rest: str | None = None, extra_rest: str | None = None) -> DataFrame:
     """One row per ``key``: ``order`` (of its first row), ``n_rows``, the merged ``fields`` and,
-    if there is an object column ``extra``, its parts (those named in ``least`` by minimum)."""
+    if there is an object column ``extra``, its parts (those named in ``least`` by minimum); the maps
+    ``rest`` and ``extra_rest`` of further keys, of the record and of ``extra``, are merged likewise."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    rows = mark_winners(df, key, order, count, fields)
+    rows = mark_winners(df, key, order, count, fields, rest=rest)
 
     def pick(c: Column, filled: Column) -> Column:
         won = F.max_by(c, F.when(filled & F.col("__wins"), F.col(order)))
@@ -71,7 +108,11 @@ def merge_richest(df: DataFrame, key: str, order: str, count: str, fields: list[
         parts = [F.min(f"{extra}.{p.name}").alias(p.name) if p.name in least else pick(F.col(f"{extra}.{p.name}"), F.col(f"{extra}.{p.name}").isNotNull()).alias(p.name) for p in types[extra].fields]
         whole = F.struct(*parts)
         out.append(F.when((F.count(F.lit(1)) > 1) | (F.count(extra) > 0), whole).alias(extra))
-    return rows.groupBy(key).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_rows"), *out)
+    merged = rows.groupBy(key).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_rows"), *out)
+    for column, overlay in ((rest, False), (extra_rest, True)):
+        if column:
+            merged = merged.join(_merged_map(rows, key, order, column, overlay), key, "left")
+    return merged
 
 
 def new_rows(df: DataFrame, key: str, order: str, stored: DataFrame) -> DataFrame:

@@ -68,7 +68,8 @@ class Settings:
 def merge_records(records: DataFrame, order: str = "ord") -> DataFrame:
     """One record per work, in the order the works were first seen."""
     keyed = records.withColumn("work_key", work_key(F.col("cluster_id"), F.col("title"), F.col("link")))
-    return merge_richest(keyed, "work_key", order, "cited_by_count", FIELDS, "extra")
+    rest = [c if c in records.columns else None for c in (schema.REST, schema.EXTRA_REST)]
+    return merge_richest(keyed, "work_key", order, "cited_by_count", FIELDS, "extra", rest=rest[0], extra_rest=rest[1])
 
 
 def with_order(records: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ RECORD = T.StructType(
     ]
     + [T.StructField("extra", T.StructType([T.StructField("follow_depth", _L), T.StructField("bibtex_key", _S), T.StructField("citation_id", _S)]))]
 )
+#: Columns for the keys a record has beyond these, at its top and inside ``extra``: MAP<STRING, VARIANT>, null if there are none.
+REST, EXTRA_REST = "rest", "extra_rest"
 #: Repaired on read as whole numbers; as texts (lists are joined); as flags.
 NUMBERS = ("year", "cited_by_count", "versions_count", "position", "page_start")
 TEXTS = ("authors", "byline")

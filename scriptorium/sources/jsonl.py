@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import repair
 
 
 def parse_lines(lines: DataFrame, value: str = "value", order: str = "ord") -> DataFrame:
-    """``order``, the record fields, ``malformed`` and ``repaired`` for every line that is not blank.
+    """``order``, the record fields, the keys beyond them (:data:`schema.REST`, :data:`schema.EXTRA_REST`),
+    ``malformed`` and ``repaired`` for every line that is not blank.
 
     A line that is no JSON object is malformed (all fields null).  A field of the
     wrong kind is repaired or nulled, and the record counts as repaired.
@@ -39,12 +41,19 @@ def parse_lines(lines: DataFrame, value: str = "value", order: str = "ord") -> D
         fields.append(good.alias(f.name))
         if f.name in (*schema.NUMBERS, *schema.FLAGS, *schema.TEXTS):
             changed.append(~repair.absent(raw) & (F.schema_of_variant(raw) != kind))
+    fields += [_rest(F.col("v"), schema.RECORD).alias(schema.REST), _rest(get("extra"), schema.RECORD["extra"].dataType).alias(schema.EXTRA_REST)]
     repaired = changed[0]
     for c in changed[1:]:
         repaired = repaired | c
     return rows.select(order, *fields, "malformed", (~F.col("malformed") & F.coalesce(repaired, F.lit(False))).alias("repaired"))
 
 
+def _rest(v: Column, known: T.StructType) -> Column:
+    """The keys of an object that are not ``known``, with their values as they are; null if there are none."""
+    rest = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(known.names))
+    return F.when(F.size(rest) > 0, rest)
+
+
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``ord`` (file in the order given, place in it) and ``value`` of every line."""
     if not paths:

@@ -15,16 +15,30 @@ from .stores import last_per_key
 JSON_OPTIONS = {"ignoreNullFields": "false"}
 
 
-def record_line(fields: list[str]) -> Column:
-    """A record as one JSON line, keys in the order given, nulls kept."""
-    return F.to_json(F.struct(*fields), JSON_OPTIONS)
+def record_line(fields: list[str], rest: str | None = None, extra_rest: str | None = None) -> Column:
+    """A record as one JSON line, keys in the order given, nulls kept; then the keys of the map ``rest``
+    and, inside ``extra``, those of ``extra_rest``."""
+    json = lambda c: F.to_json(c, JSON_OPTIONS)
+    inside = lambda text: F.substring(text, F.lit(2), F.length(text) - 2)
+    if not rest and not extra_rest:
+        return json(F.struct(*fields))
+    parts = [inside(json(F.struct(f))) for f in fields if f != "extra"]
+    if "extra" in fields:
+        more = inside(json(F.col(extra_rest))) if extra_rest else F.lit(None).cast("string")
+        known = inside(json(F.col("extra")))
+        text = F.when(known.isNull() & more.isNull(), F.lit("null")).otherwise(F.concat(F.lit("{"), F.concat_ws(",", known, more), F.lit("}")))
+        parts.insert(fields.index("extra"), F.concat(F.lit('"extra":'), text))
+    if rest:
+        parts.append(inside(json(F.col(rest))))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def write_jsonl(df: DataFrame, path: str, order: str | None = None, fields: list[str] | None = None, single: bool = False) -> None:
     """One object per line, in order; ``single`` gives one file (for small results)."""
     fields = fields or [f.name for f in schema.RECORD.fields if f.name in df.columns]
+    rest, extra_rest = (c if c in df.columns else None for c in (schema.REST, schema.EXTRA_REST))
     rows = df.orderBy(order) if order else df
-    out = rows.select(record_line(fields).alias("value"))
+    out = rows.select(record_line(fields, rest, extra_rest).alias("value"))
     (out.coalesce(1) if single else out).write.mode("overwrite").text(path)
 
 
