@@ -2,8 +2,8 @@
 
 A profile is what is known of one entity: the union of the forms of all
 spellings merged into it.  Every round puts each profile into blocks (a first
-letter with the beginning, the end or the consonants of a surname; for
-organisations their initials and the beginning of their long words), matches the
+letter with the beginning, the end or the consonants of a surname, or with a pair
+of surnames that may be one but share none of these; for organisations their initials and the beginning of their long words), matches the
 profiles of a block, joins what the blocks found to connected candidates, and
 resolves each candidate set: nearest profiles merge first, and the merged
 profile, richer by the other's spellings and initials, is matched again.  The
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..operators.packed import author_names
 from ..session import materialize
-from .names import PARTICLES, Profile, edits, parse_name, resolve
+from .names import PARTICLES, Profile, edits, near, parse_name, reach, resolve
 from .truncation import Field, cut_values
 from .venues import SHORT, VenueTrie, load_trie, map_values
 
@@ -40,6 +40,8 @@ SEP = "\t"
 #: Words for a publishing house that its name may go without.
 HOUSE = frozenset({"publishers", "publisher", "publishing", "publ"})
 MAX_ROUNDS = 12
+#: Surnames up to this length are found by deletions, longer ones by shared runs of GRAM letters.
+LONG, GRAM = 24, 4
 
 
 # ---- persons
@@ -61,16 +63,81 @@ def _person(pid: int, forms: Iterable[str]) -> Profile:
     return p
 
 
+def _bones(surname: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"[aeiouyhw]", "", surname.replace("rn", "m")))[:5]
+
+
 def person_keys(forms: list[str]) -> set[str]:
     p = _person(0, forms)
     keys = set()
     for lead in p.leads():
         for s in p.surnames:
-            bones = re.sub(r"(.)\1+", r"\1", re.sub(r"[aeiouyhw]", "", s.replace("rn", "m")))
-            keys |= {f"{lead}^{s[:3]}", f"{lead}${s[-3:]}", f"{lead}#{bones[:5]}"}
+            keys |= {f"{lead}^{s[:3]}", f"{lead}${s[-3:]}", f"{lead}#{_bones(s)}"}
     return keys
 
 
+def surname_signs(surname: str) -> set[str]:
+    """Signs of which any two surnames that are :func:`near` share one.
+
+    Two texts within k edits (a swap is one) become the same by at most k deletions
+    in each.  The deletions of a long text are too many; of its runs of ``GRAM``
+    letters an edit breaks ``GRAM`` + 1 at most, so three edits leave one.
+    """
+    most = reach(surname, surname)
+    signs: set[str] = set()
+    for text, k in {(surname, most), (surname.replace("rn", "m"), most - 1)}:
+        if k < 1:
+            signs |= {text} if k == 0 and most else set()
+            continue
+        if len(text) <= LONG:
+            level = {text}
+            signs |= level
+            for _ in range(k):
+                level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
+                signs |= level
+        if len(text) >= LONG + 1 - 3:
+            signs |= {"#" + text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+    return signs
+
+
+def keyless_pairs(forms: DataFrame) -> DataFrame:
+    """``surname``, ``pair``: both surnames of every pair that is near and shares no key of :func:`person_keys`."""
+    names = forms.select(F.substring_index("form", SEP, 1).alias("surname")).distinct()
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                found = list(surname_signs(s))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([s] * len(found), pa.string()), pa.array([_bones(s)] * len(found), pa.string())], names=["sign", "surname", "bones"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if near(a, b) < 99]
+            yield pa.RecordBatch.from_arrays([pa.array([x for p in pairs for x in p], pa.string()), pa.array([f"{a}~{b}" for a, b in pairs for _ in "ab"], pa.string())], names=["surname", "pair"])
+
+    # Joined by sorting: the signs look small to the planner and would be broadcast.
+    signed = names.repartition(_tasks(names)).mapInArrow(signs, "sign string, surname string, bones string").select(F.xxhash64("sign").alias("sign"), "surname", "bones")
+    a, b = signed.withColumnsRenamed({"surname": "a", "bones": "ka"}), signed.withColumnsRenamed({"surname": "b", "bones": "kb"})
+    apart = (F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & (F.left("a", F.lit(3)) != F.left("b", F.lit(3))) & (F.right("a", F.lit(3)) != F.right("b", F.lit(3)))
+    return a.join(b.hint("merge"), "sign").where(apart).select("a", "b").distinct().mapInArrow(verify, "surname string, pair string")
+
+
+def pair_blocks(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The blocks of :func:`keyless_pairs`: a first letter with a pair of surnames."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pids, forms, out = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
+            for k, (pair, f) in enumerate(zip(batch.column(0).to_pylist(), forms, strict=True)):
+                out += [(f"{lead}~{pair}", k) for lead in _person(0, f).leads()]
+            at = pa.array([k for _, k in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array(pids, pa.int64()).take(at), batch.column(2).take(at)], names=["key", "pid", "forms"])
+
+    surnames = F.array_distinct(F.transform("forms", lambda f: F.substring_index(f, SEP, 1)))
+    held = profiles.select("pid", "forms", F.explode(surnames).alias("surname")).join(pairs, "surname")
+    return held.select("pair", "pid", "forms").dropDuplicates(["pair", "pid"]).mapInArrow(run, "key string, pid long, forms array<string>")
+
+
 def person_groups(profiles: list[tuple[int, list[str]]]) -> list[set[int]]:
     return [p.ids for p in resolve([_person(i, f) for i, f in profiles])]
 
@@ -230,14 +297,16 @@ def _links(blocks: DataFrame, groups: Callable) -> DataFrame:
     return spread.groupBy("key").applyInPandas(run, "a long, b long").distinct()
 
 
-def merge_and_rematch(forms: DataFrame, keys: Callable[[list[str]], set[str]], groups: Callable, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``form`` and ``entity`` for the distinct ``form``s given."""
+def merge_and_rematch(forms: DataFrame, keys: Callable[[list[str]], set[str]], groups: Callable, max_rounds: int = MAX_ROUNDS, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``form`` and ``entity`` for the distinct ``form``s given; ``more`` makes further blocks of the profiles."""
     start = forms.where("form is not null").select("form").distinct().select("form", F.xxhash64("form").alias("entity"))
     members = materialize(start)
     profiles = members.groupBy("entity").agg(F.collect_set("form").alias("forms")).select(F.col("entity").alias("pid"), "forms")
     changed: DataFrame | None = None
     for _ in range(max_rounds):
         blocks = _blocks(profiles, keys)
+        if more is not None:
+            blocks = blocks.unionByName(more(profiles))
         if changed is not None:  # only the blocks a richer profile re-enters can merge anything more
             again = blocks.join(changed, "pid", "left_semi").select("key").distinct()
             blocks = blocks.join(again, "key", "left_semi")
@@ -280,7 +349,8 @@ def entities(results: DataFrame, listed: DataFrame) -> DataFrame:
     """``kind`` ('author' or 'venue'), ``spelling``, ``entity``: the spellings of persons, and of
     venues that are not listed."""
     names = materialize(_with_form(author_spellings(results), person_form))
-    persons = merge_and_rematch(names, person_keys, person_groups)
+    pairs = materialize(keyless_pairs(names))
+    persons = merge_and_rematch(names, person_keys, person_groups, more=None if pairs.isEmpty() else lambda p: pair_blocks(p, pairs))
     trie = load_trie(listed)
     typed = results.select("venue").where("venue is not null").distinct().join(F.broadcast(listed.select(F.col("name").alias("venue"))), "venue", "left_anti")
     loose = map_values(typed, "venue", trie, keep=["venue"]).where("venue_id = 0").select(F.col("venue").alias("spelling"))

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
-from scriptorium.llm.names import Profile, edits, parse_name, resolve
-from scriptorium.llm.resolution import entities, variant_pairs
+from scriptorium.llm.names import Profile, edits, near, parse_name, resolve
+from scriptorium.llm.resolution import entities, person_keys, surname_signs, variant_pairs
 
 
 def test_parse():
@@ -36,6 +38,29 @@ def test_merge_and_rematch():
     assert persons("I Klerfausen", "I Klerrfause", "Isabella Klerrfause") == [[0, 1, 2]]
 
 
+def test_near_surnames_share_a_sign():
+    r, hits = random.Random(3), 0
+    for _ in range(3_000):
+        a = b = "".join(r.choice("abmnr") for _ in range(r.choice([4, 5, 6, 8, 11, 13, 23, 25, 30])))
+        for _ in range(r.randrange(1, 4)):
+            k = r.randrange(len(b))
+            b = r.choice([b[:k] + b[k + 1 :], b[:k] + r.choice("abm") + b[k:], b[:k] + r.choice("abm") + b[k + 1 :], b[:k] + b[k : k + 2][::-1] + b[k + 2 :], b.replace("rn", "m", 1)])
+        if near(a, b) < 99:
+            hits += 1
+            assert surname_signs(a) & surname_signs(b), (a, b)
+    assert hits > 1_000
+
+
+def test_edits_near_both_ends_are_linked(spark):
+    assert not person_keys(["pinnerka\tr\t"]) & person_keys(["pnnerea\tr\t"])
+    names = ["R Pinnerka", "R Pnnerea", "A Klenrath", "A Klnersth", "B Klnersth"]
+    rows = [(i, n, "byline", None, "http://x.example/1") for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "obs_id int, authors string, byline string, venue string, link string")
+    listed = spark.createDataFrame([(1, "Annals of Reef Optics", None, None)], "venue_id long, name string, acronym string, publisher string")
+    got = {tuple(r) for r in variant_pairs(entities(df, listed)).collect()}
+    assert got == {("author", "R Pinnerka", "R Pnnerea"), ("author", "A Klenrath", "A Klnersth")}
+
+
 def test_pairs(spark):
     lists = ["P Rieholm; KO Schelsund", "Rieholm, P.; Schelsund, KO", "P Rieholm, Dick Gaurinnik", "RH Gaurinnik", "P Rieholm, KO Schels…", None, ""]
     venues = ["Dagron University Press", "Dagron Univ. Press", "DAGRON UNIVERSITY PRESS", "Press of Dagron University", "Annals of Reef Optics", "annals of reef optics 3", "PhD thesis", None]
