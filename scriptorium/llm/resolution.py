@@ -39,7 +39,6 @@ from .venues import SHORT, VenueTrie, load_trie, map_values
 SEP = "\t"
 #: Words for a publishing house that its name may go without.
 HOUSE = frozenset({"publishers", "publisher", "publishing", "publ"})
-MAX_ROUNDS = 12
 #: Surnames up to this length are found by deletions, longer ones by shared runs of GRAM letters.
 LONG, GRAM = 24, 4
 
@@ -297,13 +296,15 @@ def _links(blocks: DataFrame, groups: Callable) -> DataFrame:
     return spread.groupBy("key").applyInPandas(run, "a long, b long").distinct()
 
 
-def merge_and_rematch(forms: DataFrame, keys: Callable[[list[str]], set[str]], groups: Callable, max_rounds: int = MAX_ROUNDS, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``form`` and ``entity`` for the distinct ``form``s given; ``more`` makes further blocks of the profiles."""
+def merge_and_rematch(forms: DataFrame, keys: Callable[[list[str]], set[str]], groups: Callable, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``form`` and ``entity`` for the distinct ``form``s given; ``more`` makes further blocks of the profiles.
+
+    Every round but the last leaves fewer profiles, so the rounds end."""
     start = forms.where("form is not null").select("form").distinct().select("form", F.xxhash64("form").alias("entity"))
     members = materialize(start)
     profiles = members.groupBy("entity").agg(F.collect_set("form").alias("forms")).select(F.col("entity").alias("pid"), "forms")
     changed: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:
         blocks = _blocks(profiles, keys)
         if more is not None:
             blocks = blocks.unionByName(more(profiles))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from scriptorium.llm.names import Profile, edits, near, parse_name, resolve
-from scriptorium.llm.resolution import entities, person_keys, surname_signs, variant_pairs
+from scriptorium.llm.resolution import entities, merge_and_rematch, person_keys, surname_signs, variant_pairs
 
 
 def test_parse():
@@ -61,6 +61,15 @@ def test_edits_near_both_ends_are_linked(spark):
     assert got == {("author", "R Pinnerka", "R Pnnerea"), ("author", "A Klenrath", "A Klnersth")}
 
 
+def test_rounds_go_on_until_none_merges(spark):
+    # form 0 and what it has absorbed only meets the next number
+    nums = lambda fs: sorted(int(f) for f in fs)
+    keys = lambda fs: {f"b{nums(fs)[-1] + 1 if nums(fs)[0] == 0 else nums(fs)[0]}"}
+    groups = lambda ps: [{i for i, _ in ps}] if any("0" in f for _, f in ps) else [{i} for i, _ in ps]
+    forms = spark.createDataFrame([(str(i),) for i in range(15)], "form string")
+    assert merge_and_rematch(forms, keys, groups).select("entity").distinct().count() == 1
+
+
 def test_pairs(spark):
     lists = ["P Rieholm; KO Schelsund", "Rieholm, P.; Schelsund, KO", "P Rieholm, Dick Gaurinnik", "RH Gaurinnik", "P Rieholm, KO Schels…", None, ""]
     venues = ["Dagron University Press", "Dagron Univ. Press", "DAGRON UNIVERSITY PRESS", "Press of Dagron University", "Annals of Reef Optics", "annals of reef optics 3", "PhD thesis", None]
