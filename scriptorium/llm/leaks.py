@@ -5,8 +5,8 @@ size of the item set is checked); documents stream through it where they are
 read, without shuffle.  At every word the longest match that ends there is
 tracked; a match that cannot go on is a run.  A run counts for an item if its
 words stand in no other item, so stock phrases and sentences built alike say
-nothing; the runs of an item are chained in order, with small changes and an
-interruption between them, and the item leaks if the chain covers ``share`` of
+nothing; the runs of an item are chained in order, with small changes and one
+interruption of any length between them, and the item leaks if the chain covers ``share`` of
 its words and one run is longer than a quotation.
 
 Defined results: null and empty texts have no leak; copies of a document leak
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 #: A run has so many words at least, a quotation has so many at most.
 MIN_RUN, QUOTE = 4, 8
-#: Share of an item's words that makes a leak, and words of the document an interruption may have.
+#: Share of an item's words that makes a leak; words of the document a gap may have, but for one
+#: interruption of any length.
 SHARE, INTERRUPTION = 0.4, 120
 #: The items must not have more words than this together to be shipped to every task.
 MAX_WORDS = 5_000_000
@@ -143,21 +144,28 @@ class SuffixAutomaton:
         return found
 
 
-def chain(runs: list[tuple[int, int, int]], interruption: int = INTERRUPTION) -> tuple[int, int, int, int]:
+def chain(runs: list[tuple[int, int, int]], interruption: int = INTERRUPTION, once: bool = False) -> tuple[int, int, int, int]:
     """Item words covered by the best chain of runs in order, its longest run, and the
-    document words it lies between."""
+    document words it lies between; with ``once`` one gap of the chain may have any length."""
     runs = sorted(set(runs))
+    # Chains that end with each run: no gap longer than ``interruption``, and at most one.
     best: list[tuple[int, int, int, int]] = []
+    wider: list[tuple[int, int, int, int]] = []
     for j, (q, p, n) in enumerate(runs):
-        top = (n, n, q, q + n)
+        top = far = (n, n, q, q + n)
         for i in range(j):
             q2, p2, n2 = runs[i]
             lap = max(0, p2 + n2 - p, q2 + n2 - q)
-            if p2 < p and q2 < q and lap < n and q - (q2 + n2) <= interruption:
-                c, longest, start, _ = best[i]
-                top = max(top, (c + n - lap, max(longest, n), start, q + n))
+            if p2 < p and q2 < q and lap < n:
+                wide = q - (q2 + n2) > interruption
+                if not wide:
+                    c, longest, start, _ = best[i]
+                    top = max(top, (c + n - lap, max(longest, n), start, q + n))
+                c, longest, start, _ = (best if wide else wider)[i]
+                far = max(far, (c + n - lap, max(longest, n), start, q + n))
         best.append(top)
-    return max(best)
+        wider.append(max(top, far))
+    return max(wider if once else best)
 
 
 def load_automaton(items: DataFrame, item_id: str = "item_id", text: str = "text") -> SuffixAutomaton:
@@ -184,7 +192,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 for k, rs in a.runs(WORD.findall(t.lower())).items():
                     if sum(n for *_, n in rs) < share * a.lengths[k]:
                         continue
-                    covered, longest, first, last = chain(rs)
+                    covered, longest, first, last = chain(rs, once=True)
                     if covered >= share * a.lengths[k] and longest > QUOTE:
                         out.append((d, a.items[k], min(1.0, covered / a.lengths[k]), longest, first, last))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6

@@ -40,6 +40,17 @@ def test_chain():
     assert chain([(10, 0, 5), (500, 6, 5)])[0] == 5  # too far apart
 
 
+def test_one_interruption_of_any_length(spark):
+    far = [(10, 0, 10), (5_000, 12, 10)]
+    assert chain(far)[0] == 10 and chain(far, once=True) == (20, 10, 10, 5_010)
+    assert chain([*far, (9_000, 24, 10)], once=True)[0] == 20  # a second one is too many
+    assert chain([*far, (5_015, 24, 10)], once=True)[0] == chain([(10, 0, 10), (25, 12, 10), (5_000, 24, 10)], once=True)[0] == 30
+    w = ITEM.split()
+    text = " ".join(w[:10]) + " filler" * 400 + " " + " ".join(w[12:22])
+    d = spark.createDataFrame([(1, text), (2, " ".join(w[:10]) + " filler" * 400)], "doc_id int, text string")
+    assert [r["doc_id"] for r in leaks(d, spark.createDataFrame([(77, ITEM)], "item_id int, text string")).collect()] == [1]
+
+
 ITEM = "Clerks at Zeiberg recounted forty sensors until the dawn of March while Kranpredal painted every archive door in green and the harbour bell of Lospai rang eleven times before the quiet ferry to Bukfau left with nine crates of coarse ledgers"
 OTHER = "Clerks at Nolman recounted sixty panels until the dawn of March while Gerova painted every archive wall in black and one more thing happened that nobody in the town of Welthal had ever seen or heard of before then at all"
 
