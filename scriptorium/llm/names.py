@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from .venues import WordTrie, plain
+from .venues import plain
 
 #: Short forms of given names and what they stand for.
 NICKNAMES = {
@@ -24,8 +24,6 @@ NICKNAMES = {
     "uschi": "ursula", "val": "valentina valentine", "vicky": "victoria", "vika": "victoria", "walt": "walter", "will": "william", "wolf": "wolfgang", "zhenya": "yevgenia", "genia": "yevgenia",
 }
 PARTICLES = frozenset("van von der den de del della di da du la le al el ter ten zu".split())
-#: So many surnames are compared one by one; more are looked up in a trie.
-FEW = 2_000
 INITIALS = re.compile(r"(?:[^\W\d_]\.?[-.]?){1,4}")
 DIGITS = str.maketrans("0156", "olsb")
 
@@ -127,14 +125,6 @@ def given_alike(a: str, b: str) -> bool:
     return any(edits(x, y, 2 if min(len(x), len(y)) > 6 else 1) <= (2 if min(len(x), len(y)) > 6 else 1) for x in fa for y in fb if min(len(x), len(y)) > 3)
 
 
-def letter_mask(text: str) -> int:
-    """The set of letters as bits."""
-    mask = 0
-    for c in text:
-        mask |= 1 << (ord(c) % 61)
-    return mask
-
-
 def reach(a: str, b: str) -> int:
     n = min(len(a), len(b))
     return 0 if n < 4 else 1 if n < 6 else 2 if n < 11 else 3
@@ -164,23 +154,6 @@ class Profile:
         """First letters under which the person may appear."""
         return {i[0] for i in self.initials} | {f[0] for g in self.givens for f in formal(g)}
 
-    def absorb(self, other: Profile) -> None:
-        self.ids |= other.ids
-        self.surnames |= other.surnames
-        self.initials |= other.initials
-        self.givens |= other.givens
-
-    def longest(self) -> str:
-        return max(self.initials, key=lambda i: (len(i), i))
-
-
-def score(a: Profile, b: Profile) -> tuple[int, int] | None:
-    """How far apart two profiles are (edits between surnames, how little the initials say), None if they can't be one."""
-    d = min(near(x, y) for x in a.surnames for y in b.surnames)
-    if d == 99 or (d > 1 and not a.initials & b.initials) or not initials_agree(a, b) or not givens_agree(a, b):
-        return None
-    return d, 0 if a.initials & b.initials else 1
-
 
 def initials_agree(a: Profile, b: Profile) -> bool:
     """Every way of writing the initials of one continues or begins every way of the other;
@@ -205,60 +178,3 @@ def givens_agree(a: Profile, b: Profile) -> bool:
 def at_odds(a: Profile, b: Profile) -> bool:
     """What the two say of given names can't be true of one person, whatever the surnames."""
     return not initials_agree(a, b) or not givens_agree(a, b)
-
-
-def resolve(profiles: list[Profile]) -> list[Profile]:
-    """Merge and rematch: nearest profiles first; the merged profile, richer by the other's
-    spellings and initials, is matched again, until no two can be one.
-
-    A profile that fits several others that cannot be one person with each other,
-    none better than the rest, stays alone.
-    """
-    live = dict(enumerate(profiles))
-    every = sorted({x for p in profiles for x in p.surnames})
-    marks = {x: letter_mask(x) for x in every}
-    trie = WordTrie(set(every)) if len(every) > FEW else None
-    holders: dict[str, set[int]] = {}
-    for k, p in live.items():
-        for x in p.surnames:
-            holders.setdefault(x, set()).add(k)
-    close: dict[str, list[str]] = {}
-    stale = set(live)
-    best: dict[int, list[tuple[tuple[int, int], int]]] = {}
-    while True:
-        for k in [k for k in live if k in stale]:
-            p = live[k]
-            rivals: set[int] = set()
-            for x in p.surnames:
-                if x not in close:
-                    if trie is None:
-                        # each edit changes two letters of the set at most, "rn" for "m" three
-                        mark, n = marks[x], len(x)
-                        close[x] = [y for y in every if -4 < len(y) - n < 4 and (mark ^ marks[y]).bit_count() <= 7 and near(x, y) < 99]
-                        rivals |= {j for y in close[x] for j in holders[y] if j in live and j != k}
-                        continue
-                    forms = {x, x.replace("rn", "m")} | {x[:i] + "rn" + x[i + 1 :] for i, c in enumerate(x) if c == "m"}
-                    close[x] = [y for y in {w for f in forms for w, _ in trie.within(f, reach(f, f))} if near(x, y) < 99]
-                rivals |= {j for y in close[x] for j in holders[y] if j in live and j != k}
-            found = sorted((s, j) for j in rivals if (s := score(p, live[j])) is not None)
-            best[k] = [x for x in found if x[0] == found[0][0]]
-        merged: set[int] = set()
-        for k in sorted((k for k in live if best.get(k)), key=lambda k: (best[k][0][0], k)):
-            if k in merged:
-                continue
-            fits = [j for _, j in best[k] if j in live]
-            if not fits or any(j in merged for j in fits):
-                continue
-            if any(at_odds(live[x], live[y]) for i, x in enumerate(fits) for y in fits[:i]):
-                continue  # it may be either of two persons
-            j = fits[0]
-            if any(x != k and x in live and at_odds(live[k], live[x]) for _, x in best.get(j, ())):
-                continue  # the other is as near to someone else
-            live[k].absorb(live.pop(j))
-            merged |= {k, j}
-            for x in live[k].surnames:
-                holders[x].add(k)
-        if not merged:
-            return list(live.values())
-        stale = merged | {k for k in live if any(j in merged for _, j in best.get(k, ()))}
-        stale |= {k for m in merged if m in live for x in live[m].surnames for y in close.get(x, ()) for k in holders[y] if k in live}

@@ -1,18 +1,26 @@
 """Variant spellings of persons and organisations: merge-and-rematch resolution.
 
 A profile is what is known of one entity: the union of the forms of all
-spellings merged into it.  Every round puts each profile into blocks (a first
-letter with the beginning, the end or the consonants of a surname, or with a pair
-of surnames that may be one but share none of these; for organisations their initials and the beginning of their long words), matches the
-profiles of a block, joins what the blocks found to connected candidates, and
-resolves each candidate set: nearest profiles merge first, and the merged
-profile, richer by the other's spellings and initials, is matched again.  The
-merged profiles enter the next round's blocks with all their forms.  Rounds go
-on until none merges anything.
+spellings merged into it.  Every round puts profiles into blocks, scores the
+pairs of a block, and merges nearest profiles: a profile joins the nearest one
+unless it fits two that cannot be one entity, or the nearest one is as near to
+something it cannot be.  A merged profile, richer by the other's spellings and
+initials, re-enters the blocks in the next round; pairs of profiles that did not
+change are not scored again.  Rounds go on until none merges anything.
+
+Blocks.  Names are found by the words they hold.  Which surnames or words can be
+one (a few edits, an abbreviation) is worked out once over the distinct words,
+by signs that any two of them must share.  A person's block is a surname with a
+first letter and the second initial; a profile that has but one initial meets
+all of them.  An organisation's block is a word with the number of words, asked
+for with the word of a name whose relatives are rarest, so that "University" and
+"Press" call nobody.  The blocks lose no pair that the comparison would accept
+(tests compare them with all pairs).  Pairs are rows of a join: no task gathers a block
+or a component, and skewed blocks are split by the join.
 
 Spellings that say the same (order, punctuation, accents, capitals, volume
 numbers) fold into one form before any comparison, so blocks hold forms, not
-rows; a block gives a spanning set of links, not all pairs.
+rows.
 
 Defined results: null, blank and undecidable spellings (a name without surname,
 a venue without a word) belong to no entity; repeated rows count once; empty
@@ -21,169 +29,195 @@ tables give no row.  A form that fits several entities equally well stays alone.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
 from ..operators.packed import author_names
 from ..session import materialize
-from .names import PARTICLES, Profile, edits, near, parse_name, reach, resolve
+from .names import Profile, at_odds, edits, near, parse_name, reach
 from .truncation import Field, cut_values
-from .venues import SHORT, VenueTrie, load_trie, map_values
+from .venues import SHORT, Parsed, VenueTrie, load_trie, map_values
 
 SEP = "\t"
 #: Words for a publishing house that its name may go without.
 HOUSE = frozenset({"publishers", "publisher", "publishing", "publ"})
-#: Surnames up to this length are found by deletions, longer ones by shared runs of GRAM letters.
+#: Words up to this length are found by deletions, longer ones by shared runs of GRAM letters.
 LONG, GRAM = 24, 4
+#: Scores that differ by no more are equal.
+SLACK = 0.05
 
 
-# ---- persons
+# ---- words that may be one
 
 
-def person_form(spelling: str) -> str | None:
-    name = parse_name(spelling)
-    return None if name is None else SEP.join((name.surname, name.initials, name.given))
+def signs(word: str, most: int) -> set[str]:
+    """Signs of which any two words within ``most`` edits (a swap is one, ``rn`` for ``m`` too) share one.
 
+    Two texts within k edits become the same by at most k deletions in each.  The
+    deletions of a long text are too many; of its runs of ``GRAM`` letters an edit
+    breaks ``GRAM`` + 1 at most, so three edits leave one.
+    """
+    found: set[str] = {word}
+    for text, k in {(word, most), (word.replace("rn", "m"), most - 1)}:
+        if k < 0:
+            continue
+        if len(text) <= LONG:
+            level = {text}
+            found |= level
+            for _ in range(k):
+                level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
+                found |= level
+        if len(text) >= LONG + 1 - 3:
+            found |= {"#" + text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+    return found
 
-def _person(pid: int, forms: Iterable[str]) -> Profile:
-    p = Profile({pid})
-    for f in forms:
-        surname, initials, given = f.split(SEP)
-        p.surnames.add(surname)
-        p.initials.add(initials)
-        if given:
-            p.givens.add(given)
-    return p
 
+def surname_signs(surname: str) -> set[str]:
+    return signs(surname, reach(surname, surname))
 
-def _bones(surname: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[aeiouyhw]", "", surname.replace("rn", "m")))[:5]
 
+def word_reach(a: str, b: str) -> int:
+    n = min(len(a), len(b))
+    return 0 if n < 4 else 1 if n < 6 else 2
 
-def person_keys(forms: list[str]) -> set[str]:
-    p = _person(0, forms)
-    keys = set()
-    for lead in p.leads():
-        for s in p.surnames:
-            keys |= {f"{lead}^{s[:3]}", f"{lead}${s[-3:]}", f"{lead}#{_bones(s)}"}
-    return keys
 
+@lru_cache(200_000)
+def word_gap(a: str, b: str) -> float | None:
+    """What it costs to read one word as the other: nothing, an abbreviation, or edits."""
+    if a == b:
+        return 0.0
+    short, long = (a, b) if len(a) < len(b) else (b, a)
+    if SHORT.get(short) == long or long.startswith(short):
+        return 0.2
+    most = word_reach(a, b)
+    d = edits(a, b, most)
+    if "rn" in a or "rn" in b:
+        d = min(d, 1 + edits(a.replace("rn", "m"), b.replace("rn", "m"), most))
+    return float(d) if d <= most else None
 
-def surname_signs(surname: str) -> set[str]:
-    """Signs of which any two surnames that are :func:`near` share one.
 
-    Two texts within k edits (a swap is one) become the same by at most k deletions
-    in each.  The deletions of a long text are too many; of its runs of ``GRAM``
-    letters an edit breaks ``GRAM`` + 1 at most, so three edits leave one.
-    """
-    most = reach(surname, surname)
-    signs: set[str] = set()
-    for text, k in {(surname, most), (surname.replace("rn", "m"), most - 1)}:
-        if k < 1:
-            signs |= {text} if k == 0 and most else set()
-            continue
-        if len(text) <= LONG:
-            level = {text}
-            signs |= level
-            for _ in range(k):
-                level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
-                signs |= level
-        if len(text) >= LONG + 1 - 3:
-            signs |= {"#" + text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
-    return signs
+def word_signs(word: str) -> set[str]:
+    """As :func:`signs`, and signs shared with the word's abbreviations."""
+    found = {"-" + x for x in signs(word, word_reach(word, word))}
+    return found | {"=" + word, *(("=" + SHORT[word],) if word in SHORT else ())}
+
+
+def _prefixes(word: str) -> set[str]:
+    return {"=" + word[:k] for k in range(1, len(word))}
 
 
-def keyless_pairs(forms: DataFrame) -> DataFrame:
-    """``surname``, ``pair``: both surnames of every pair that is near and shares no key of :func:`person_keys`."""
-    names = forms.select(F.substring_index("form", SEP, 1).alias("surname")).distinct()
+def relatives(tokens: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``d``: all pairs, both ways, of the distinct ``token``s (a kind's letter, then a
+    word) that may be one, and every token with itself."""
+    names = tokens.where("token is not null").select("token").distinct()
 
-    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in batch.column(0).to_pylist():
-                found = list(surname_signs(s))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([s] * len(found), pa.string()), pa.array([_bones(s)] * len(found), pa.string())], names=["sign", "surname", "bones"])
+            rows: list[tuple[str, str, bool]] = []
+            for t in batch.column(0).to_pylist():
+                kind, word = t[0], t[1:]
+                rows += [(kind + s, t, True) for s in (surname_signs(word) if kind == "a" else word_signs(word))]
+                rows += [(kind + s, t, False) for s in _prefixes(word)] if kind == "v" else []
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_())], names=["sign", "token", "own"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if near(a, b) < 99]
-            yield pa.RecordBatch.from_arrays([pa.array([x for p in pairs for x in p], pa.string()), pa.array([f"{a}~{b}" for a, b in pairs for _ in "ab"], pa.string())], names=["surname", "pair"])
+            a, b, d = [], [], []
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                gap = near(x[1:], y[1:]) if x[0] == "a" else word_gap(x[1:], y[1:])
+                if gap is not None and gap < 99:
+                    a += [x, y]
+                    b += [y, x]
+                    d += [float(gap)] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(d, pa.float64())], names=["a", "b", "d"])
+
+    # A word meets its own signs and those of which it is a beginning; two beginnings say nothing.
+    signed = names.mapInArrow(sign, "sign string, token string, own boolean").select(F.xxhash64("sign").alias("sign"), "token", "own")
+    a, b = signed.select("sign", F.col("token").alias("a"), F.col("own").alias("oa")), signed.select("sign", F.col("token").alias("b"), F.col("own").alias("ob"))
+    pairs = a.join(b.hint("merge"), "sign").where("a < b and (oa or ob)").select("a", "b").distinct()  # merge: the signs look small to the planner
+    found = pairs.mapInArrow(verify, "a string, b string, d double")
+    return found.unionByName(names.select(F.col("token").alias("a"), F.col("token").alias("b"), F.lit(0.0).alias("d")))
 
-    # Joined by sorting: the signs look small to the planner and would be broadcast.
-    signed = names.repartition(_tasks(names)).mapInArrow(signs, "sign string, surname string, bones string").select(F.xxhash64("sign").alias("sign"), "surname", "bones")
-    a, b = signed.withColumnsRenamed({"surname": "a", "bones": "ka"}), signed.withColumnsRenamed({"surname": "b", "bones": "kb"})
-    apart = (F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & (F.left("a", F.lit(3)) != F.left("b", F.lit(3))) & (F.right("a", F.lit(3)) != F.right("b", F.lit(3)))
-    return a.join(b.hint("merge"), "sign").where(apart).select("a", "b").distinct().mapInArrow(verify, "surname string, pair string")
 
+# ---- persons
 
-def pair_blocks(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The blocks of :func:`keyless_pairs`: a first letter with a pair of surnames."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pids, forms, out = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
-            for k, (pair, f) in enumerate(zip(batch.column(0).to_pylist(), forms, strict=True)):
-                out += [(f"{lead}~{pair}", k) for lead in _person(0, f).leads()]
-            at = pa.array([k for _, k in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array(pids, pa.int64()).take(at), batch.column(2).take(at)], names=["key", "pid", "forms"])
+def person_form(spelling: str) -> str | None:
+    name = parse_name(spelling)
+    return None if name is None else SEP.join(("a", name.surname, name.initials, name.given))
+
+
+@lru_cache(100_000)
+def _said(sign: str) -> Profile:
+    """The initials and given names a person's sign holds."""
+    initials, _, givens = sign[1:].partition("|")
+    return Profile(initials=set(initials.split(",")), givens=set(filter(None, givens.split(","))))
+
+
+def person_sign(forms: list[str]) -> str:
+    parts = [f.split(SEP) for f in forms]
+    return "a" + ",".join(sorted({p[2] for p in parts})) + "|" + ",".join(sorted({p[3] for p in parts} - {""}))
 
-    surnames = F.array_distinct(F.transform("forms", lambda f: F.substring_index(f, SEP, 1)))
-    held = profiles.select("pid", "forms", F.explode(surnames).alias("surname")).join(pairs, "surname")
-    return held.select("pair", "pid", "forms").dropDuplicates(["pair", "pid"]).mapInArrow(run, "key string, pid long, forms array<string>")
 
+def person_blocks(forms: list[str], sign: str) -> set[tuple[str, str, bool, bool]]:
+    """(token, block, open, asks): every surname with every first letter; with the second initial, or open to all."""
+    said = _said(sign)
+    second = {i[1] for i in said.initials if len(i) > 1}
+    blocks = {(lead + "*", not second) for lead in said.leads()} | {(lead + c, True) for lead in said.leads() for c in second}
+    return {("a" + f.split(SEP)[1], block, opened, True) for f in forms for block, opened in blocks}
 
-def person_groups(profiles: list[tuple[int, list[str]]]) -> list[set[int]]:
-    return [p.ids for p in resolve([_person(i, f) for i, f in profiles])]
+
+@lru_cache(500_000)
+def _persons_apart(a: str, b: str) -> bool:
+    return at_odds(_said(a), _said(b))
+
+
+def person_score(a: str, b: str, d: float) -> float | None:
+    """Edits between the surnames first, then whether the initials are the same somewhere."""
+    same = bool(_said(a).initials & _said(b).initials)
+    if (d > 1 and not same) or _persons_apart(*sorted((a, b))):
+        return None
+    return 2 * d + (not same)
 
 
 # ---- organisations
 
 
 def venue_form(trie: VenueTrie, value: str) -> str | None:
-    from .venues import Parsed
-
     parsed = Parsed(value)
     words = trie.names(parsed)
     if not words or sum(map(len, words)) < 4:
         return None
     flags = ("<" if parsed.begin_cut else "") + (">" if parsed.end_cut or parsed.dangling else "")
-    return SEP.join((flags, *words))
+    return SEP.join(("v", "", flags, *words))
 
 
-def venue_keys(forms: list[str]) -> set[str]:
-    keys = set()
-    for f in forms:
-        _, *words = f.split(SEP)
-        keys.add("i" + "".join(sorted(w[0] for w in words)))
-        for w in sorted(words, key=lambda w: (-len(w), w))[:2]:
-            keys.add(f"w{w[:4]}")
-            keys.add(f"e{w[-4:]}")
-    return keys
+def whole_words(form: str) -> list[str]:
+    """The words of a venue's form by which it may be asked for: not cut, and no word it may go without."""
+    _, _, flags, *words = form.split(SEP)
+    kept = words[1:] if flags == "<" else words[:-1] if flags == ">" else words
+    return sorted({w for w in kept if w not in HOUSE} or set(kept) or set(words))
 
 
-def _word_gap(a: str, b: str) -> float | None:
-    """What it costs to read one word as the other: nothing, an abbreviation, or edits."""
-    if a == b:
-        return 0.0
-    short, long = (a, b) if len(a) < len(b) else (b, a)
-    if SHORT.get(short) == long or long.startswith(short):
-        return 0.2
-    most = 0 if len(short) < 4 else 1 if len(short) < 6 else 2
-    d = edits(a, b, most)
-    if "rn" in a or "rn" in b:
-        d = min(d, 1 + edits(a.replace("rn", "m"), b.replace("rn", "m"), most))
-    return float(d) if d <= most else None
+def venue_blocks(forms: list[str], sign: str) -> set[tuple[str, str, bool, bool]]:
+    """(token, block, open, asks): every word with the number of words; a cut name is open to any number."""
+    out = set()
+    for f in forms:
+        _, rare, flags, *words = f.split(SEP)
+        sizes = {len(words)} | ({len(words) - 1} if HOUSE & set(words) else set())
+        blocks = {("*", True)} if flags else {(str(n), True) for n in sizes} | {("*", False)}
+        out |= {("v" + w, block, opened, w == rare) for w in set(words) for block, opened in blocks}
+    return out
 
 
 def _aligned(a: list[str], b: list[str]) -> float | None:
     total = 0.0
     for x, y in zip(a, b, strict=True):
-        gap = _word_gap(x, y)
+        gap = word_gap(x, y)
         if gap is None:
             return None
         total += gap
@@ -219,124 +253,157 @@ def venue_gap(a: tuple[str, list[str]], b: tuple[str, list[str]]) -> float | Non
     return None
 
 
-def venue_groups(profiles: list[tuple[int, list[str]]]) -> list[set[int]]:
-    """Merge and rematch, nearest first; a form that may be cut from several venues stays alone."""
-    forms = {i: [(f.split(SEP)[0], f.split(SEP)[1:]) for f in fs] for i, fs in profiles}
-    ids = {i: {i} for i in forms}
+@lru_cache(100_000)
+def _venue_parts(sign: str) -> list[tuple[str, list[str]]]:
+    forms = [f.split(SEP) for f in sign[1:].split("\n")]
+    return [(f[2], f[3:]) for f in forms]
 
-    def gap(i: int, j: int) -> float | None:
-        found = [g for a in forms[i] for b in forms[j] if (g := venue_gap(a, b)) is not None]
-        return min(found) if found else None
 
-    known: dict[tuple[int, int], float | None] = {}
-    while True:
-        order = sorted(ids)
-        near: dict[int, list[tuple[float, int]]] = {i: [] for i in order}
-        for n, i in enumerate(order):
-            for j in order[:n]:
-                if (i, j) not in known:
-                    known[i, j] = gap(i, j)
-                if (g := known[i, j]) is not None:
-                    near[i].append((g, j))
-                    near[j].append((g, i))
-        merged: set[int] = set()
-        for i in sorted((i for i in order if near[i]), key=lambda i: (min(near[i])[0], i)):
-            if i in merged:
-                continue
-            least = min(near[i])[0]
-            fits = [j for g, j in near[i] if g <= least + 0.05 and j in ids]
-            if not fits or any(j in merged for j in fits):
-                continue
-            if len(fits) > 1 and any(known.get((max(x, y), min(x, y))) is None for n, x in enumerate(fits) for y in fits[:n]):
-                continue
-            j = fits[0]
-            nearest = min(near[j])[0]
-            if any(x != i and g <= nearest + 0.05 and known.get((max(x, i), min(x, i))) is None for g, x in near[j]):
-                continue
-            forms[i] = forms[i] + forms.pop(j)
-            ids[i] |= ids.pop(j)
-            merged |= {i, j}
-        if not merged:
-            return list(ids.values())
-        known = {k: v for k, v in known.items() if not merged & set(k)}
-
-
-# ---- the rounds
-
-
-def _blocks(profiles: DataFrame, keys: Callable[[list[str]], set[str]]) -> DataFrame:
+@lru_cache(500_000)
+def _venues_gap(a: str, b: str) -> float | None:
+    found = [g for x in _venue_parts(a) for y in _venue_parts(b) if (g := venue_gap(x, y)) is not None]
+    return min(found) if found else None
+
+
+# ---- both kinds; a sign says what a comparison needs of a profile
+
+
+def sign_of(forms: list[str]) -> str:
+    return person_sign(forms) if forms[0][0] == "a" else "v" + "\n".join(sorted(forms))
+
+
+def blocks_of(forms: list[str], sign: str) -> set[tuple[str, str, bool, bool]]:
+    return person_blocks(forms, sign) if sign[0] == "a" else venue_blocks(forms, sign)
+
+
+def score(a: str, b: str, d: float) -> float | None:
+    return person_score(a, b, d) if a[0] == "a" else _venues_gap(*sorted((a, b)))
+
+
+def apart(a: str, b: str) -> bool:
+    """Whether two profiles can't be one entity, whatever else."""
+    return _persons_apart(*sorted((a, b))) if a[0] == "a" else _venues_gap(*sorted((a, b))) is None
+
+
+def _map(df: DataFrame, f: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """``df`` row by row through ``f`` in Arrow batches; ``f`` gives the rows that come of one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pids, forms, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for k, f in enumerate(forms):
-                out += [(key, k) for key in keys(f)]
-            at = pa.array([k for _, k in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array(pids, pa.int64()).take(at), batch.column(1).take(at)], names=["key", "pid", "forms"])
+            rows = [out for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for out in f(*row)]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
+
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = T.StructType.fromDDL(schema)
+    names, arrow = kind.names, to_arrow_schema(kind)
+    return df.mapInArrow(run, kind)
+
 
-    return profiles.select("pid", "forms").mapInArrow(run, "key string, pid long, forms array<string>")
+def _profiles(members: DataFrame) -> DataFrame:
+    """``pid``, ``forms``, ``sign``: the forms of an entity are few, they are its distinct spellings folded."""
+    sets = members.groupBy("pid").agg(F.sort_array(F.collect_set("form")).alias("forms"))
+    return _map(sets, lambda pid, forms: [(pid, forms, sign_of(forms))], "pid string, forms array<string>, sign string")
 
 
-def _tasks(df: DataFrame) -> int:
-    """Partitions for stages whose cost is in the work, not in the bytes."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+def _pairs(ask: DataFrame, answer: DataFrame, related: DataFrame) -> DataFrame:
+    """``a``, ``b`` (pid and sign) and ``d`` of profiles that meet in a block."""
+    blocks = lambda p: _map(p, lambda pid, forms, sign: [(pid, sign, *b) for b in sorted(blocks_of(forms, sign))], "pid string, sign string, token string, block string, opened boolean, asks boolean")
+    x = blocks(ask).where("asks").select(F.struct("pid", "sign").alias("x"), F.col("token").alias("a"), "block", F.col("opened").alias("ox"))
+    y = blocks(answer).select(F.struct("pid", "sign").alias("y"), F.col("token").alias("b"), "block", F.col("opened").alias("oy"))
+    met = x.join(related, "a").join(y, ["b", "block"]).where("(ox or oy) and x.pid <> y.pid")
+    return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("d").alias("d"))
 
 
-def _links(blocks: DataFrame, groups: Callable) -> DataFrame:
-    """Star edges of what each block merged."""
-    single = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+def _scored(pairs: DataFrame) -> DataFrame:
+    def run(a: str, sa: str, b: str, sb: str, d: float) -> list[tuple]:
+        s = score(sa, sb, d)
+        return [] if s is None else [(a, sa, b, sb, s)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = groups([(int(i), list(f)) for i, f in zip(pdf["pid"], pdf["forms"], strict=True)])
-        pairs = [(min(g), x) for g in found if len(g) > 1 for x in g if x != min(g)]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+    flat = pairs.select("a.pid", F.col("a.sign").alias("sign"), F.col("b.pid").alias("other"), F.col("b.sign").alias("other_sign"), "d")
+    return _map(flat, run, "pid string, sign string, other string, other_sign string, s double")
 
-    # Little data, much work: a fixed number of partitions keeps the blocks spread over the cores.
-    spread = blocks.join(single, "key", "left_semi").repartition(_tasks(blocks), "key")
-    return spread.groupBy("key").applyInPandas(run, "a long, b long").distinct()
 
+def _moves(scored: DataFrame) -> DataFrame:
+    """``pid``, ``to``: the profiles that join a nearest one in this round."""
+    turned = scored.select(F.col("other").alias("pid"), F.col("other_sign").alias("sign"), F.col("pid").alias("other"), F.col("sign").alias("other_sign"), "s")
+    both = scored.unionByName(turned)
+    least = both.groupBy("pid").agg(F.min("s").alias("least"))
+    fits = both.join(least, "pid").where(F.col("s") <= F.col("least") + SLACK)
+    best = fits.groupBy("pid", "sign").agg(F.min(F.struct("s", "other")).alias("m"), F.collect_set("other_sign").alias("rivals"))
+
+    def judge(pid: str, sign: str, to: str, s: float, rivals: list[str]) -> list[tuple]:
+        rivals = sorted(rivals)
+        return [(pid, sign, to, s, rivals, any(apart(x, y) for k, x in enumerate(rivals) for y in rivals[:k]))]
+
+    best = _map(best.select("pid", "sign", "m.other", "m.s", "rivals"), judge, "pid string, sign string, to string, s double, rivals array<string>, torn boolean")
+    best = materialize(best)  # read three times
+
+    def clear(pid: str, sign: str, to: str, s: float, rivals: list[str]) -> list[tuple]:
+        return [] if any(r != sign and apart(sign, r) for r in rivals) else [(pid, sign, to, s)]
+
+    nearest = best.where("not torn").select("pid", "sign", "to", "s").join(best.select(F.col("pid").alias("to"), "rivals"), "to")
+    wish = materialize(_map(nearest.select("pid", "sign", "to", "s", "rivals"), clear, "pid string, sign string, to string, s double"))
+    # A profile that wants to join another waits until that one has nowhere to go itself; of two that want each other the first stays.
+    goes = wish.select(F.col("pid").alias("to"), F.col("to").alias("onward"))
+    stays = F.col("onward").isNull() | ((F.col("onward") == F.col("pid")) & (F.col("to") < F.col("pid")))
+    stars = wish.join(goes, "to", "left").where(stays).join(best.select(F.col("pid").alias("to"), F.col("sign").alias("centre")), "to")
+
+    def absorb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, said = None, []
+        for batch in batches:
+            out = []
+            for to, centre, pid, sign in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if to != at:
+                    at, said = to, [centre]
+                if not any(apart(sign, x) for x in said):
+                    said.append(sign)
+                    out.append((pid, to))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], names=["pid", "to"])
 
-def merge_and_rematch(forms: DataFrame, keys: Callable[[list[str]], set[str]], groups: Callable, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``form`` and ``entity`` for the distinct ``form``s given; ``more`` makes further blocks of the profiles.
+    ordered = stars.repartition("to").sortWithinPartitions("to", "s", "pid").select("to", "centre", "pid", "sign")
+    return ordered.mapInArrow(absorb, "pid string, to string")
+
+
+def merge_and_rematch(forms: DataFrame, related: DataFrame) -> DataFrame:
+    """``form`` and ``pid``, the entity it belongs to (a form of it), for the distinct ``form``s given;
+    ``related`` as from :func:`relatives`.
 
     Every round but the last leaves fewer profiles, so the rounds end."""
-    start = forms.where("form is not null").select("form").distinct().select("form", F.xxhash64("form").alias("entity"))
-    members = materialize(start)
-    profiles = members.groupBy("entity").agg(F.collect_set("form").alias("forms")).select(F.col("entity").alias("pid"), "forms")
-    changed: DataFrame | None = None
+    members = materialize(forms.where("form is not null").select("form").distinct().select("form", F.col("form").alias("pid")))
+    profiles = materialize(_profiles(members))
+    scored = materialize(_scored(_pairs(profiles, profiles, related)))
     while True:
-        blocks = _blocks(profiles, keys)
-        if more is not None:
-            blocks = blocks.unionByName(more(profiles))
-        if changed is not None:  # only the blocks a richer profile re-enters can merge anything more
-            again = blocks.join(changed, "pid", "left_semi").select("key").distinct()
-            blocks = blocks.join(again, "key", "left_semi")
-        links = materialize(_links(blocks, groups))
-        if links.isEmpty():
-            break
-        parts = connected_components(links)
-        sets = profiles.join(parts.withColumnRenamed("node", "pid"), "pid")
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            found = groups([(int(i), list(f)) for i, f in zip(pdf["pid"], pdf["forms"], strict=True)])
-            return pd.DataFrame([(x, min(g)) for g in found for x in g], columns=["pid", "to"], dtype="int64")
-
-        moved = materialize(sets.repartition(_tasks(sets), "component").groupBy("component").applyInPandas(run, "pid long, to long").where("pid <> to"))
+        moved = materialize(_moves(scored))
         if moved.isEmpty():
-            break
+            return members
+        members = materialize(members.join(moved, "pid", "left").select("form", F.coalesce("to", "pid").alias("pid")))
+        profiles = materialize(_profiles(members))
         changed = moved.select(F.col("to").alias("pid")).distinct()
-        members = members.join(moved.withColumnRenamed("pid", "entity"), "entity", "left").select("form", F.coalesce("to", "entity").alias("entity"))
-        members = materialize(members)
-        profiles = members.groupBy("entity").agg(F.collect_set("form").alias("forms")).select(F.col("entity").alias("pid"), "forms")
-    return members
+        rich = profiles.join(changed, "pid", "left_semi")
+        stale = changed.unionByName(moved.select("pid"))
+        kept = scored.join(stale, "pid", "left_anti").join(stale.withColumnRenamed("pid", "other"), "other", "left_anti").select(*scored.columns)
+        again = _pairs(rich, profiles, related).unionByName(_pairs(profiles, rich, related)).groupBy("a", "b").agg(F.min("d").alias("d"))
+        scored = materialize(kept.unionByName(_scored(again)))
+
+
+# ---- spellings
 
 
 def _with_form(spellings: DataFrame, form: Callable[[str], str | None]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([form(s) for s in batch.column(0).to_pylist()], pa.string())], names=["spelling", "form"])
+    return _map(spellings.select("spelling"), lambda s: [(s, form(s))], "spelling string, form string").where("form is not null")
 
-    return spellings.mapInArrow(run, "spelling string, form string").where("form is not null")
+
+def with_rare_words(venues: DataFrame, words: DataFrame, related: DataFrame) -> DataFrame:
+    """``venues`` (``spelling``, ``form``), each form with the word it is asked for by: the one whose
+    relatives stand in fewest forms.  ``words``: ``form`` and ``token``, all of them."""
+    held = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    weight = related.where("a like 'v%'").join(held.withColumnRenamed("token", "b"), "b").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("n"))
+    own = _map(venues.select("form").distinct(), lambda f: [(f, "v" + w) for w in whole_words(f)], "form string, token string")
+    rare = own.join(weight, "token").groupBy("form").agg(F.min(F.struct("n", "token")).alias("m"))
+    named = F.concat(F.lit("v" + SEP), F.substring("m.token", F.lit(2), F.length("m.token")), F.substring("form", F.lit(3), F.length("form")))
+    return venues.join(rare, "form").select("spelling", named.alias("form"))
 
 
 def author_spellings(results: DataFrame) -> DataFrame:
@@ -346,20 +413,28 @@ def author_spellings(results: DataFrame) -> DataFrame:
     return author_names(whole, keep=["authors"]).select(F.col("name").alias("spelling")).distinct()
 
 
+def resolve_spellings(persons: DataFrame, organisations: DataFrame, trie: VenueTrie) -> DataFrame:
+    """``kind``, ``spelling``, ``entity`` of the distinct ``spelling``s of both kinds."""
+    shipped = persons.sparkSession.sparkContext.broadcast(trie)
+    names = materialize(_with_form(persons, person_form))
+    venues = materialize(_with_form(organisations, lambda v: venue_form(shipped.value, v)))
+    words = materialize(_map(venues.select("form").distinct(), lambda f: [(f, "v" + w) for w in sorted(set(f.split(SEP)[3:]))], "form string, token string"))
+    surnames = names.select(F.concat(F.lit("a"), F.split("form", SEP)[1]).alias("token"))
+    related = materialize(relatives(surnames.unionByName(words.select("token"))))
+    venues = materialize(with_rare_words(venues, words, related))
+    spelled = names.unionByName(venues)
+    found = merge_and_rematch(spelled.select("form"), related)
+    kind = F.when(F.col("form").startswith("a"), "author").otherwise("venue")
+    return spelled.join(found, "form").select(kind.alias("kind"), "spelling", F.col("pid").alias("entity"))
+
+
 def entities(results: DataFrame, listed: DataFrame) -> DataFrame:
     """``kind`` ('author' or 'venue'), ``spelling``, ``entity``: the spellings of persons, and of
     venues that are not listed."""
-    names = materialize(_with_form(author_spellings(results), person_form))
-    pairs = materialize(keyless_pairs(names))
-    persons = merge_and_rematch(names, person_keys, person_groups, more=None if pairs.isEmpty() else lambda p: pair_blocks(p, pairs))
     trie = load_trie(listed)
-    typed = results.select("venue").where("venue is not null").distinct().join(F.broadcast(listed.select(F.col("name").alias("venue"))), "venue", "left_anti")
+    typed = results.select("venue").where("venue is not null").distinct().join(listed.select(F.col("name").alias("venue")), "venue", "left_anti")
     loose = map_values(typed, "venue", trie, keep=["venue"]).where("venue_id = 0").select(F.col("venue").alias("spelling"))
-    shipped = results.sparkSession.sparkContext.broadcast(trie)
-    venues = materialize(_with_form(loose, lambda v: venue_form(shipped.value, v)))
-    houses = merge_and_rematch(venues, venue_keys, venue_groups)
-    own = lambda kind, s, m: s.join(m, "form").select(F.lit(kind).alias("kind"), "spelling", "entity")
-    return own("author", names, persons).unionByName(own("venue", venues, houses))
+    return resolve_spellings(author_spellings(results), loose, trie)
 
 
 def variant_pairs(entities: DataFrame) -> DataFrame:
@@ -367,6 +442,3 @@ def variant_pairs(entities: DataFrame) -> DataFrame:
     e = materialize(entities.distinct())
     a, b = e.withColumnRenamed("spelling", "name_a"), e.withColumnRenamed("spelling", "name_b")
     return a.join(b, ["kind", "entity"]).where("name_a < name_b").select("kind", "name_a", "name_b")
-
-
-__all__ = ["PARTICLES", "author_spellings", "entities", "merge_and_rematch", "variant_pairs"]
