@@ -1,51 +1,67 @@
-"""Top N items within every group, by merging sorted runs with a loser tree.
+"""Top N items within every group, by merging stored sorted runs with a loser tree.
 
-Every Arrow batch becomes a run sorted by (group, score descending, tie); runs
-are merged by a loser tree, and after N outputs of a group every run seeks to
-its next group.  The operator runs twice: before the shuffle, where it leaves at
-most N rows per group and partition, and after it, on rows hashed by group - so
-a group with millions of items costs N rows per partition, and no task gathers a
-whole group.
+Where rows are read, each task keeps the N best distinct items of every group it
+meets: batches are cut by array passes, and what is held is cut again whenever it
+has doubled, so the work stays in proportion to the rows and the memory to the
+groups of one partition.  At most N rows per group and partition are shuffled; an
+item that is among the N best of its group is so in the partition of its best row.
+
+The shuffled rows are stored in the shared folder in buckets of the group, each
+bucket as runs ordered by group, score and item (a run holds the rows of some of
+the reading tasks).  One task a bucket merges its runs with a loser tree; after N
+outputs of a group every run seeks to its next group.  A group with millions of
+items costs N rows per reading task, and no task gathers a whole group.
 
 Defined results: rows with a null group or item, and rows with a null score,
-are left out; ties go to the smaller item by UTF-8 bytes; N < 1 gives no row.
+are left out; an item that stands in several rows of a group counts with its
+highest score; ties go to the smaller item by UTF-8 bytes; N < 1 gives no row.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Runs are merged once they hold so many rows together.
-COMPACT_ROWS = 200_000
+from ..session import checkpoint_dir
+
+#: Rows a reading task holds before it cuts them, at least; runs of a bucket.
+HELD_ROWS, RUNS = 100_000, 16
+ORDER = [("g", "ascending"), ("s", "descending"), ("i", "ascending")]
+ROW = T.StructType([T.StructField("g", T.StringType()), T.StructField("s", T.LongType()), T.StructField("i", T.StringType())])
 
 
 class Run:
-    """A sorted run: rows as tuples, and where each row's group ends."""
+    """A sorted run of (group, score, item): the scores fall within a group."""
+
+    __slots__ = ("at", "ends", "g", "head", "i", "s")
 
-    __slots__ = ("at", "ends", "rows")
+    def __init__(self, g: pa.Array, s: pa.Array, i: pa.Array):
+        self.g, self.s, self.i, self.at = g, s, i, 0
+        n = len(g)
+        last = np.flatnonzero(np.append(pc.not_equal(g[1:], g[:-1]).to_numpy(zero_copy_only=False), True)) if n else np.zeros(0, np.int64)
+        self.ends = np.repeat(last + 1, np.diff(np.append(-1, last)))
+        self._look()
 
-    def __init__(self, rows: list[tuple]):
-        self.rows, self.at = rows, 0
-        n = len(rows)
-        self.ends = [n] * n
-        for i in range(n - 2, -1, -1):
-            self.ends[i] = self.ends[i + 1] if rows[i][0] == rows[i + 1][0] else i + 1
+    def _look(self) -> None:
+        k = self.at
+        self.head = (self.g[k].as_py(), -self.s[k].as_py(), self.i[k].as_py()) if k < len(self.g) else None
 
-    def head(self) -> tuple | None:
-        return self.rows[self.at] if self.at < len(self.rows) else None
+    def step(self) -> None:
+        self.at += 1
+        self._look()
 
-    def seek_past(self, group) -> bool:
-        """To the first row behind ``group``; whether anything was skipped."""
-        if self.at < len(self.rows) and self.rows[self.at][0] == group:
-            self.at = self.ends[self.at]
-            return True
-        return False
+    def seek_past(self, group: str) -> None:
+        """To the first row behind ``group``."""
+        if self.head is not None and self.head[0] == group:
+            self.at = int(self.ends[self.at])
+            self._look()
 
 
 class LoserTree:
@@ -54,10 +70,10 @@ class LoserTree:
     def __init__(self, runs: list[Run]):
         self.runs, self.k = runs, len(runs)
         self.losers = [-1] * max(1, self.k)
-        self.winner = self._build(1) if self.k else -1
+        self.rebuild()
 
     def _less(self, a: int, b: int) -> bool:
-        x, y = self.runs[a].head(), self.runs[b].head()
+        x, y = self.runs[a].head, self.runs[b].head
         if x is None or y is None:
             return y is None and (x is not None or a < b)
         return (x, a) < (y, b)
@@ -80,75 +96,109 @@ class LoserTree:
         self.winner = win
 
     def rebuild(self) -> None:
-        self.winner = self._build(1)
+        self.winner = self._build(1) if self.k else -1
 
 
-def merge_runs(runs: list[Run], n: int) -> Iterator[tuple]:
-    """The first ``n`` rows of each group over all runs, in order."""
-    runs = [r for r in runs if r.rows]
+def merge_runs(runs: list[Run], n: int) -> Iterator[tuple[str, int, str, int]]:
+    """(group, score, item, place): the first ``n`` items of each group over all runs, in order."""
+    runs = [r for r in runs if r.head is not None]
     if not runs or n < 1:
         return
-    tree, group, given = LoserTree(runs), None, 0
-    while (row := runs[tree.winner].head()) is not None:
-        if given and row[0] == group and given >= n:
-            for r in runs:
-                r.seek_past(group)
-            tree.rebuild()
-            given = 0
+    tree, group, given = LoserTree(runs), None, set()
+    while (row := runs[tree.winner].head) is not None:
+        g, less, i = row
+        if g != group:
+            group, given = g, set()
+        if i not in given:
+            given.add(i)
+            yield g, -less, i, len(given)
+        if len(given) < n:
+            runs[tree.winner].step()
+            tree.replay(tree.winner)
             continue
-        given = given + 1 if given and row[0] == group else 1
-        group = row[0]
-        yield row
-        runs[tree.winner].at += 1
-        tree.replay(tree.winner)
+        for r in runs:
+            r.seek_past(g)
+        tree.rebuild()
+
+
+def cut(table: pa.Table, n: int) -> pa.Table:
+    """The ``n`` best distinct items of every group, sorted."""
+    table = table.sort_by(ORDER).combine_chunks()
+    if not len(table):
+        return table
+    g = np.asarray(table.column("g").combine_chunks().dictionary_encode().indices)
+    i = np.asarray(table.column("i").combine_chunks().dictionary_encode().indices)
+    by_item = np.lexsort((np.arange(len(g)), i, g))  # an item's best row comes first
+    again = np.zeros(len(g), bool)
+    again[by_item[1:]] = (g[by_item[1:]] == g[by_item[:-1]]) & (i[by_item[1:]] == i[by_item[:-1]])
+    table, g = table.filter(pa.array(~again)), g[~again]
+    at = np.arange(len(g))
+    rank = at - np.maximum.accumulate(np.where(np.append(True, g[1:] != g[:-1]), at, 0))
+    return table.filter(pa.array(rank < n))
+
+
+def _best(n: int):
+    """Each task's ``n`` best items of every group."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
+        rows, limit = 0, HELD_ROWS
+        for batch in batches:
+            parts.append(pa.Table.from_batches([batch]))
+            rows += len(batch)
+            if rows > limit:
+                parts = [cut(pa.concat_tables(parts), n)]
+                rows = len(parts[0])
+                limit = max(HELD_ROWS, 2 * rows)
+        if parts:
+            yield from cut(pa.concat_tables(parts), n).combine_chunks().to_batches(max_chunksize=10_000)
 
-def _sorted_run(batch: pa.RecordBatch, n: int) -> Run:
-    table = pa.Table.from_batches([batch]).sort_by([("g", "ascending"), ("s", "descending"), ("i", "ascending")])
-    g = table.column("g").combine_chunks().dictionary_encode()
-    code = np.asarray(g.indices if isinstance(g, pa.DictionaryArray) else g.combine_chunks().indices)
-    start = np.append(True, code[1:] != code[:-1]) if len(code) else np.zeros(0, bool)
-    at = np.arange(len(code))
-    rank = at - np.maximum.accumulate(np.where(start, at, 0)) if len(code) else at
-    table = table.filter(pa.array(rank < n))
-    return Run(list(zip(table.column("g").to_pylist(), [-x for x in table.column("s").to_pylist()], table.column("i").to_pylist(), strict=True)))
+    return run
 
 
 def _merge(n: int):
+    """A bucket's runs, one behind the other, merged."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, held = [], 0
-        for batch in batches:
-            runs.append(_sorted_run(batch, n))
-            held += len(runs[-1].rows)
-            if held > COMPACT_ROWS and len(runs) > 1:
-                runs = [Run(list(merge_runs(runs, n)))]
-                held = len(runs[0].rows)
-        out = list(merge_runs(runs, n))
-        for at in range(0, len(out), 10_000):
-            part = out[at : at + 10_000]
-            place, last = [], None
-            for j, (g, _, _) in enumerate(part):
-                if not j:
-                    k = at
-                    while k and out[k - 1][0] == g:
-                        k -= 1
-                    place.append(at - k + 1)
-                else:
-                    place.append(place[-1] + 1 if g == last else 1)
-                last = g
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in part], pa.string()), pa.array([-r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.string()), pa.array(place, pa.int64())], names=["g", "s", "i", "place"]
-            )
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        if not len(t):
+            return
+        number = t.column("run").to_numpy()
+        bounds = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(t)]
+        column = lambda name, a, b: pa.concat_arrays(t.column(name).slice(a, b - a).chunks)
+        merged = merge_runs([Run(*(column(c, a, b) for c in "gsi")) for a, b in zip(bounds, bounds[1:], strict=False)], n)
+        while part := [row for row, _ in zip(merged, range(10_000), strict=False)]:
+            cols = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["g", "s", "i", "place"])
 
     return run
 
 
-def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 5) -> DataFrame:
+def stored_runs(rows: DataFrame, buckets: int, runs: int = RUNS) -> DataFrame:
+    """``rows`` (g, s, i) stored in the shared folder in ``buckets`` of the group, each with up to
+    ``runs`` sorted runs; read back, a partition is a bucket."""
+    spark = rows.sparkSession
+    name = f"runs_{uuid.uuid4().hex}"
+    numbered = rows.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(runs))).withColumn("less", -F.col("s"))
+    stored = numbered.repartition(buckets, "g").write.bucketBy(buckets, "g").sortBy("run", "g", "less", "i")
+    stored.format("parquet").option("path", f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}").saveAsTable(name)
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # a bucket must stay in one task
+    back = spark.table(name).select("run", "g", "s", "i")
+    spark.sql(f"drop table {name}")  # the catalogue's entry; the files stay
+    if back.rdd.getNumPartitions() != buckets:
+        raise RuntimeError("the buckets were not read as stored")
+    return back
+
+
+def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 5, buckets: int | None = None) -> DataFrame:
     """``group``, ``item``, ``score``, ``place``: the ``n`` items of each group with the
-    highest score (an item's score is the highest of its rows)."""
-    scored = df.select(F.col(group).cast("string").alias("g"), F.col(item).cast("string").alias("i"), F.col(score).cast("long").alias("s"))
-    scored = scored.where("g is not null and i is not null and s is not null").groupBy("g", "i").agg(F.max("s").alias("s")).select("g", "s", "i")
-    schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("s", T.LongType()), T.StructField("i", T.StringType()), T.StructField("place", T.LongType())])
-    local = scored.mapInArrow(_merge(n), schema).select("g", "s", "i")
-    out = local.repartition("g").mapInArrow(_merge(n), schema)
+    highest score.  ``buckets``: of the stored runs, by default as many as shuffles have partitions."""
+    c = lambda name: F.col(f"`{name}`")
+    rows = df.select(c(group).cast("string").alias("g"), c(score).cast("long").alias("s"), c(item).cast("string").alias("i")).where("g is not null and i is not null and s is not null")
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = stored_runs(rows.mapInArrow(_best(n), ROW), buckets) if n > 0 else rows.limit(0).select(F.lit(0).alias("run"), "g", "s", "i")
+    out = stored.mapInArrow(_merge(n), T.StructType([*ROW.fields, T.StructField("place", T.LongType())]))
     return out.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "place")
