@@ -5,12 +5,18 @@ bytes, over the distinct values that carry no mark of omission and no terminal
 punctuation.  A length with far more values than the lengths around it is a
 spike: the field limit of that source.  Values of a spike's length without
 terminal punctuation are cut, unless the same value stands whole in other
-sources.  Beside that, a value is cut if it says so (a mark of omission at its
-beginning or end) or if it breaks off in the middle of a transfer (half a
-character, an entity, a tag, an open list, a sentence).
+sources.
 
-The histograms are aggregated before they are windowed, so a source with a
-third of all rows adds one row per length; the spikes are joined back salted.
+A field limit is not the only way a text is lost: a value may say so (a mark of
+omission at its beginning or end), or break off in the middle of a transfer at
+any length (half a character, an entity, a tag, an open list; running text that
+ends inside a sentence).  No histogram shows these; ``way`` tells which of the
+four ways a value was found by, and the report counts them apart.
+
+The text itself is looked at once; what is kept of it is a row of flags and
+lengths.  The histograms are aggregated before they are windowed, so a source
+with a third of all rows adds one row per length.  The spikes are broadcast if
+there are at most ``SHIPPED_ROWS``, else joined.
 
 Defined results: null and blank values, and an empty table, give no row; a value
 repeated in many rows is judged in each of them; a missing source is a source of
@@ -52,7 +58,9 @@ FIELDS = (Field("authors", lists=True), Field("venue"), Field("snippet", sentenc
 #: A spike has this many times the values of the lengths around it, and at least so many;
 #: where another source has the same limit, fewer will do.
 #: and at most ABOVE times its values are longer still.
-RATIO, LEAST, LEAST_SHARED, AROUND, ABOVE, SALTS = 4.0, 8, 3, 5, 4, 16
+RATIO, LEAST, LEAST_SHARED, AROUND, ABOVE = 4.0, 8, 3, 5, 4
+#: Spikes (a few numbers each) and attested values (of :func:`_attested`) that are broadcast, at most.
+SHIPPED_ROWS = 100_000
 
 
 def host(url: Column) -> Column:
@@ -65,22 +73,25 @@ def result_source() -> Column:
     return F.coalesce(host(F.col("link")), F.nullif(F.lower(F.regexp_extract("byline", r"(?:^|[\s\x{A0}])([\w-]+(?:\.[\w-]+)+)\s*$", 1)), F.lit("")))
 
 
-def _cells(df: DataFrame, row_id: str, source: Column, fields: tuple[Field, ...]) -> DataFrame:
-    """One row per value: what it says of itself, and whether its end may be that of a whole value."""
+def _cells(df: DataFrame, row_id: str, source: Column, fields: tuple[Field, ...], values: bool) -> DataFrame:
+    """One row per value: what it says of itself, and whether its end may be that of a whole value.
+
+    The value is kept with ``values``, and for names, whose words are looked at again.
+    """
 
     def cell(f: Field) -> Column:
         v = F.col(f"`{f.name}`")
-        begun = v.rlike(BEGIN_MARK) | v.rlike(BROKEN_BEGIN)
-        ended = v.rlike(END_MARK) | v.rlike(BROKEN_END)
+        begun, ended = v.rlike(BEGIN_MARK), v.rlike(END_MARK)
+        torn = v.rlike(BROKEN_END) | (v.rlike(OPEN_LIST) if f.lists else F.lit(False))
         whole = v.rlike(SENTENCE_END) if f.sentences else v.rlike(CLOSED_LIST) if f.lists else F.lit(False)
-        if f.lists:
-            ended = ended | v.rlike(OPEN_LIST)
-        broken = ~whole & ~ended if f.sentences else F.lit(False)
-        return F.struct(F.lit(f.name).alias("field"), v.alias("value"), begun.alias("begun"), ended.alias("ended"), whole.alias("whole"), broken.alias("broken"))
+        kept = v if values or not (f.sentences or f.lists) else F.lit(None).cast("string")
+        return F.struct(
+            F.lit(f.name).alias("field"), kept.alias("value"), F.xxhash64(v).alias("h"), F.length(v).alias("chars"), F.octet_length(v).alias("bytes"), v.rlike(r"[^\s\x{A0}]").alias("some"), begun.alias("begun"),
+            v.rlike(BROKEN_BEGIN).alias("torn_begin"), ended.alias("marked"), torn.alias("torn"), (ended | torn).alias("ended"), whole.alias("whole"), (~whole if f.sentences else F.lit(False)).alias("unended"),
+        )
 
     rows = df.select(F.col(f"`{row_id}`").alias("__id"), F.coalesce(source, F.lit("")).alias("source"), F.inline(F.array(*[cell(f) for f in fields])))
-    rows = rows.where(F.col("value").rlike(r"[^\s\x{A0}]"))
-    return rows.withColumns({"chars": F.length("value"), "bytes": F.octet_length("value")})
+    return rows.where("some").drop("some")
 
 
 def _broken_words(distinct: DataFrame) -> DataFrame:
@@ -99,7 +110,7 @@ def length_spikes(cells: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataF
     """``source``, ``field``, ``at_chars``, ``at_bytes``: the lengths at which the source cuts."""
     named = [f.name for f in fields if not f.sentences and not f.lists]
     open_ended = cells.where(~F.col("ended") & ~F.col("whole"))
-    distinct = open_ended.groupBy("source", "field", "chars", "bytes", F.when(F.col("field").isin(named), F.col("value")).alias("value"), F.xxhash64("value").alias("h")).agg(F.lit(1).alias("n"))
+    distinct = open_ended.groupBy("source", "field", "chars", "bytes", F.when(F.col("field").isin(named), F.col("value")).alias("value"), "h").agg(F.lit(1).alias("n"))
     texts = distinct.where(~F.col("field").isin(named))
     if named:
         texts = texts.unionByName(_broken_words(distinct.where(F.col("field").isin(named))))
@@ -116,35 +127,45 @@ def length_spikes(cells: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataF
     return peak.groupBy("source", "field").agg(lens("chars").alias("at_chars"), lens("bytes").alias("at_bytes"))
 
 
-def cut_values(df: DataFrame, row_id: str = "obs_id", source: Column | None = None, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
-    """``row_id``, ``source``, ``field``, ``value``, ``cut_begin``, ``cut_end``, ``at_spike``: one row per
-    value of ``fields`` that is neither null nor blank; it was cut where one of the flags holds."""
-    cells = materialize(_cells(df, row_id, result_source() if source is None else source, fields))  # read three times
-    spikes = length_spikes(cells, fields).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cells = cells.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
-    joined = cells.join(spikes, ["source", "field", "__salt"], "left")
+def _shipped(small: DataFrame) -> DataFrame:
+    """``small`` stored, and broadcast if it has at most :data:`SHIPPED_ROWS` rows."""
+    small = materialize(small)
+    return F.broadcast(small) if small.count() <= SHIPPED_ROWS else small
+
+
+def _attested(doubt: DataFrame) -> DataFrame:
+    """``field``, ``value``: as long as a limit, but two sources without that limit have it too, half as often at least."""
+    per = doubt.groupBy("field", "value", "source").agg(F.count_if("at_spike").alias("spiked"), F.count_if(~F.col("at_spike")).alias("free"))
+    seen = per.groupBy("field", "value").agg(F.sum("spiked").alias("spiked"), F.sum("free").alias("free"), F.count_if(F.col("free") > 0).alias("sources"))
+    return seen.where("spiked > 0 and sources >= 2 and free * 2 >= spiked").select("field", "value", F.lit(True).alias("attested"))
+
+
+def cut_values(df: DataFrame, row_id: str = "obs_id", source: Column | None = None, fields: tuple[Field, ...] = FIELDS, values: bool = True) -> DataFrame:
+    """``row_id``, ``source``, ``field``, ``value`` (with ``values``), ``chars``, ``cut_begin``, ``cut_end``, ``way``: one
+    row per value of ``fields`` that is neither null nor blank; it was cut where one of the flags holds.  ``way``:
+    'mark' (it says so), 'limit' (at a spike, without terminal punctuation), 'torn' or 'unended' (broke off), null if whole."""
+    cells = materialize(_cells(df, row_id, result_source() if source is None else source, fields, values))  # read three times
+    joined = cells.join(_shipped(length_spikes(cells, fields)), ["source", "field"], "left")
     at = F.array_contains("at_chars", F.col("chars")) | F.array_contains("at_bytes", F.col("bytes"))
     joined = joined.withColumn("at_spike", F.coalesce(at, F.lit(False)) & ~F.col("ended") & ~F.col("whole"))
     # A value of no running text may be as long as the limit and whole: then other sources have it too.
     named = [f.name for f in fields if not f.sentences and not f.lists]
     if named:
-        doubt = joined.where(F.col("field").isin(named) & ~F.col("ended"))
-        seen = doubt.groupBy("field", "value").agg(
-            F.count_if("at_spike").alias("spiked"), F.count_if(~F.col("at_spike")).alias("free"), F.approx_count_distinct(F.when(~F.col("at_spike"), F.col("source"))).alias("sources")
-        )
-        attested = seen.where("spiked > 0 and sources >= 2 and free * 2 >= spiked").select("field", "value", F.lit(True).alias("attested"))
-        attested = attested.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = joined.join(attested, ["field", "value", "__salt"], "left")
+        doubt = joined.where(F.col("field").isin(named) & ~F.col("ended")).select("field", "value", "source", "at_spike")
+        joined = joined.join(_shipped(_attested(doubt)), ["field", "value"], "left")
         joined = joined.withColumn("at_spike", F.col("at_spike") & F.col("attested").isNull()).drop("attested")
+    way = F.when(F.col("begun") | F.col("marked"), "mark").when(F.col("at_spike"), "limit").when(F.col("torn_begin") | F.col("torn"), "torn").when(F.col("unended"), "unended")
+    kept = ["value"] if values else []
     return joined.select(
-        F.col("__id").alias(row_id), "source", "field", "value", F.col("begun").alias("cut_begin"), (F.col("ended") | F.col("broken") | F.col("at_spike")).alias("cut_end"), "at_spike"
+        F.col("__id").alias(row_id), "source", "field", *kept, "chars", (F.col("begun") | F.col("torn_begin")).alias("cut_begin"), (F.col("ended") | F.col("unended") | F.col("at_spike")).alias("cut_end"), way.alias("way")
     )
 
 
 def truncation_report(df: DataFrame, row_id: str = "obs_id", source: Column | None = None, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
-    """``source``, ``field``, ``n_values``, ``n_cut``, ``share`` and the ``limits`` found, for each source and column."""
-    v = cut_values(df, row_id, source, fields)
-    cut = F.col("cut_begin") | F.col("cut_end")
+    """``source``, ``field``, ``n_values``, ``n_cut``, ``share``, how many were found by each way (``n_mark``, ``n_limit``,
+    ``n_torn``, ``n_unended``) and the ``limits`` found, for each source and column."""
+    v = cut_values(df, row_id, source, fields, values=False)
+    ways = [F.count_if(F.col("way") == w).alias(f"n_{w}") for w in ("mark", "limit", "torn", "unended")]
     return v.groupBy("source", "field").agg(
-        F.count(F.lit(1)).alias("n_values"), F.count_if(cut).alias("n_cut"), (F.count_if(cut) / F.count(F.lit(1))).alias("share"), F.sort_array(F.collect_set(F.when(F.col("at_spike"), F.length("value")))).alias("limits")
+        F.count(F.lit(1)).alias("n_values"), F.count("way").alias("n_cut"), (F.count("way") / F.count(F.lit(1))).alias("share"), *ways, F.sort_array(F.collect_set(F.when(F.col("way") == "limit", F.col("chars")))).alias("limits")
     )

@@ -28,10 +28,14 @@ def test_limits_marks_and_broken_ends(spark):
     df = spark.createDataFrame([(*x, "clash") for x in rows], "obs_id int, link string, snippet string, field string")
     fields = (Field("snippet", sentences=True),)
     source = F.regexp_extract("link", "//([^/]+)", 1)
-    got = {x["obs_id"] for x in cut_values(df, source=source, fields=fields).where("cut_begin or cut_end").collect()}
-    assert got == cut
+    found = cut_values(df, source=source, fields=fields)
+    got = {x["obs_id"]: x["way"] for x in found.where("way is not null").collect()}
+    assert set(got) == cut and found.where("(cut_begin or cut_end) <> (way is not null)").count() == 0
+    assert {got[k] for k in cut if k < 1000} == {"limit"}  # unmarked values of the source with a limit come by its spike
+    assert [got[1000 + k] for k in (0, 1, 4, 5, 6, 7, 9)] == ["mark", "mark", "torn", "torn", "torn", "torn", "unended"]
     report = {x["source"]: x for x in truncation_report(df, source=source, fields=fields).collect()}
     assert report["cut.example"]["limits"] == [100] and report["whole.example"]["n_cut"] == 0
+    assert report["cut.example"]["n_limit"] == report["cut.example"]["n_cut"] > 50
     assert cut_values(df.limit(0), source=source, fields=fields).collect() == []
 
 
