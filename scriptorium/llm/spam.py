@@ -1,17 +1,18 @@
 """Keyword-stuffed and link-list pages: bagged decision trees on content and link features.
 
 Weak labels come from rules that only speak where a page is plain (a wall of
-hashtags, of links, of repeated phrases; or running text).  Segments of a
-bounded sample of pages so labelled, drawn by a hash of the key, train the
-trees; a log-odds table of words learned from the same sample is one of their
-features.  Every page of the corpus is then cut into segments, each segment is
-judged by the trees, and the page's spam share is the share of its text in
-segments judged spam.  Page scores are smoothed with the spam rate of their
-host; an exact check of the share follows.
+hashtags, of links, of repeated phrases; or running text).  They are asked of
+every page; segments of a bounded sample of each label, drawn by a hash of the
+key, train the trees; a log-odds table of words learned from the same sample is
+one of their features.  Every page of the corpus is then cut into segments and
+each segment is scored by the trees.  The score above which a segment is spam is
+shifted by the spam rate of the page's host: on a host of spam the segments that
+the trees leave open are spam, on a clean one they are not.  A page is spam if
+the share of its text in spam segments is at least ``SHARE``.
 
 Defined results: null and empty texts are no spam; a null host is a host of its
 own; copies score alike but for their hosts; texts of any length are read whole;
-a sample without both labels finds nothing.
+a corpus without both labels finds nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -30,10 +32,14 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Bound of the training sample, in pages; trees, their depth, segments of a leaf, spam segments of a bag.
-SAMPLE_PAGES, TREES, DEPTH, LEAF, BAG = 4_000, 12, 7, 8, 1_500
-#: Share of the text that makes a page spam; weight of the host in a page's score; pages of prior.
+#: Bound of the training sample, in pages of each label (spam, none, silent); trees, their depth, segments of a leaf, spam segments of a bag.
+SAMPLE_PAGES, TREES, DEPTH, LEAF, BAG = 2_000, 12, 7, 8, 1_500
+#: Share of the text that makes a page spam; by how much a host of nothing but spam lowers the score of a spam segment; pages of prior.
 SHARE, HOST_WEIGHT, PRIOR = 0.7, 0.15, 20.0
+#: Scores at which a page's share is kept: the middle, as far as hosts can shift it, in steps of STEP.
+LOW, STEP, CUTS = 0.3, 0.025, 17
+#: Hosts whose rates are broadcast, at most.
+SHIPPED_HOSTS = 100_000
 WINDOW, LEAST_LABELS = 24, 4
 #: Log-odds above which a word tells of spam; pages judged together, in characters.
 TELLING, BATCH_CHARS = 1.5, 4_000_000
@@ -269,24 +275,26 @@ class Model:
     def judge(self, x: np.ndarray) -> np.ndarray:
         return sum(t.predict(x) for t in self.trees) / len(self.trees)
 
-    def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each page: share of the text in segments judged spam, and the mean score by length."""
-        share, score = np.zeros(len(texts)), np.zeros(len(texts))
+    def shares(self, texts: list[str]) -> np.ndarray:
+        """For each page the share of its text in segments that score at least each of the cuts."""
+        share = np.zeros((len(texts), CUTS))
         if not self.trees:
-            return share, score
+            return share
+        cuts = LOW + STEP * np.arange(CUTS) - 1e-9
         start, chars = 0, 0
         for k in range(len(texts) + 1):
             if k == len(texts) or chars > BATCH_CHARS:
                 page, size, x = page_features(texts[start:k], self.odds)
                 if len(page):
-                    p, n = self.judge(x), k - start
-                    total = np.maximum(np.bincount(page, size, n), 1)
-                    share[start:k] = np.bincount(page, size * (p >= 0.5), n) / total
-                    score[start:k] = np.bincount(page, size * p, n) / total
+                    n = k - start
+                    above = np.searchsorted(cuts, self.judge(x), side="right")  # cuts that the segment reaches
+                    held = np.bincount(page * (CUTS + 1) + above, size, n * (CUTS + 1)).reshape(n, CUTS + 1)
+                    total = np.maximum(held.sum(axis=1, keepdims=True), 1)
+                    share[start:k] = (held[:, ::-1].cumsum(axis=1)[:, ::-1] / total)[:, 1:]
                 start, chars = k, 0
             if k < len(texts):
                 chars += len(texts[k])
-        return share, score
+        return share
 
 
 def _odds(pages: list[Facts], labels: list[int | None]) -> dict[str, float]:
@@ -326,50 +334,69 @@ def train(texts: list[str], seed: int = 7) -> Model:
     return Model(odds, trees)
 
 
+def weak_labels(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``label`` (2 where the rules are silent) and ``h``, a number drawn by the key, of every page with a text."""
+    spread = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("spam")), F.lit(1 << 40))
+    src = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), spread.alias("h"), F.col(text).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [weak_label(facts(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([2 if k is None else k for k in found], pa.int32())], names=["key", "h", "label"])
+
+    return src.mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, h long, label int")
+
+
 def train_on(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_pages: int = SAMPLE_PAGES) -> Model:
-    """Trained on about ``sample_pages`` pages, those whose key hashes below the share that makes so many.
+    """Trained on about ``sample_pages`` pages of each label, those whose number is below the share that makes so many.
 
-    The share comes from a count, so only the sample itself goes to the driver:
-    at most twice ``sample_pages``, however large the corpus is.
+    Only the sample goes to the driver: at most twice ``sample_pages`` of each label, however large the corpus is;
+    a label that is rare in it is taken whole.
     """
-    total = documents.count()
-    share = min(1.0, sample_pages / max(1, total))
-    spread = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("spam")), F.lit(1 << 40))
-    src = documents.where(F.col(text).isNotNull() & (spread < F.lit(int(share * (1 << 40))))).select(F.col(text).alias("t"), spread.alias("h"))
-    rows = src.limit(2 * sample_pages).collect()
+    labels = materialize(weak_labels(documents, key, text))
+    counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if min(counts.get(0, 0), counts.get(1, 0)) < LEAST_LABELS:
+        return Model({}, [])
+    drawn = [labels.where((F.col("label") == k) & (F.col("h") < F.lit(int(min(1.0, sample_pages / n) * (1 << 40))))).limit(2 * sample_pages) for k, n in sorted(counts.items())]
+    keys = reduce(DataFrame.unionByName, drawn).select("key", "h").distinct()
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("t")).join(F.broadcast(keys), "key").where("t is not null").groupBy("key", "h").agg(F.min("t").alias("t")).collect()
     return train([r["t"] for r in sorted(rows, key=lambda r: (r["h"], r["t"]))])
 
 
-def page_scores(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``key``, ``source``, ``share``, ``score``: every page judged, where it is read."""
+def page_shares(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``key``, ``source``, ``shares`` (at each cut): every page judged, where it is read."""
     shipped = documents.sparkSession.sparkContext.broadcast(model)
     src = documents.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in batches:
-            share, score = m.shares(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share), pa.array(score)], names=["key", "source", "share", "score"])
+            shares = m.shares(batch.column(2).to_pylist())
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, shares.size + 1, CUTS), pa.int32()), pa.array(shares.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], names=["key", "source", "shares"])
 
     kind = src.schema["key"].dataType.simpleString()
-    return src.mapInArrow(run, f"key {kind}, source string, share double, score double").withColumnRenamed("key", key)
+    return src.mapInArrow(run, f"key {kind}, source string, shares array<double>").withColumnRenamed("key", key)
 
 
-def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE) -> DataFrame:
-    """``key``, ``source``, ``share``, ``score`` (smoothed with the host's rate), ``host_rate`` and
-    ``is_spam`` of every page.
+def smoothed(pages: DataFrame, key: str = "doc_id", share: float = SHARE) -> DataFrame:
+    """``key``, ``source``, ``share`` (by the trees alone), ``score`` (the share with the host's cut), ``host_rate``, ``is_spam``.
 
-    The host's rate is a smoothed share of its pages that look like spam; the
-    smoothed score decides pages near the line, the exact check is the share.
+    A host's rate is the share of its pages that the trees alone find spam, drawn to the rate of all pages by ``PRIOR``.
     """
-    pages = materialize(page_scores(documents, train_on(documents, key, text), key, text, source))
-    pages = pages.withColumn("host", F.coalesce("source", F.lit("")))
-    looks = (F.col("share") >= share).cast("double")
-    hosts = pages.groupBy("host").agg(F.sum(looks).alias("spam"), F.count(F.lit(1)).alias("n"))
-    n_spam, n_pages = hosts.agg(F.sum("spam"), F.sum("n")).first()  # one row
+    alone = F.get("shares", F.lit(round((0.5 - LOW) / STEP)))
+    pages = pages.select(key, "source", F.coalesce("source", F.lit("")).alias("host"), "shares", alone.alias("share"))
+    hosts = pages.groupBy("host").agg(F.sum((F.col("share") >= share).cast("double")).alias("spam"), F.count(F.lit(1)).alias("n"))
+    hosts = materialize(hosts)
+    n_spam, n_pages, n_hosts = hosts.agg(F.sum("spam"), F.sum("n"), F.count(F.lit(1))).first()  # one row
     base = (n_spam or 0.0) / n_pages if n_pages else 0.0
-    hosts = hosts.select("host", ((F.col("spam") + PRIOR * base) / (F.col("n") + PRIOR)).alias("host_rate"))
-    out = pages.join(hosts, "host")
-    smooth = F.col("share") + HOST_WEIGHT * (F.col("host_rate") - base) * 4 * F.col("share") * (1 - F.col("share"))
-    out = out.withColumn("smoothed", smooth)
-    return out.select(key, "source", "share", F.col("smoothed").alias("score"), "host_rate", ((F.col("smoothed") >= share) & (F.col("share") >= share - 0.05)).alias("is_spam"))
+    rates = hosts.select("host", ((F.col("spam") + PRIOR * base) / (F.col("n") + PRIOR)).alias("host_rate"))
+    out = pages.join(F.broadcast(rates) if n_hosts <= SHIPPED_HOSTS else rates, "host")
+    cut = F.greatest(F.least(F.ceil(F.round((0.5 - HOST_WEIGHT * (F.col("host_rate") - base) - LOW) / STEP, 6)), F.lit(CUTS - 1)), F.lit(0)).cast("int")
+    out = out.withColumn("score", F.get("shares", cut))
+    return out.select(key, "source", "share", "score", "host_rate", (F.col("score") >= share).alias("is_spam"))
+
+
+def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE) -> DataFrame:
+    """As :func:`smoothed`, for every page of ``documents``."""
+    return smoothed(materialize(page_shares(documents, train_on(documents, key, text), key, text, source)), key, share)

@@ -1,6 +1,6 @@
 import random
 
-from scriptorium.llm.spam import facts, page_features, segments, spam_pages, train, weak_label
+from scriptorium.llm.spam import CUTS, LOW, STEP, facts, page_features, segments, smoothed, spam_pages, train, train_on, weak_label
 
 KEYS = ["proof reading", "essay tutor", "bulk pdf", "ghost author", "rank tool", "exam notes"]
 TOPICS = ["reef optics", "kelp genomics", "moss ethics", "dune anatomy"]
@@ -55,7 +55,7 @@ def corpus(seed, n):
 def test_held_out_accuracy():
     model = train([t for t, _ in corpus(1, 1200)])
     held = corpus(2, 600)
-    share, _ = model.shares([t for t, _ in held])
+    share = model.shares([t for t, _ in held])[:, round((0.5 - LOW) / STEP)]
     wrong = [(y, round(s, 2)) for s, (_, y) in zip(share, held, strict=True) if (s >= 0.7) != y]
     assert len(wrong) <= 12, wrong
 
@@ -68,7 +68,7 @@ def test_parts():
     assert len(size) == len(x) == len(page)
     assert weak_label(facts("too short")) is None
     empty = train([])
-    assert empty.trees == [] and list(empty.shares(["anything"])[0]) == [0.0]
+    assert empty.trees == [] and not empty.shares(["anything"]).any()
 
 
 def test_pages(spark):
@@ -79,3 +79,21 @@ def test_pages(spark):
     truth = {i: bool(y) for i, (_, y) in enumerate(corpus(3, 400))}
     assert sum(got[i] != truth[i] for i in truth) <= 10
     assert spam_pages(df.limit(0)).collect() == []
+
+
+def test_hosts_decide_what_the_trees_leave_open(spark):
+    # four fifths of the page scores 0.45: spam on a host of spam, none elsewhere; 0.55: spam but on a clean host
+    at = lambda score: [0.8 if LOW + STEP * k <= score + 1e-9 else 0.0 for k in range(CUTS)]
+    rows = [(k, "bad", [1.0] * CUTS) for k in range(60)] + [(100 + k, "good", [0.0] * CUTS) for k in range(300)]
+    rows += [(1, "bad", at(0.45)), (2, "good", at(0.45)), (3, None, at(0.45)), (4, "bad", at(0.5)), (5, "good", at(0.5)), (6, "good", at(0.6))]
+    df = spark.createDataFrame([r for r in rows if r[0] > 6 or r[2] not in ([1.0] * CUTS,)], "doc_id int, source string, shares array<double>")
+    got = {(r["doc_id"], r["source"]): r for r in smoothed(df).collect()}
+    assert [got[k]["is_spam"] for k in ((1, "bad"), (2, "good"), (3, None), (4, "bad"), (5, "good"), (6, "good"))] == [True, False, False, True, False, True]
+    assert got[1, "bad"]["share"] < 0.7 <= got[1, "bad"]["score"] and got[5, "good"]["share"] >= 0.7 > got[5, "good"]["score"]
+
+
+def test_rare_spam_is_sampled_whole(spark):
+    r = random.Random(5)
+    rows = [(i, prose(r, 3)) for i in range(3_000)] + [(9_000 + i, junk(r, 12)) for i in range(30)]
+    model = train_on(spark.createDataFrame(rows, "doc_id int, text string"), sample_pages=60)
+    assert model.trees and model.shares([junk(r, 12)])[0, 8] > 0.7
