@@ -1,19 +1,20 @@
 """Best representative of each duplicate group: survivorship field by field.
 
-Rows are first folded to one row per (group, field, value) - a partial
-aggregation before any shuffle, so a group that holds a third of all rows is
-spread over its values - and one aggregation then takes, for each group and
-field, the maximum of a composite struct (value present, priority, time stamp,
-support, value).
+One aggregation takes, for each group and field, the maximum of a composite
+struct (usable, source priority, time stamp, value); it combines before the
+shuffle, so a group that holds a third of all rows sends one row per task.  The
+same aggregation tells whether the rows of the group differ, and how much of the
+value a damaged one shows.
 
 Defined results: rows without group key are left out; a null or unusable value
 never survives; equal candidates go to the greater value by bytes; repeated rows
-count once per row in the support only; an empty input gives no row.
+change nothing; an empty input gives no row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,16 +34,17 @@ SLACK = 3
 class Rule:
     """How the survivor of one field is found.
 
-    ``usable``: which values may survive; ``priority``: higher is better;
-    ``by_time``: the latest dated row decides (undated rows don't count);
-    ``reach``: what every value of the group, usable or not, shows the priority
-    of the whole value to be; a survivor that falls short of it is incomplete.
+    ``usable``: which values may survive; ``priority``: higher is better (of the
+    source the row came from, or of the value itself); among equals the latest row
+    decides.  ``dated``: rows without a time stamp don't count.  ``reach``: what
+    every value of the group, usable or not, shows the priority of the whole value
+    to be; a survivor that falls short of it is incomplete.
     """
 
     field: str
     usable: Column
     priority: Column
-    by_time: bool = False
+    dated: bool = False
     reach: Column | None = None
 
 
@@ -55,59 +57,67 @@ def text_rule(field: str) -> Rule:
     return Rule(field, F.coalesce(v.rlike(r"\S") & ~v.rlike(DAMAGE) & ~shouting, F.lit(False)), F.length(v).cast("long"), reach=whole)
 
 
-def present_rule(field: str) -> Rule:
+def present_rule(field: str, priority: Column | None = None) -> Rule:
     v = F.col(field)
-    return Rule(field, v.isNotNull() & F.coalesce(v.cast("string").rlike(r"\S"), F.lit(False)), F.lit(0).cast("long"))
+    return Rule(field, v.isNotNull() & F.coalesce(v.cast("string").rlike(r"\S"), F.lit(False)), F.lit(0).cast("long") if priority is None else priority)
 
 
 def latest_rule(field: str) -> Rule:
     v = F.col(field)
-    return Rule(field, F.coalesce(v >= 0, F.lit(False)), F.lit(0).cast("long"), by_time=True)
+    return Rule(field, F.coalesce(v >= 0, F.lit(False)), F.lit(0).cast("long"), dated=True)
 
 
 def record_rules() -> tuple[Rule, ...]:
-    """The rules for bibliographic records."""
-    return text_rule("title"), present_rule("link"), present_rule("year"), latest_rule("cited_by_count"), latest_rule("versions_count")
+    """The rules for bibliographic records; a full card goes before one known from citations only."""
+    full = F.when(F.coalesce(F.col("citation_only"), F.lit(False)), 0).otherwise(1).cast("long")
+    return text_rule("title"), present_rule("link", full), present_rule("year", full), latest_rule("cited_by_count"), latest_rule("versions_count")
 
 
-def survivors(df: DataFrame, key: str = "cluster_id", row_id: str = "obs_id", at: Column | None = None, rules: tuple[Rule, ...] | None = None) -> DataFrame:
-    """``key``, ``field``, ``value`` (text), ``row_id`` (the smallest that holds it),
-    ``n_values`` (distinct values as stored, null being one), ``support``."""
+def survivor_rows(df: DataFrame, key: str = "cluster_id", at: Column | None = None, rules: tuple[Rule, ...] | None = None) -> DataFrame:
+    """``key`` and, named like each field, STRUCT<value, differ>: the survivor (null if there is none) and whether the
+    rows of the group differ in it as stored (null is a value of its own)."""
     at = iso_seconds(F.col("fetched_at")) if at is None else at
     rules = rules or record_rules()
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(r.field).alias("field"),
-                F.col(r.field).cast("string").alias("value"),
-                (r.usable & (F.col("__at").isNotNull() if r.by_time else F.lit(True))).alias("usable"),
-                F.when(r.usable, r.priority).alias("priority"),
-                (r.reach if r.reach is not None else F.lit(0).cast("long")).alias("reach"),
-                (F.when(r.usable, F.col("__at")) if r.by_time else F.lit(None).cast("long")).alias("at"),
-            )
-            for r in rules
-        ]
-    )
-    rows = df.where(F.col(key).isNotNull()).withColumn("__at", at)
-    cell = rows.select(F.col(key), F.col(row_id), F.inline(cells))
-    values = cell.groupBy(key, "field", "value").agg(
-        F.max("usable").alias("usable"), F.max("priority").alias("priority"), F.max("reach").alias("reach"), F.max("at").alias("at"), F.min(row_id).alias(row_id), F.count(F.lit(1)).alias("support")
-    )
-    best = F.max(F.struct("usable", "priority", "at", "support", "value", row_id)).alias("best")
-    out = values.groupBy(key, "field").agg(best, F.count(F.lit(1)).alias("n_values"), F.max("reach").alias("reach"))
-    out = out.where("best.usable and best.priority >= reach")
-    return out.select(key, "field", F.col("best.value").alias("value"), F.col(f"best.{row_id}").alias(row_id), "n_values", F.col("best.support").alias("support"))
+    rows = df.where(F.col(f"`{key}`").isNotNull()).withColumn("__at", at)
+    picks, out = [], []
+    for k, r in enumerate(rules):
+        v = F.col(f"`{r.field}`")
+        usable = r.usable & F.col("__at").isNotNull() if r.dated else r.usable
+        picks += [
+            F.max(F.when(usable, F.struct(F.lit(True).alias("usable"), r.priority.alias("priority"), F.col("__at").alias("at"), v.alias("value")))).alias(f"__best{k}"),
+            F.min(v).alias(f"__low{k}"), F.max(v).alias(f"__high{k}"), F.count(v).alias(f"__filled{k}"),
+        ]
+        if r.reach is not None:
+            picks.append(F.max(r.reach).alias(f"__reach{k}"))
+        best = F.col(f"__best{k}")
+        whole = best["priority"] >= F.coalesce(F.col(f"__reach{k}"), F.lit(0)) if r.reach is not None else F.lit(True)
+        differ = (F.col(f"__low{k}") != F.col(f"__high{k}")) | ((F.col(f"__filled{k}") > 0) & (F.col(f"__filled{k}") < F.col("__rows")))
+        out.append(F.struct(F.when(whole, best["value"]).alias("value"), F.coalesce(differ, F.lit(False)).alias("differ")).alias(r.field))
+    one = rows.groupBy(F.col(f"`{key}`").alias(key)).agg(F.count(F.lit(1)).alias("__rows"), *picks)
+    return one.select(key, *out)
+
+
+def survivors(df: DataFrame, key: str = "cluster_id", row_id: str = "obs_id", at: Column | None = None, rules: tuple[Rule, ...] | None = None, disputed: bool = False) -> DataFrame:
+    """``key``, ``field``, ``value`` (text), ``differ``, and ``row_id``, the smallest that holds the value; with ``disputed``
+    only the fields in which the rows of the group differ."""
+    rules = rules or record_rules()
+    one = survivor_rows(df, key, at, rules).withColumnsRenamed({r.field: f"__s{k}" for k, r in enumerate(rules)})
+    rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{row_id}`").alias("__id"), *[F.col(f"`{r.field}`").alias(f"__v{k}") for k, r in enumerate(rules)]).where(F.col(key).isNotNull())
+    wanted = [F.col(f"__s{k}.value").isNotNull() & (F.col(f"__s{k}.differ") if disputed else F.lit(True)) for k in range(len(rules))]
+    held = rows.join(one.where(reduce(Column.__or__, wanted)), key)
+    least = [F.min(F.when(w & (F.col(f"__v{k}") == F.col(f"__s{k}.value")), F.col("__id"))).alias(f"__id{k}") for k, w in enumerate(wanted)]
+    found = held.groupBy(key).agg(*least, *[F.first(f"__s{k}").alias(f"__s{k}") for k in range(len(rules))])  # one and the same in every row of a group
+    cells = [F.struct(F.lit(r.field).alias("field"), F.col(f"__s{k}.value").cast("string").alias("value"), F.col(f"__s{k}.differ").alias("differ"), F.col(f"__id{k}").alias(row_id)) for k, r in enumerate(rules)]
+    return found.select(key, F.inline(F.array(*cells))).where(F.col(row_id).isNotNull())
 
 
 def disputed_survivors(df: DataFrame, **kw) -> DataFrame:
     """Only the fields in which the rows of the group differ as stored."""
-    return survivors(df, **kw).where("n_values > 1")
+    return survivors(df, disputed=True, **kw)
 
 
 def survivor_records(df: DataFrame, key: str = "cluster_id", rules: tuple[Rule, ...] | None = None, **kw) -> DataFrame:
-    """One record per group, its fields typed as in the input."""
+    """One record per group, its fields typed as in the input; a group without any survivor has no record."""
     rules = rules or record_rules()
-    cells = survivors(df, key=key, rules=rules, **kw)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    picks = [F.max(F.when(F.col("field") == r.field, F.col("value"))).cast(types[r.field]).alias(r.field) for r in rules]
-    return cells.groupBy(key).agg(*picks)
+    one = survivor_rows(df, key, rules=rules, **kw).select(key, *[F.col(f"{r.field}.value").alias(r.field) for r in rules])
+    return one.where(reduce(Column.__or__, [F.col(r.field).isNotNull() for r in rules]))

@@ -1,6 +1,6 @@
 from scriptorium.llm.survivorship import disputed_survivors, survivor_records, survivors
 
-SCHEMA = "obs_id long, cluster_id string, title string, link string, year long, cited_by_count long, versions_count long, fetched_at string, value string, field string"
+SCHEMA = "obs_id long, cluster_id string, title string, link string, year long, cited_by_count long, versions_count long, fetched_at string, value string, field string, citation_only boolean"
 
 
 def test_survivors(spark):
@@ -12,7 +12,7 @@ def test_survivors(spark):
         (20, "c", "A title that was c", None, None, None, None, None), (21, "c", "[HTML] A title that was cut somewhere", None, None, None, None, None),
         (30, "d", None, None, None, -5, None, t.format(1)), (31, "d", None, None, None, 4, None, "n/a"),
     ]
-    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
+    df = spark.createDataFrame([(*r, "clash", "clash", None) for r in rows], SCHEMA)
     got = {(r["cluster_id"], r["field"]): r["obs_id"] for r in disputed_survivors(df).collect()}
     # title: undamaged; link, year: not null; counts: latest dated row that has one, then its smallest holder
     assert got == {("a", "title"): 7, ("a", "link"): 7, ("a", "year"): 5, ("a", "cited_by_count"): 6, ("a", "versions_count"): 7}
@@ -21,3 +21,9 @@ def test_survivors(spark):
     assert survivors(df.limit(0)).collect() == []
     twice = {(r["cluster_id"], r["field"]): r["obs_id"] for r in disputed_survivors(df.union(df)).collect()}
     assert twice == got
+
+
+def test_priority_then_time(spark):
+    rows = [(1, "a", "T", "old", None, None, None, "2024-01-01T00:00:00Z", "", "", False), (2, "a", "T", "new", None, None, None, "2024-01-02T00:00:00Z", "", "", False), (3, "a", "T", "cited", None, None, None, "2024-01-03T00:00:00Z", "", "", True), (4, "a", "T", "undated", None, None, None, None, "", "", False)]
+    got = disputed_survivors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r["field"], r["value"], r["obs_id"]) for r in got] == [("link", "new", 2)]
