@@ -2,8 +2,10 @@
 
 Only the histogram of sizes (at most ``capacity`` rows, whatever the corpus) is
 planned on the driver: best fit, largest first, over counts.  Documents get a
-rank within their size, in two levels so that no task sorts all documents of a
-common size, and take the planned slots by joining on size and rank.
+rank within their size, in two levels (``SALTS`` slices of each size, by a hash of
+the key) so that no task sorts all documents of a common size, and take the
+planned slots by joining on size and rank; the plan is broadcast if it has at most
+``SHIPPED_ROWS`` rows, else joined.
 
 Defined results: an item larger than a container is divided into full containers
 and a remainder, nothing else is divided; an empty or null text has size 0 and
@@ -30,8 +32,8 @@ CAPACITY = 2048
 TOKENIZER = os.environ.get("SCRIPTORIUM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: how the vocabulary's texts are cut into pieces before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Documents of one size that one task ranks, about.
-RANK_ROWS = 200_000
+#: Slices in which the documents of one size are ranked; rows of a plan that is broadcast, at most.
+SALTS, SHIPPED_ROWS = 1_024, 200_000
 
 _loaded: dict[str, object] = {}
 
@@ -101,15 +103,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", size: str = "size", capacity: int = CAPACITY) -> DataFrame:
+def pack(sizes: DataFrame, key: str = "doc_id", size: str = "size", capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
     """``key``, ``piece`` from 0, ``start`` (tokens before it), ``size``, ``container`` for every item of ``sizes``."""
     spark = sizes.sparkSession
     items = sizes.select(F.col(key).alias("key"), F.col(size).cast("long").alias("whole"))
     full = F.floor(F.col("whole") / capacity).cast("long")
     rest = F.col("whole") % capacity
     n_full = items.agg(F.sum(full)).first()[0] or 0
-    total = items.count()
-    salts = max(1, min(65_536, total // RANK_ROWS))
     rests = items.select("key", full.alias("piece"), (full * capacity).alias("start"), rest.alias("size")).where("size > 0 or piece = 0")
     none = rests.where("size = 0").select("key", "piece", "start", "size", F.lit(None).cast("long").alias("container"))
     rests = rests.where("size > 0").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
@@ -125,7 +125,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "size", capacity: in
     if rows:
         slots = spark.createDataFrame(rows, "size long, rank_from long, rank_to long, first long, per long")
         on = (ranked["size"] == slots["size"]) & ranked["rank"].between(slots["rank_from"], slots["rank_to"])
-        packed = ranked.join(F.broadcast(slots), on).select(
+        packed = ranked.join(F.broadcast(slots) if len(rows) <= SHIPPED_ROWS else slots, on).select(
             "key", "piece", "start", ranked["size"], (F.col("first") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("per")) + n_full).cast("long").alias("container")
         )
     else:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .leaks import leaks, without_leaks
-from .packing import pack_documents, packing_report
+from .packing import CAPACITY, pack_documents, packing_report, token_sizes
 from .resolution import entities, variant_pairs
 from .spam import spam_pages
 from .survivorship import disputed_survivors, survivor_records
 from .topn import top_n
 from .truncation import cut_values, host, truncation_report
-
-from .venues import map_venues
+from .venues import map_venues, venue_candidates
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -54,9 +54,20 @@ def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return m.where("venue_id = 0").groupBy("venue").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def p6_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """All entries near each value that is typed."""
+    return venue_candidates(read(spark, sf, "scholar_results"), read(spark, sf, "venue_list"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    v = cut_values(read(spark, sf, "scholar_results"))
-    return v.where("cut_begin or cut_end").select("obs_id", "field")
+    v = cut_values(read(spark, sf, "scholar_results"), values=False)
+    return v.where("way is not null").select("obs_id", "field")
+
+
+def p7_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """How many values of each column were found cut by each way."""
+    v = cut_values(read(spark, sf, "scholar_results"), values=False)
+    return v.where("way is not null").groupBy("field", "way").agg(F.count(F.lit(1)).alias("n"))
 
 
 def p7_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,6 +82,23 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing_report(pack_documents(read(spark, sf, "documents")))
 
 
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of a packing: containers over their capacity, documents missing, without the right pieces, or in no
+    container although they have tokens; tokens lost; container numbers left out."""
+    packed = materialize(pack_documents(read(spark, sf, "documents")))
+    sizes = token_sizes(read(spark, sf, "documents")).groupBy("doc_id").agg(F.sum("size").alias("tokens"))
+    used = packed.where("container is not null").groupBy("container").agg(F.sum("size").alias("used"))
+    full = used.agg(F.count_if(F.col("used") > CAPACITY).alias("overfull"), (F.coalesce(F.max("container") + 1, F.lit(0)) - F.count(F.lit(1))).alias("left_out"))
+    per = packed.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.count_if("size > 0 and container is null").alias("loose"), F.count_if(F.col("start") != F.col("piece") * CAPACITY).alias("shifted"))
+    both = sizes.join(per, "doc_id", "full_outer")
+    right = (F.col("n") == F.col("last") + 1) & (F.col("n") == F.greatest(F.ceil(F.col("tokens") / CAPACITY), F.lit(1))) & (F.col("shifted") == 0)
+    docs = both.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n").isNull() | F.col("tokens").isNull()).alias("missing"), F.count_if(~right).alias("wrong_pieces"), F.coalesce(F.sum("loose"), F.lit(0)).alias("loose"),
+        F.coalesce(F.sum("tokens") - F.sum("size"), F.lit(0)).alias("tokens_lost"),
+    )
+    return docs.withColumn("one", F.lit(1)).join(full.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark")).select("doc_id", "item_id")
 
@@ -98,12 +126,13 @@ def p10_hosts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_entities, p3_found, p3_records, p5_found, p6_found, p6_unmatched, p7_found, p7_sources,
-        p8_pack, p8_report, p9_found, p9_items, p9_clean, p10_found, p10_hosts,
+        p1_found, p1_entities, p3_found, p3_records, p5_found, p6_found, p6_unmatched, p6_candidates, p7_found, p7_ways, p7_sources,
+        p8_pack, p8_report, p8_checks, p9_found, p9_items, p9_clean, p10_found, p10_hosts,
     )
 }
 
 ORACLES = {
+    "p8_checks": "select count(distinct doc_id) as documents, 0 as missing, 0 as wrong_pieces, 0 as loose, 0 as tokens_lost, 0 as overfull, 0 as left_out from documents",
     "p5_found": """
 with s as (select query, cluster_id, max(cited_by_count) as c from scholar_results
   where query <> '' and cluster_id is not null and cited_by_count >= 0 group by all),

@@ -40,7 +40,7 @@ from ..operators.packed import author_names
 from ..session import materialize
 from .names import Profile, at_odds, edits, near, parse_name, reach
 from .truncation import Field, cut_values
-from .venues import SHORT, Parsed, VenueTrie, load_trie, map_values
+from .venues import SHORT, Parsed, VenueTrie, load_tries, map_values, unlisted
 
 SEP = "\t"
 #: Words for a publishing house that its name may go without.
@@ -110,6 +110,12 @@ def _prefixes(word: str) -> set[str]:
     return {"=" + word[:k] for k in range(1, len(word))}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For stages whose cost is in the work, not in the bytes: enough partitions for all cores."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def relatives(tokens: DataFrame) -> DataFrame:
     """``a``, ``b``, ``d``: all pairs, both ways, of the distinct ``token``s (a kind's letter, then a
     word) that may be one, and every token with itself."""
@@ -136,7 +142,7 @@ def relatives(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(d, pa.float64())], names=["a", "b", "d"])
 
     # A word meets its own signs and those of which it is a beginning; two beginnings say nothing.
-    signed = names.mapInArrow(sign, "sign string, token string, own boolean").select(F.xxhash64("sign").alias("sign"), "token", "own")
+    signed = spread(names).mapInArrow(sign, "sign string, token string, own boolean").select(F.xxhash64("sign").alias("sign"), "token", "own")
     a, b = signed.select("sign", F.col("token").alias("a"), F.col("own").alias("oa")), signed.select("sign", F.col("token").alias("b"), F.col("own").alias("ob"))
     pairs = a.join(b.hint("merge"), "sign").where("a < b and (oa or ob)").select("a", "b").distinct()  # merge: the signs look small to the planner
     found = pairs.mapInArrow(verify, "a string, b string, d double")
@@ -431,10 +437,10 @@ def resolve_spellings(persons: DataFrame, organisations: DataFrame, trie: VenueT
 def entities(results: DataFrame, listed: DataFrame) -> DataFrame:
     """``kind`` ('author' or 'venue'), ``spelling``, ``entity``: the spellings of persons, and of
     venues that are not listed."""
-    trie = load_trie(listed)
-    typed = results.select("venue").where("venue is not null").distinct().join(listed.select(F.col("name").alias("venue")), "venue", "left_anti")
-    loose = map_values(typed, "venue", trie, keep=["venue"]).where("venue_id = 0").select(F.col("venue").alias("spelling"))
-    return resolve_spellings(author_spellings(results), loose, trie)
+    tries = load_tries(listed)
+    typed = unlisted(results.select("venue").distinct(), listed)
+    loose = map_values(spread(typed), "venue", tries, keep=["venue"]).where("venue_id = 0").select(F.col("venue").alias("spelling"))
+    return resolve_spellings(author_spellings(results), loose, tries[0])
 
 
 def variant_pairs(entities: DataFrame) -> DataFrame:

@@ -7,11 +7,15 @@ alias path leads on to the words it abbreviates ("Int" - "International").  The
 trie of entries has the words of every name, with alias paths for its acronym
 and, for values that lost their beginning, for its endings; the words found for
 each word of a value are its edges.  All entries within a distance that depends
-on the length of the value are returned, best first.
+on the length of the value are returned, best first; a word that stands in the list
+stands for itself or for a longer one, never for a near one.
 
-The list is bounded (its size is checked) and shipped to the tasks; values are
-matched where they are read, each distinct value once per task, without shuffle,
-so no value, however common, is a hot key.
+The list is shipped to the tasks in shards of ``SHARD_ENTRIES`` entries; what the
+search must know of the whole list (its words and publishers) goes with each
+shard.  With one shard values are matched where they are read, each distinct value
+once per task, without shuffle, so no value, however common, is a hot key; with
+more the distinct values pass through one shard after the other and the best entry
+of all shards is joined back.
 
 Defined results: null and blank values, and an empty table, give no row; a value
 that means no entry comes out with id 0; of equally near entries the first in
@@ -24,6 +28,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +45,10 @@ MARK_END, MARK_BEGIN = re.compile(r"\s*(?:…|\.\.\.|�)\s*$"), re.compile(r"^\
 ACRONYM = re.compile(r"\s*\(([A-Z][A-Za-z]{2,})\)?")
 #: Words without meaning that may as well be short forms ("For." for Forecasting).
 TELLING = frozenset({"for", "in"})
-#: The list must not be larger than this to be shipped to every task.
-MAX_ENTRIES = 100_000
-MAX_MEMO = 200_000
+#: Entries of the list in one trie; values and words remembered per task.
+SHARD_ENTRIES, MAX_MEMO = 10_000, 200_000
+#: How an entry was found, best first: by its acronym, by all its words, by a part of it; LOOSE more with words that may be stop words.
+BY_ACRONYM, BY_WORDS, BY_PART, LOOSE = 0, 1, 2, 2
 
 
 def plain(text: str) -> str:
@@ -183,41 +189,53 @@ class WordTrie:
         return got
 
 
+Entry = tuple[int, str, str | None, str | None]
+
+
+class VenueList:
+    """What the search knows of the whole list: its words, its names, what one name has more than another, the publishers."""
+
+    def __init__(self, entries: list[Entry]):
+        names = {tuple(words_of(plain(n))) for _, n, _, _ in entries if n}
+        self.words = {w for ws in names for w in ws}
+        self.rests = {ws[k:] for ws in names for k in range(1, len(ws)) if ws[:k] in names}
+        self.publishers = {tuple(words_of(plain(p))) for *_, p in entries if p}
+
+
 class VenueTrie:
-    """The reference list: ``entries`` are (id, name, acronym, publisher)."""
+    """Tries over ``entries`` (id, name, acronym, publisher), a shard of the list or all of it."""
 
-    def __init__(self, entries: list[tuple[int, str, str | None, str | None]]):
+    def __init__(self, entries: list[Entry], whole: VenueList | None = None):
+        whole = whole or VenueList(entries)
         self.root: dict = {}
         self.tails: dict = {}
-        self.acronyms: dict[str, int] = {}
-        self.rests: set[tuple[str, ...]] = set()
-        names = sorted((i, tuple(words_of(plain(n)))) for i, n, _, _ in entries if n)
-        vocabulary = {w for _, ws in names for w in ws}
-        self.words = WordTrie(vocabulary)
-        have = {ws for _, ws in names}
-        for i, ws in names:
+        self.acronyms: dict[str, list[int]] = {}
+        self.rests, self.publishers = whole.rests, whole.publishers
+        self.words = WordTrie(whole.words)
+        for i, n, a, _ in sorted(entries, key=lambda e: e[0]):
+            ws = tuple(words_of(plain(n))) if n else ()
             self._add(self.root, ws, i)
             if ws[:1] == ("proceedings",) and len(ws) > 2:
                 self._add(self.root, ws[1:], i)
             for k in range(1, len(ws)):
                 self._add(self.tails, ws[k:], i)
-                if ws[:k] in have:
-                    self.rests.add(ws[k:])  # what a listed name may have more than another
-        for i, _, a, _ in sorted(entries, key=lambda e: e[0]):
             if a:
-                self.acronyms.setdefault(a.lower(), i)
-        self.publishers = {tuple(words_of(plain(p))) for *_, p in entries if p}
+                self.acronyms.setdefault(a.lower(), []).append(i)
         self.house = WordTrie({w for p in self.publishers for w in p})
-        self.folded = {fold_word(a): i for a, i in self.acronyms.items()}
-        self.memo: dict[str, int] = {}
-        self.found: dict[tuple, list[tuple[float, int]]] = {}
+        self.folded: dict[str, list[int]] = {}
+        for a, ids in self.acronyms.items():
+            self.folded.setdefault(fold_word(a), []).extend(ids)
+        self.memo: dict[str, list[tuple[int, float, int]]] = {}
+        self.found: dict[tuple, list[tuple[int, float, int]]] = {}
         self.known: dict[tuple[str, ...], bool] = {}
 
     @staticmethod
     def _add(node: dict, words: tuple[str, ...], entry: int) -> None:
-        for w in words:
-            node = node.setdefault(w, {})
-        node.setdefault("", entry)
+        """Entries with the same words end at one node."""
+        if words:
+            for w in words:
+                node = node.setdefault(w, {})
+            node.setdefault("", []).append(entry)
 
     def is_publisher(self, words: list[str]) -> bool:
         key = tuple(words)
@@ -250,8 +268,7 @@ class VenueTrie:
         while todo:
             cost, k, node = todo.pop()
             if k == n:
-                if "" in node:
-                    full.append((cost, node[""]))
+                full += [(cost, e) for e in node.get("", ())]
                 inner.append((cost, node))
                 continue
             for w, c in lists[k]:
@@ -282,22 +299,28 @@ class VenueTrie:
                 if w:
                     todo.append((child, (*path, w)))
                 else:
-                    out.append((child, path))
+                    out += [(e, path) for e in child]
         return out
 
-    def matches(self, value: str) -> list[tuple[float, int]]:
-        """All entries within the distance the length of the value allows, best first."""
-        parsed = Parsed(value)
+    def matches(self, value: str) -> list[tuple[int, float, int]]:
+        """(way, distance, id) of all entries within the distance the length of the value allows, best first."""
+        got = self.memo.get(value)
+        if got is None:
+            if len(self.memo) > MAX_MEMO:
+                self.memo.clear()
+            got = self.memo[value] = self._of(Parsed(value))
+        return got
+
+    def _of(self, parsed: Parsed) -> list[tuple[int, float, int]]:
         words = self.names(parsed)
         if not words:
-            hits = [self.acronyms[a] for a in parsed.acronyms if a in self.acronyms]
-            return [(0.0, h) for h in hits]
+            return sorted((BY_ACRONYM, 0.0, i) for a in parsed.acronyms for i in self.acronyms.get(a, ()))
         got = self._known(words, parsed)
         if not got and (loose := self.names(parsed, True)) != words:
-            got = self._known(loose, parsed)
+            got = [(way + LOOSE, c, i) for way, c, i in self._known(loose, parsed)]
         return got
 
-    def _known(self, words: list[str], parsed: Parsed) -> list[tuple[float, int]]:
+    def _known(self, words: list[str], parsed: Parsed) -> list[tuple[int, float, int]]:
         key = (*words, parsed.begin_cut, parsed.end_cut or parsed.dangling)
         got = self.found.get(key)
         if got is None:
@@ -306,9 +329,9 @@ class VenueTrie:
             got = self.found[key] = self._matches(words, parsed.begin_cut, parsed.end_cut or parsed.dangling)
         return got
 
-    def _matches(self, words: list[str], begin_cut: bool, told: bool) -> list[tuple[float, int]]:
+    def _matches(self, words: list[str], begin_cut: bool, told: bool) -> list[tuple[int, float, int]]:
         if len(words) == 1 and words[0] in self.folded:
-            return [(0.0, self.folded[words[0]])]
+            return sorted((BY_ACRONYM, 0.0, i) for i in self.folded[words[0]])
         most = min(3.0, 1.0 + sum(map(len, words)) // 16) + 0.3 * len(words)
         if begin_cut and words[0] not in self.words.words:  # the first word lost its beginning
             ends = {w for w in self.words.words if w.endswith(words[0]) and len(words[0]) > 1}
@@ -319,39 +342,64 @@ class VenueTrie:
         best: dict[int, float] = {}
         for c, e in full:
             best[e] = min(c, best.get(e, 9.0))
-        if not best:
-            for c, node in inner:
-                for e, rest in self.below(node):
-                    if rest and (told or (rest not in self.rests and len(words) > 2)):
-                        best[e] = min(c + 0.5, best.get(e, 9.0))
-        return sorted((c, e) for e, c in best.items())
+        if best:
+            return sorted((BY_WORDS, c, e) for e, c in best.items())
+        for c, node in inner:
+            for e, rest in self.below(node):
+                if rest and (told or (rest not in self.rests and len(words) > 2)):
+                    best[e] = min(c + 0.5, best.get(e, 9.0))
+        return sorted((BY_PART, c, e) for e, c in best.items())
 
     def match(self, value: str) -> int:
         """The entry that is meant, or 0."""
-        got = self.memo.get(value)
-        if got is None:
-            found = self.matches(value)
-            got = found[0][1] if found else 0
-            if len(self.memo) > MAX_MEMO:
-                self.memo.clear()
-            self.memo[value] = got
-        return got
+        found = self.matches(value)
+        return found[0][2] if found else 0
+
+
+def load_tries(listed: DataFrame, shard_entries: int = SHARD_ENTRIES) -> list[VenueTrie]:
+    """The list, read to the driver, as tries of ``shard_entries`` entries each; an empty list is one empty trie."""
+    rows = listed.select("venue_id", "name", "acronym", "publisher").where("venue_id is not null").collect()
+    entries = sorted((r.venue_id, r.name or "", r.acronym, r.publisher) for r in rows)
+    whole = VenueList(entries)
+    return [VenueTrie(entries[k : k + shard_entries], whole) for k in range(0, max(1, len(entries)), shard_entries)]
+
+
+def _typed(df: DataFrame, text: str, names: list[str]) -> DataFrame:
+    return df.where(F.col(f"`{text}`").rlike(r"[^\s\x{A0}]")).select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__typed"))
+
 
+def all_entries(values: DataFrame, tries: list[VenueTrie], text: str = "__typed") -> DataFrame:
+    """``text``, ``venue_id``, ``way``, ``distance`` of every entry within the distance of each distinct value of ``text``."""
+    values = values.select(F.col(f"`{text}`").alias("typed")).where("typed is not null").distinct()
 
-def load_trie(listed: DataFrame) -> VenueTrie:
-    """The list read to the driver: at most :data:`MAX_ENTRIES` entries, else an error."""
-    rows = listed.select("venue_id", "name", "acronym", "publisher").limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
-    return VenueTrie([(r.venue_id, r.name, r.acronym, r.publisher) for r in rows if r.venue_id is not None])
+    def through(trie: VenueTrie) -> DataFrame:
+        shipped = values.sparkSession.sparkContext.broadcast(trie)
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = shipped.value
+            for batch in batches:
+                rows = [(v, i, way, d) for v in batch.column(0).to_pylist() for way, d, i in t.matches(v)]
+                cols = zip(*rows, strict=True) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["typed", "venue_id", "way", "distance"])
 
-def map_values(df: DataFrame, text: str, trie: VenueTrie, out: str = "venue_id", keep: list[str] | None = None) -> DataFrame:
+        return values.mapInArrow(run, "typed string, venue_id long, way int, distance double")
+
+    found = reduce(DataFrame.unionByName, map(through, tries))
+    if len(tries) > 1:  # a shard that has no better way doesn't know that another has
+        least = found.groupBy("typed").agg(F.min("way").alias("way"))
+        found = found.join(least, ["typed", "way"])
+    return found.select(F.col("typed").alias(text), "venue_id", "way", "distance")
+
+
+def map_values(df: DataFrame, text: str, tries: list[VenueTrie], out: str = "venue_id", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default all) of every row whose ``text`` is not blank, and the entry meant."""
     names = [c for c in (keep if keep is not None else df.columns) if c != out]
-    src = df.where(F.col(f"`{text}`").rlike(r"[^\s\x{A0}]")).select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__typed"))
+    src = _typed(df, text, names)
+    if len(tries) > 1:
+        best = all_entries(src, tries).groupBy("__typed").agg(F.min(F.struct("way", "distance", "venue_id")).alias("m")).select("__typed", F.col("m.venue_id").alias("__best"))
+        return src.join(best, "__typed", "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce("__best", F.lit(0)).cast("long").alias(out))
     schema = T.StructType([*[src.schema[c] for c in names], T.StructField(out, T.LongType())])
-    shipped = df.sparkSession.sparkContext.broadcast(trie)
+    shipped = df.sparkSession.sparkContext.broadcast(tries[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shipped.value
@@ -363,9 +411,17 @@ def map_values(df: DataFrame, text: str, trie: VenueTrie, out: str = "venue_id",
     return src.mapInArrow(run, schema)
 
 
-def map_venues(results: DataFrame, listed: DataFrame) -> DataFrame:
+def unlisted(results: DataFrame, listed: DataFrame) -> DataFrame:
+    """The records whose venue is neither null nor letter for letter a listed name."""
+    return results.join(listed.select(F.col("name").alias("venue")).where("venue is not null"), "venue", "left_anti").where("venue is not null")
+
+
+def map_venues(results: DataFrame, listed: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """``obs_id``, ``venue``, ``venue_id`` (0: no entry) of every record whose venue is
     neither blank nor letter for letter a listed name."""
-    trie = load_trie(listed)
-    exact = listed.select(F.col("name").alias("venue")).where("venue is not null")
-    return map_values(results.select("obs_id", "venue").join(F.broadcast(exact), "venue", "left_anti"), "venue", trie, keep=["obs_id", "venue"])
+    return map_values(unlisted(results.select("obs_id", "venue"), listed), "venue", load_tries(listed, shard_entries), keep=["obs_id", "venue"])
+
+
+def venue_candidates(results: DataFrame, listed: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """``venue``, ``venue_id``, ``way``, ``distance``: all entries within the distance of each distinct venue typed."""
+    return all_entries(unlisted(results.select("venue"), listed), load_tries(listed, shard_entries), "venue")

@@ -44,5 +44,10 @@ def test_hard_tables_add_nothing(spark, folders, name):
         assert {r[0] for r in run("plain")} <= {r[0] for r in got}
         return
     assert len(got) == len(set(got)), "rows must come out once"
-    if name != "p10_found":  # the sample that trains it differs
-        assert set(run("plain")) <= set(got) or name in ("p3_found", "p7_found")
+    if name == "p10_found":  # the sample that trains it differs
+        return
+    lost = set(run("plain")) - set(got)
+    if name == "p3_found":  # the copied row of the long text carries another snippet only, but a row of nulls makes fields differ
+        assert {r[:2] for r in lost} <= {r[:2] for r in got}
+    else:
+        assert not lost

@@ -28,7 +28,7 @@ def test_pack(spark, cap):
     r = random.Random(cap)
     sizes = {f"d{i}": r.choice([0, 1, 2, 3, 5, 5, 5, 8, 13, 40, 16, 50, 100, 137]) for i in range(400)}
     df = spark.createDataFrame([(k, s, "x", 1) for k, s in sizes.items()], "doc_id string, size long, container string, piece int").select("doc_id", "size")
-    rows = pack(df, "doc_id", "size", cap).collect()
+    rows = pack(df, "doc_id", "size", cap, salts=cap // 10).collect()
     used, pieces = Counter(), defaultdict(list)
     for x in rows:
         pieces[x["doc_id"]].append((x["piece"], x["start"], x["size"], x["container"]))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from scriptorium.llm.names import edits
-from scriptorium.llm.venues import VenueTrie, WordTrie, map_venues
+from scriptorium.llm.venues import VenueList, VenueTrie, WordTrie, map_venues, venue_candidates
 
 LIST = [
     (1, "Annals of Reef Optics", None, "Kloss Verlag"), (2, "International Workshop on Orchard Statistics", "IWOSOI", "Nerd Society"), (3, "Reef Anatomy Letters", None, None), (4, "Reef Anatomy Letters: Methods", None, None),
@@ -42,6 +42,23 @@ def test_records(spark):
     got = {r["obs_id"]: r["venue_id"] for r in map_venues(spark.createDataFrame(rows, "obs_id int, venue string, venue_id int"), listed).collect()}
     n = len(CASES)
     assert got == {i: k for i, k in enumerate(CASES.values())} | {n + 3: 1}
+    more = map_venues(spark.createDataFrame(rows, "obs_id int, venue string, venue_id int"), listed, shard_entries=2)  # five shards
+    assert {r["obs_id"]: r["venue_id"] for r in more.collect()} == got
     assert map_venues(spark.createDataFrame([], "obs_id int, venue string"), listed).collect() == []
     none = map_venues(spark.createDataFrame([(1, "x y")], "obs_id int, venue string"), listed.limit(0)).collect()
     assert [tuple(r) for r in none] == [(1, "x y", 0)]
+
+
+def test_all_entries_within_the_distance(spark):
+    entries = [(5, "Journal of Marine Ecology", None, None), (3, "Annals of Marine Ecology", "AME", None), (4, "Annals of Marine Ecology!", "ame", None), (6, "Annals of Marine Geology", None, None)]
+    ids = lambda v, e=entries: [i for *_, i in VenueTrie(e).matches(v)]
+    assert ids("… Marine Ecology") == [3, 4, 5] and ids("Annals of Marine Ecology 3") == [3, 4] and ids("AME") == [3, 4]
+    assert ids("Annals of Marine…") == [3, 4, 6] and ids("Nothing of the Kind") == []
+    parts = [VenueTrie(entries[:2], VenueList(entries)), VenueTrie(entries[2:], VenueList(entries))]
+    for v in ("… Marine Ecology", "Annals of Marine…", "Ann. Mar. Ecol.", "Anals of Marine Ecology"):
+        both = sorted(x for t in parts for x in t.matches(v))
+        assert [x for x in both if x[0] == both[0][0]] == VenueTrie(entries).matches(v)
+    listed = spark.createDataFrame(entries, "venue_id long, name string, acronym string, publisher string")
+    typed = spark.createDataFrame([(1, "… Marine Ecology"), (2, "… Marine Ecology"), (3, None), (4, "Annals of Marine Geology")], "obs_id int, venue string")
+    for n in (1, 10):
+        assert sorted(r["venue_id"] for r in venue_candidates(typed, listed, n).collect()) == [3, 4, 5]
