@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.times import iso_seconds
-from .operators.history import counted, scd2_history, scd2_merge, scd2_versions
+from .operators.history import counted, scd2_history, scd2_merge
 from .operators.packed import author_names
+from .session import materialize
 
 ATTRS = ("cited_by_count", "versions_count")
 
@@ -20,22 +21,25 @@ def _attrs() -> dict:
     return {a: counted(a) for a in ATTRS}
 
 
+def _dimension(spark: SparkSession, sf: str) -> DataFrame:
+    return scd2_history(read(spark, sf, "scholar_results"), "cluster_id", iso_seconds(F.col("fetched_at")), _attrs())
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    r = read(spark, sf, "scholar_results")
-    return scd2_versions(r, "cluster_id", iso_seconds(F.col("fetched_at")), _attrs()).select("cluster_id", "valid_from")
+    return _dimension(spark, sf).select("cluster_id", "valid_from")
 
 
 def p2_history(spark: SparkSession, sf: str) -> DataFrame:
-    r = read(spark, sf, "scholar_results")
-    return scd2_history(r, "cluster_id", iso_seconds(F.col("fetched_at")), _attrs()).drop("attr_hash")
+    return _dimension(spark, sf).drop("attr_hash", "seen_until")
 
 
 def p2_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """The dimension as of the start of 2025, then merged with all later fetches."""
-    r = read(spark, sf, "scholar_results").select("cluster_id", iso_seconds(F.col("fetched_at")).alias("at"), *ATTRS)
-    cut = F.lit(1_735_689_600)
-    old = scd2_history(r.where(F.col("at") < cut), "cluster_id", F.col("at"), _attrs())
-    return scd2_merge(old, r.where(F.col("at") >= cut), "cluster_id", F.col("at"), _attrs()).drop("attr_hash")
+    """The dimension of three of every four records in order of arrival, merged with the others; some of those come late."""
+    r = read(spark, sf, "scholar_results").select("obs_id", "cluster_id", iso_seconds(F.col("fetched_at")).alias("at"), *ATTRS)
+    cut = r.agg(F.max("obs_id")).first()[0]
+    old, new = r.where(F.col("obs_id") <= F.lit(cut) * 0.75), r.where(F.col("obs_id") > F.lit(cut) * 0.75)
+    stored = materialize(scd2_history(old, "cluster_id", F.col("at"), _attrs()))
+    return scd2_merge(stored, new, "cluster_id", F.col("at"), _attrs(), observations=old).drop("attr_hash", "seen_until")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

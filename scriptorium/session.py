@@ -39,9 +39,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return set_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors.
+
+    ``by``: a column of few values; a filter on it reads only its own files.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

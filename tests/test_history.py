@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions.times import iso_seconds
-from scriptorium.operators.history import counted, scd2_history, scd2_merge, scd2_versions
+from scriptorium.operators.history import counted, scd2_history, scd2_merge
 
 SCHEMA = "k string, t long, a long, b long, attr_hash string, valid_from int"
 
@@ -40,23 +41,38 @@ def attrs():
     return {"a": counted("a"), "b": counted("b")}
 
 
-def test_history_against_brute_force(spark):
-    for seed, width in ((1, 7), (2, 3), (3, 1000)):
-        rows = rows_of(160, seed)
-        df = spark.createDataFrame(rows + rows[:20], SCHEMA)
-        got = scd2_history(df, "k", F.col("t"), attrs(), width)
-        # rows of one instant need not agree here; the greatest value holds
-        assert sorted(map(tuple, got.drop("attr_hash").collect()), key=lambda x: (x[0], x[1])) == brute(rows)
-        opened = scd2_versions(df, "k", F.col("t"), attrs(), width).select("k", "valid_from").collect()
-        assert sorted(map(tuple, opened)) == [x[:2] for x in brute(rows)]
+def rows_in_order(history):
+    return sorted(map(tuple, history.drop("attr_hash", "seen_until").collect()), key=lambda x: (x[0], x[1]))
 
 
-def test_merge_equals_history_in_order(spark):
-    rows = sorted((r for r in rows_of(120, 5) if r[0] and r[1] is not None), key=lambda r: r[1])
+@pytest.mark.parametrize(("seed", "width", "period"), [(1, 7, 15), (2, 3, 1_000), (3, 1_000, 9)])
+def test_history_against_brute_force(spark, seed, width, period):
+    rows = rows_of(160, seed)
+    df = spark.createDataFrame(rows + rows[:20], SCHEMA)
+    # rows of one instant need not agree here; the greatest value holds
+    assert rows_in_order(scd2_history(df, "k", F.col("t"), attrs(), width, period)) == brute(rows)
+
+
+def test_merge_in_order(spark):
+    rows = [r for r in rows_of(120, 5) if r[0] and r[1] is not None]
     df = spark.createDataFrame(rows, SCHEMA)
-    old = scd2_history(df.where("t < 20"), "k", F.col("t"), attrs(), 7)
-    new = scd2_merge(old, df.where("t >= 20"), "k", F.col("t"), attrs(), 7)
-    assert sorted(map(tuple, new.drop("attr_hash").collect()), key=lambda x: (x[0], x[1])) == brute(rows)
+    old = scd2_history(df.where("t < 20"), "k", F.col("t"), attrs(), 7, 15)
+    assert rows_in_order(scd2_merge(old, df.where("t >= 20"), "k", F.col("t"), attrs(), slice_seconds=7)) == brute(rows)
+
+
+def test_merge_of_late_updates(spark):
+    rows = [r for r in rows_of(150, 6) if r[0] and r[1] is not None]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, " + SCHEMA)
+    first, then = df.where("n < 80"), df.where("n >= 80")
+    old = scd2_history(first, "k", F.col("t"), attrs(), 7, 15)
+    assert rows_in_order(scd2_merge(old, then, "k", F.col("t"), attrs(), first, 7, 15)) == brute(rows)
+    with pytest.raises(ValueError, match="observations"):
+        scd2_merge(old, then, "k", F.col("t"), attrs())
+    # a value carried on is not one observed
+    obs = [("x", 1, 1, 1, "", 0), ("x", 3, None, 2, "", 0)]
+    o, late = spark.createDataFrame(obs, SCHEMA), spark.createDataFrame([("x", 2, 9, None, "", 0)], SCHEMA)
+    got = rows_in_order(scd2_merge(scd2_history(o, "k", F.col("t"), attrs()), late, "k", F.col("t"), attrs(), o))
+    assert got == [("x", 1, 2, 1, 1, False), ("x", 2, 3, 9, 1, False), ("x", 3, None, 9, 2, True)]
 
 
 def test_empty(spark):
