@@ -6,23 +6,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.biblio import authors_cut, base_key, entry
+from ..functions.biblio import authors_cut, base_key, bibtex_key, entry
 from ..functions.text import filled
 from ..session import materialize
+from ..sources.stores import first_per_key
 
 SUFFIX_SLICE = 1_000_000
 
 
-def suffix(n: int) -> str:
-    """'' for the first, then a, b, ... and on through the code points, as keys are taken one by one."""
-    return "" if n <= 0 else chr(ord("a") + n - 1)
-
-
 def unique_keys(df: DataFrame, base: str, order: str, key: str = "key") -> DataFrame:
     """``df`` with ``key``: the base, or the base with the first free letter, in order of rows.
 
-    A rank within the base gives the letter.  Only where a base is another base
-    with a letter behind it can two bases meet; those few are taken one by one.
+    A rank within the base gives the letter.  Two bases meet only where one is the
+    other with a letter behind it: both may want that key, and whose row comes
+    first has it.  So for each base two things are worked out, from the roots of
+    such chains on: whether its bare key is gone, and which letters it must pass over.
+    That needs the place of a few rows of each (as many as the base has
+    longer neighbours, twice), never the rows of a base together.
     """
     rows = df.withColumn("__slice", F.floor(F.col(order) / SUFFIX_SLICE).cast("long"))
     per = rows.groupBy(base, "__slice").agg(F.count(F.lit(1)).alias("__c"))
@@ -30,35 +30,56 @@ def unique_keys(df: DataFrame, base: str, order: str, key: str = "key") -> DataF
     per = per.select(base, "__slice", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"))
     within = Window.partitionBy(base, "__slice").orderBy(order)
     rows = rows.withColumn("__rn", F.row_number().over(within)).join(per, [base, "__slice"])
-    rows = rows.withColumn("__n", (F.col("__rn") - 1 + F.col("__before")).cast("int")).drop("__slice", "__rn", "__before")
-    rows = rows.withColumn("__key", F.when(F.col("__n") == 0, F.col(base)).otherwise(F.concat(F.col(base), F.decode(F.unhex(F.lpad(F.hex(F.lit(96) + F.col("__n")), 4, "0")), "utf-16be"))))
-    names = rows.select(base).distinct()
-    stems = names.select(F.expr(f"substring({base}, 1, length({base}) - 1)").alias("stem"), F.col(base).alias("longer")).where(F.expr("longer rlike '[a-z]$'"))
-    meet = stems.join(names.select(F.col(base).alias("stem")), "stem")
-    group = meet.select(F.col("stem").alias(base), F.col("stem").alias("__g")).unionByName(meet.select(F.col("longer").alias(base), F.col("stem").alias("__g")))
-    group = group.groupBy(base).agg(F.min("__g").alias("__g"))
-    rows = rows.join(group, base, "left")
-    plain = rows.where("__g is null").withColumn(key, F.col("__key")).drop("__n", "__key", "__g")
-    met = rows.where("__g is not null").drop("__n", "__key")
+    rows = rows.withColumn("__n", (F.col("__rn") - 1 + F.col("__before")).cast("long")).drop("__slice", "__rn", "__before")
+    rules = _meeting_rules(rows, base, order).withColumnRenamed("base", base)
+    rows = rows.join(rules, base, "left")
+    start = F.col("__n") + F.coalesce("__gone", F.lit(0))
+    n = F.aggregate(F.coalesce("__passed", F.array().cast("array<long>")), start, lambda n, passed: F.when(n >= passed, n + 1).otherwise(n))
+    letter = F.decode(F.unhex(F.lpad(F.hex(F.lit(96) + F.col("__letter")), 4, "0")), "utf-16be")
+    rows = rows.withColumn("__letter", n).withColumn(key, F.when(F.col("__letter") == 0, F.col(base)).otherwise(F.concat(F.col(base), letter)))
+    return rows.drop("__n", "__gone", "__passed", "__letter")
+
+
+def _meeting_rules(rows: DataFrame, base: str, order: str) -> DataFrame:
+    """``base``, ``__gone`` (1 if its bare key goes to a shorter base) and ``__passed`` (numbers of the letters that go to
+    longer ones, ascending) of the bases that meet others; ``rows`` have their rank in ``__n``."""
+    names = rows.groupBy(F.col(base).alias("base")).agg(F.min(order).alias("first"))
+    letter = F.ascii(F.right("base", F.lit(1))) - 96
+    longer = names.where((letter >= 1) & (F.length("base") > 1)).select("base", "first", letter.cast("long").alias("letter"), F.expr("substring(base, 1, length(base) - 1)").alias("stem"))
+    pairs = materialize(longer.join(names.select(F.col("base").alias("stem")), "stem"))  # read four times
+    # The root of a chain: the shortest beginning of which every longer one is a base too.
+    size = F.length("base")
+    begun = pairs.select("base", F.explode(F.sequence(F.lit(1), size - 1)).alias("k")).withColumn("stem", F.expr("substring(base, 1, k)"))
+    held = begun.join(names.select(F.col("base").alias("stem")), "stem").groupBy("base").agg(F.collect_set("k").alias("ks"))
+    least = F.aggregate(F.sequence(size - 1, F.lit(1)), size, lambda at, k: F.when((at == k + 1) & F.array_contains("ks", k), k).otherwise(at))
+    root = held.select("base", F.substring("base", F.lit(1), least).alias("root"))
+    # The rows of a base that may want a letter: as many before that rank as there are letters to pass over, or one more.
+    wants = pairs.groupBy("stem").agg(F.collect_set("letter").alias("letters"))
+    ranks = F.array_distinct(F.flatten(F.transform("letters", lambda x: F.sequence(F.greatest(x - F.size("letters") - 1, F.lit(0)), x))))
+    wanted = wants.select(F.col("stem").alias(base), F.explode(ranks).alias("__n"))
+    places = rows.join(wanted, [base, "__n"]).groupBy(F.col(base).alias("base")).agg(F.map_from_entries(F.collect_list(F.struct("__n", order))).alias("places"))
+    known = pairs.select("base", "first", "letter", "stem").join(root, "base")
+    roots = known.select(F.col("root").alias("base"), "root").distinct().join(names, "base").select("base", "first", F.lit(0).cast("long").alias("letter"), F.lit("").alias("stem"), "root")
+    chains = known.select("base", "first", "letter", "stem", "root").unionByName(roots).join(places, "base", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for b in pdf.sort_values(order)[base]:
-            k, n = b, 0
-            while k in used:
-                n += 1
-                k = b + suffix(n)
-            used.add(k)
-            out.append(k)
-        pdf = pdf.sort_values(order).drop(columns="__g")
-        pdf[key] = out
-        return pdf
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    slim = met.select(base, order, "__g")
-    keyed = slim.groupBy("__g").applyInPandas(run, f"`{base}` string, `{order}` {dict(df.dtypes)[order]}, `{key}` string") if fields else slim
-    done = met.drop("__g").join(keyed.select(order, key), order)
-    return plain.unionByName(done.select(*plain.columns))
+        out, gone = [], {}
+        kids = {s: g.sort_values("letter") for s, g in pdf[pdf["stem"] != ""].groupby("stem")}
+        for r in pdf.sort_values("base", key=lambda c: c.str.len()).itertuples():
+            passed: list[int] = []
+            bare = gone.get(r.base, 0)
+            places = dict(r.places or {})
+            for kid in kids[r.base].itertuples() if r.base in kids else ():
+                rank = kid.letter - bare - len(passed)  # the row that wants this letter
+                mine = places.get(rank) if rank >= 0 else None
+                if mine is not None and mine < kid.first:
+                    gone[kid.base] = 1
+                else:
+                    passed.append(int(kid.letter))
+            out.append((r.base, bare, passed))
+        return pd.DataFrame(out, columns=["base", "__gone", "__passed"])
+
+    return chains.groupBy("root").applyInPandas(run, "base string, __gone long, __passed array<long>")
 
 
 def bibliography(df: DataFrame, order: str, site: str) -> DataFrame:
@@ -81,9 +102,16 @@ def bibliography_report(df: DataFrame) -> DataFrame:
     )
 
 
+def new_entries(entries: DataFrame, stored: DataFrame, order: str) -> DataFrame:
+    """The rows of ``entries`` (``order``, ``entry``) that an append writes: the first of each citation key that no entry
+    of ``stored`` has; an entry without a key is always written."""
+    keyed = entries.withColumn("__key", bibtex_key(F.col("entry")))
+    have = stored.select(bibtex_key(F.col("entry")).alias("__key")).where("__key is not null").distinct()
+    fresh = first_per_key(keyed.where("__key is not null").join(have, "__key", "left_anti"), "__key", order)
+    return fresh.unionByName(keyed.where("__key is null")).select(order, F.trim("entry").alias("entry"))
+
+
 def with_entries(records: DataFrame, entries: DataFrame) -> DataFrame:
     """Records beside the stored entry their ``extra.bibtex_key`` names; ``entries`` has ``entry``."""
-    from ..functions.biblio import bibtex_key
-
     keyed = entries.select(bibtex_key(F.col("entry")).alias("__key"), "entry").where("__key is not null").groupBy("__key").agg(F.min("entry").alias("entry"))
     return records.join(keyed, records["extra.bibtex_key"] == keyed["__key"], "left").drop("__key")
