@@ -3,7 +3,8 @@
 The merge is a left fold in order of arrival: the later row wins if its rank,
 (count or -1, filled fields), is strictly greater than that of the record so
 far, and the loser fills what the winner lacks.  The rank of the record so far
-needs no fold: its count is the running maximum, and the fields it has filled
+needs no fold: its count is the running maximum of the counts there were (a
+missing one never takes the place of a negative one), and the fields it has filled
 are the running union.  So the winners follow from a prefix scan, and each field
 is the one of the last winner that has it, else of the first loser that has it -
 keyed aggregations that combine before the shuffle.  The scan runs in slices of
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE = 100_000
+SLICE, BITS = 100_000, 62
 
 
 def is_filled(c: Column, kind: T.DataType) -> Column:
@@ -47,13 +48,17 @@ def mark_winners(df: DataFrame, key: str, order: str, count: str, fields: list[s
     the entries of the map ``rest`` count as fields."""
     types = {f.name: f.dataType for f in df.schema.fields}
     has = [F.when(is_filled(F.col(f), types[f]), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")) for f in fields]
-    mask, filled = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for k, h in enumerate(has):
-        mask = mask.bitwiseOR(F.shiftleft(h, k))
+    filled = F.lit(0).cast("long")
+    for h in has:
         filled = filled + h
-    rows = df.where(F.col(key).isNotNull()).withColumns(
-        {"__c": F.coalesce(F.nullif(F.col(count), F.lit(0)), F.lit(-1)).cast("long"), "__mask": mask, "__filled": filled, "__slice": F.floor(F.col(order) / slice_rows).cast("long")}
-    )
+    masks = {}  # one bit a field, BITS to a number
+    for k in range(0, len(has), BITS):
+        mask = F.lit(0).cast("long")
+        for j, h in enumerate(has[k : k + BITS]):
+            mask = mask.bitwiseOR(F.shiftleft(h, j))
+        masks[f"__mask{k // BITS}"] = mask
+    known = F.when(F.col(count).isNotNull(), F.coalesce(F.nullif(F.col(count), F.lit(0)), F.lit(-1)).cast("long"))
+    rows = df.where(F.col(key).isNotNull()).withColumns({"__c": known, **masks, "__filled": filled, "__slice": F.floor(F.col(order) / slice_rows).cast("long")})
     if rest:
         has = _entries(rows, key, order, rest).where("__has")
         own = has.groupBy(key, order).agg(F.count(F.lit(1)).alias("own"), F.lit(0).cast("long").alias("new"))
@@ -63,14 +68,19 @@ def mark_winners(df: DataFrame, key: str, order: str, count: str, fields: list[s
     else:
         rows = rows.withColumn("__new", F.lit(0).cast("long"))
     past = Window.partitionBy(key, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    slices = rows.groupBy(key, "__slice").agg(F.max("__c").alias("c"), F.bit_or("__mask").alias("m"), F.sum("__new").alias("n"))
+    slices = rows.groupBy(key, "__slice").agg(F.max("__c").alias("c"), *[F.bit_or(m).alias(f"{m}s") for m in masks], F.sum("__new").alias("n"), F.count(F.lit(1)).alias("r"))
     earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(key, "__slice", F.max("c").over(earlier).alias("__c0"), F.bit_or("m").over(earlier).alias("__m0"), F.sum("n").over(earlier).alias("__n0"))
-    rows = rows.withColumns({"__c1": F.max("__c").over(past), "__m1": F.bit_or("__mask").over(past), "__n1": F.sum("__new").over(past)}).join(slices, [key, "__slice"])
-    top = F.greatest("__c0", "__c1")
-    union = F.bit_count(F.coalesce("__m0", F.lit(0)).bitwiseOR(F.coalesce("__m1", F.lit(0)))) + F.coalesce("__n0", F.lit(0)) + F.coalesce("__n1", F.lit(0))
-    wins = top.isNull() | (F.col("__c") > top) | ((F.col("__c") == top) & (F.col("__filled") > union))
-    return rows.withColumn("__wins", wins).drop("__c", "__mask", "__filled", "__slice", "__c0", "__m0", "__c1", "__m1", "__new", "__n0", "__n1")
+    slices = slices.select(key, "__slice", F.max("c").over(earlier).alias("__c0"), *[F.bit_or(f"{m}s").over(earlier).alias(f"{m}e") for m in masks], F.sum("n").over(earlier).alias("__n0"), F.sum("r").over(earlier).alias("__r0"))
+    running = {"__c1": F.max("__c").over(past), **{f"{m}p": F.bit_or(m).over(past) for m in masks}, "__n1": F.sum("__new").over(past), "__r1": F.count(F.lit(1)).over(past)}
+    rows = rows.withColumns(running).join(slices, [key, "__slice"])
+    top, own = F.coalesce(F.greatest("__c0", "__c1"), F.lit(-1)), F.coalesce("__c", F.lit(-1))
+    union = F.coalesce("__n0", F.lit(0)) + F.coalesce("__n1", F.lit(0))
+    for m in masks:
+        union = union + F.bit_count(F.coalesce(f"{m}e", F.lit(0)).bitwiseOR(F.coalesce(f"{m}p", F.lit(0))))
+    first = (F.coalesce("__r0", F.lit(0)) == 0) & (F.col("__r1") == 0)
+    wins = first | (own > top) | ((own == top) & (F.col("__filled") > union))
+    made = [x for m in masks for x in (m, f"{m}e", f"{m}p")]
+    return rows.withColumn("__wins", wins).drop("__c", *made, "__filled", "__slice", "__c0", "__c1", "__new", "__n0", "__n1", "__r0", "__r1")
 
 
 def _merged_map(rows: DataFrame, key: str, order: str, column: str, overlay: bool) -> DataFrame:
