@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: The two marks of omission.
 ELLIPSIS, DOTS = "…", "..."
-#: Runs of digits with their grouping, and a year that is no part of an identifier.
+#: Runs of digits with their grouping, and a year that is no part of an identifier.
 GROUPED_INT = r"\d[\d,.\s\x{A0}]*"
 YEAR = r"(?<![\d:.])(?U:\b)(1[89]\d{2}|20\d{2})(?U:\b)(?![.\d])"
 

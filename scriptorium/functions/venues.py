@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import DOTS, ELLIPSIS, filled, let, strip
 
-#: Numeric tail of a venue: volume (issue), pages, year.
+#: Fixed value: numeric tail of a venue: volume (issue), pages, year.
 TAIL = r"\s+(\d+)(?:\s*\(([^)]*)\))?(?:,\s*(\d+\s*[-–]\s*\d+|\d+))?(?:,\s*((?:19|20)\d{2}))?\s*$"
 #: Words that make a venue a conference.
 PROCEEDINGS = r"(?i)(?U:\b)(proceedings|conference|workshop|symposium|congress|meeting)(?U:\b)"

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 _S, _L, _B, _D = T.StringType(), T.LongType(), T.BooleanType(), T.DoubleType()
 
-#: Fields of a record in order of writing; ``extra`` is an object.
+#: Fixed values of the file format, here and below: fields of a record in order of writing; ``extra`` is an object.
 RECORD = T.StructType(
     [
         T.StructField(name, kind)

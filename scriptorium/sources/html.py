@@ -11,13 +11,16 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.urls import absolute
 
+#: Fixed values of the markup: elements without an end; elements whose begin ends an open one of a kind, but not beyond its container.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+BLOCKS = "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+ENDS = {**{b: ("p", ("div", "td", "body", "li", "button")) for b in BLOCKS}, "li": ("li", ("ul", "ol")), "tr": ("tr", ("table", "tbody", "thead")), "td": ("td", ("tr", "table")), "th": ("td", ("tr", "table")), "option": ("option", ("select",))}
 
 
 class Node:
@@ -30,13 +33,22 @@ class Node:
         return set(self.attrs.get("class", "").split())
 
     def text(self) -> str:
-        return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
+        out, todo = [], [self]
+        while todo:
+            n = todo.pop()
+            if isinstance(n, str):
+                out.append(n)
+            else:
+                todo += reversed(n.kids)
+        return "".join(out)
 
     def walk(self) -> Iterator[Node]:
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield k
-                yield from k.walk()
+        """The nodes below, in order of the page; a stack, so that no page is too deep."""
+        todo = [k for k in reversed(self.kids) if isinstance(k, Node)]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo += [k for k in reversed(n.kids) if isinstance(k, Node)]
 
     def find(self, tag: str | None = None, classes: str = "", ident: str | None = None, href: bool = False) -> Iterator[Node]:
         need = set(classes.split())
@@ -62,6 +74,13 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS:
+            kind, within = ENDS[tag]
+            n = self.at
+            while n is not None and n.tag != kind and n.tag not in within:
+                n = n.parent
+            if n is not None and n.tag == kind and n.parent is not None:
+                self.at = n.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.kids.append(node)
         if tag not in VOID:
@@ -92,6 +111,10 @@ def _href(n: Node | None) -> str | None:
     return None if n is None else n.attrs.get("href")
 
 
+#: The links of a card's footer by what their address has and lacks.
+FOOTER = (("cited", "cites=", "cluster="), ("versions", "cluster=", ""), ("related", "related:", ""))
+
+
 def _cards(root: Node) -> list[dict]:
     out = []
     for k, card in enumerate(root.find("div", "gs_r gs_or gs_scl")):
@@ -100,21 +123,17 @@ def _cards(root: Node) -> list[dict]:
             continue
         anchor = heading.first("a", href=True)
         byline, snippet = card.first("div", "gs_a"), card.first("div", "gs_rs")
-        foot = {"cited": (None, None), "versions": (None, None), "related": (None, None)}
+        foot = {}
         for a in card.find("a", href=True):
-            if not a.inside("gs_fl"):
-                continue
-            href = a.attrs["href"]
-            kind = "cited" if "cites=" in href and "cluster=" not in href else "versions" if "cluster=" in href else "related" if "related:" in href else None
-            if kind:
-                foot[kind] = (a.text(), href)
+            if a.inside("gs_fl"):
+                foot |= {kind: a for kind, has, lacks in FOOTER if has in a.attrs["href"] and not (lacks and lacks in a.attrs["href"])}
         side = next((a for a in card.find("a", href=True) if a.inside("gs_or_ggsm") or a.inside("gs_ggsd")), None)
         label = side.first("span", "gs_ctg2") if side is not None else None
         out.append(
             {
                 "index": k, "cluster_id": card.attrs.get("data-cid"), "title": (anchor or heading).text(), "link": _href(anchor), "resource_link": _href(side),
                 "resource_type": label.text().strip().strip("[]") if label is not None else None, "byline": byline.text() if byline is not None else "", "snippet": snippet.text() if snippet is not None else "",
-                "cited_text": foot["cited"][0], "cited_href": foot["cited"][1], "versions_text": foot["versions"][0], "versions_href": foot["versions"][1], "related_href": foot["related"][1],
+                **{f"{kind}_href": _href(foot.get(kind)) for kind, _, _ in FOOTER}, **{f"{kind}_text": foot[kind].text() if kind in foot else None for kind in ("cited", "versions")},
             }
         )
     return out
@@ -246,3 +265,16 @@ def bibtex_link(html: Column) -> Column:
     hrefs = F.regexp_extract_all(html, F.lit(r"""<a\b[^>]*\bhref=["']([^"']*)["']"""), F.lit(1))
     hit = F.get(F.filter(hrefs, lambda h: h.contains("scholar.bib") | h.contains("scisf=4")), F.lit(0))
     return F.replace(hit, F.lit("&amp;"), F.lit("&"))
+
+
+def register_page_functions(spark: SparkSession) -> None:
+    """``page_cards(html)`` for SQL: one row for each card of a saved result page, its texts as they stand."""
+    fields = [x.split(":", 1) for x in CARD[7:-1].split(",")]
+
+    @F.udtf(returnType=", ".join(f"{n} {k}" for n, k in fields))
+    class PageCards:
+        def eval(self, html: str):
+            for card in _cards(parse_html(html or "")):
+                yield tuple(card[n] for n, _ in fields)
+
+    spark.udtf.register("page_cards", PageCards)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from pathlib import Path
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,12 +58,42 @@ def _rest(v: Column, known: T.StructType) -> Column:
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``ord`` (file in the order given, place in it) and ``value`` of every line."""
+    """``ord`` (file in the order given, place in it) and ``value`` of every line; a path may be a folder of part files."""
     if not paths:
         raise ValueError("no input files")
-    ranks = F.create_map(*[x for k, p in enumerate(paths) for x in (F.lit(Path(p).name if "://" not in p else p.rsplit("/", 1)[-1]), F.lit(k))])
-    text = spark.read.text(paths).select("value", "_metadata.file_name", "_metadata.file_block_start")
-    return text.select(F.struct(ranks[F.col("file_name")].alias("file"), F.col("file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("ord"), "value")
+    text = spark.read.text(paths)
+    given = {_plain(p): k for k, p in reversed(list(enumerate(paths)))}
+    ranked = []
+    for uri in text.inputFiles():
+        at = _plain(uri)
+        while at not in given and "/" in at:
+            at = at.rsplit("/", 1)[0]
+        ranked.append((given.get(at, len(paths)), uri))
+    files = spark.createDataFrame([(re.sub("/+", "/", unquote(uri)), k) for k, (_, uri) in enumerate(sorted(ranked))], "path string, file long")
+    # Spark spells the same file in two ways: file:///a and file:/a.
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/+", "/")
+    lines = text.select("value", path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    place = F.struct("file", "block", F.shiftright("line", 33).alias("part"), "line").alias("ord")  # the id holds the task in its upper bits
+    return lines.join(files, "path").select(place, "value")
+
+
+def _plain(path: str) -> str:
+    """A path or URI as a bare path, for comparing."""
+    parts = urlsplit(path) if "://" in path or path.startswith("file:") else None
+    if parts is None:
+        return str(Path(path).absolute())
+    return unquote(parts.path).rstrip("/") if parts.scheme == "file" else unquote(path).rstrip("/")
+
+
+def number_lines(records: DataFrame) -> DataFrame:
+    """``ord`` as one whole number, in order of (file, place in it); only one row for each piece of a file is sorted."""
+    at = ["file", "block", "part"]
+    flat = records.select(*[F.col(f"ord.{c}").alias(f"__{c}") for c in (*at, "line")], *[c for c in records.columns if c != "ord"])
+    keys = [f"__{c}" for c in at]
+    pieces = flat.groupBy(*keys).agg(F.min("__line").alias("__low"), (F.max("__line") - F.min("__line") + 1).alias("__lines"))
+    before = F.sum("__lines").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select(*keys, (F.coalesce(before, F.lit(0)) - F.col("__low")).alias("__shift"))
+    return flat.join(pieces, keys).select((F.col("__line") + F.col("__shift")).alias("ord"), *[c for c in records.columns if c != "ord"])
 
 
 def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -87,6 +120,18 @@ def resolve_inputs(folder: str | None, files: list[str], exclude: list[str] | No
     return found
 
 
+def target_list(spark: SparkSession, given: list[str], path: str | None = None) -> DataFrame:
+    """``ord`` and ``value`` of the targets: those given, then those of the list file; repeats stay.  A list file
+    without any target is an error."""
+    parts = [spark.createDataFrame([(k, v) for k, v in enumerate(given)], "ord long, value string")]
+    if path is not None:
+        listed = number_lines(list_items(read_lines(spark, [path])))
+        if listed.isEmpty():
+            raise ValueError(f"{path} names no target: every line is blank or a comment")
+        parts.append(listed.select((F.col("ord") + len(given)).alias("ord"), "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def list_items(lines: DataFrame, value: str = "value") -> DataFrame:
     """A list file's items: trimmed, without blank lines and ``#`` comments."""
     t = F.trim(F.col(value))

@@ -54,7 +54,8 @@ def write_csv(df: DataFrame, path: str, order: str | None = None, single: bool =
     (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, header=True, escape='"', quote='"', lineSep="\r\n", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def write_text(df: DataFrame, column: str, path: str, order: str, single: bool = True) -> None:
+def write_text(df: DataFrame, column: str, path: str, order: str, single: bool = False) -> None:
+    """One line per row, in order over the part files; ``single`` gives one file (for small results)."""
     rows = df.orderBy(order).select(column)
     (rows.coalesce(1) if single else rows).write.mode("overwrite").text(path)
 
@@ -67,6 +68,11 @@ def upsert(stored: DataFrame, updates: DataFrame, key: str, order: str) -> DataF
     return last_per_key(both, key, "__o").select(*names)
 
 
+def upsert_cursors(stored: DataFrame, updates: DataFrame) -> DataFrame:
+    """Cursors brought up to date by signature; of several updates of one the latest ``updated_at`` holds."""
+    return upsert(stored, updates, "signature", "updated_at")
+
+
 def split_forgotten(cursors: DataFrame, pattern: str, readable: Column) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): cursors whose signature or readable target contains ``pattern``, case folded."""
     from ..functions.text import casefold
