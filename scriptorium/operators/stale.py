@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import refresh_id
+from ..functions.text import clip, filled, strip
 from ..functions.times import iso_timestamp
 
 DEFAULT_DAYS, DEFAULT_LIMIT = 30, 20
@@ -41,3 +42,22 @@ def stale_stats(df: DataFrame, now: Column, days: float = DEFAULT_DAYS) -> DataF
         F.count_if(age >= days).alias("stale"), F.count_if((age >= days) & target.isNotNull()).alias("refreshable"),
     )
     return out.withColumn("same_age", F.coalesce(F.col("oldest") - F.col("youngest") < 1, F.lit(False)))
+
+
+def described() -> Column:
+    """A row of :func:`rank_stale` as one line: age, count, how it can be fetched again, title."""
+    title = clip(F.coalesce(filled(strip(F.regexp_replace("title", r"(?U:\s)+", " "))), F.lit("untitled")), 70)
+    count = F.coalesce(F.format_number("cited_by_count", 0), F.lit("?"))
+    how = F.coalesce(F.concat(F.lit("cluster "), "target"), F.lit("no id; run its query again"))
+    return F.format_string("%5dd  %9s citations  %-28s  %s", F.bround("age_days", 0).cast("long"), count, how, title)
+
+
+def refresh_lines(ranked: DataFrame, limit: int, order: str) -> DataFrame:
+    """``o`` (what they are ordered by) and ``line`` of a refresh list: what it is, then for each id a comment and the id."""
+    ids = refresh_targets(ranked, limit, order).join(ranked.select(order, "title"), order)
+    about = clip(F.coalesce(filled(strip(F.regexp_replace("title", r"(?U:\s)+", " "))), F.lit("untitled")), 80)
+    said = F.concat(F.lit("# "), F.bround("age_days", 0).cast("long").cast("string"), F.lit(" days old: "), about, F.lit("\n"), F.col("target"))
+    place = F.struct((-F.col("pressure")).alias("p"), (-F.col("age_days")).alias("a"), F.col(order).cast("long").alias("k"))
+    low = F.struct(F.lit(float("-inf")).alias("p"), F.lit(0.0).alias("a"), F.lit(0).cast("long").alias("k"))
+    head = ranked.sparkSession.range(1).select(low.alias("o"), F.lit("# stale records worth listing again, heaviest first").alias("line"))
+    return head.unionByName(ids.select(place.alias("o"), said.alias("line")))

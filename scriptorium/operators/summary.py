@@ -33,8 +33,8 @@ def group_label(key: str) -> Column:
     raise ValueError(f"unknown group key {key!r}; choose from {', '.join(GROUP_KEYS)}")
 
 
-def overview(df: DataFrame) -> DataFrame:
-    """One row: records, citations, with_bibtex, citation_only, unknown_year, venue_count, author_count."""
+def overview(df: DataFrame, **more: Column) -> DataFrame:
+    """One row: records, citations, with_bibtex, citation_only, unknown_year, venue_count, author_count, and ``more`` aggregates."""
     return df.agg(
         F.count(F.lit(1)).alias("records"),
         F.coalesce(F.sum(cites()), F.lit(0)).alias("citations"),
@@ -43,6 +43,7 @@ def overview(df: DataFrame) -> DataFrame:
         F.count_if(F.nullif(F.col("year"), F.lit(0)).isNull()).alias("unknown_year"),
         F.count_distinct(casefold(group_label("venue"))).alias("venue_count"),
         F.count_distinct(casefold(group_label("author"))).alias("author_count"),
+        *[c.alias(n) for n, c in more.items()],
     )
 
 

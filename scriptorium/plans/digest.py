@@ -18,17 +18,23 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.ids import work_key
 from ..functions.text import filled
-from ..operators import audit, delta, graph, stale, summary
-from ..operators.biblio import bibliography, bibliography_report
+from ..operators import delta, stale, summary
+from ..operators.biblio import bibliography
 from ..operators.filters import filter_records, resolve_recent
 from ..operators.merge import merge_richest
 from ..session import materialize
 from ..sources import sinks
-from ..sources.jsonl import read_records, resolve_inputs, scan_counts
+from ..sources.jsonl import number_lines, read_records, resolve_inputs, scan_counts
 from .report import build_report
 
-#: Kinds of failure a digest can end with.
-KINDS = ("bad_inputs", "usage", "unreadable_input", "no_records", "missing_since", "path_unwritable", "state_unreadable", "run_failed", "unknown")
+#: Kinds of failure a digest can end with, and what to do about each, most useful first.
+KINDS = {
+    "bad_inputs": ("name at least one file, or a folder that holds JSON Lines files",), "usage": ("leave one of the settings that contradict each other out",),
+    "unreadable_input": ("check that the path exists and may be read", "check that the file is UTF-8 text with one object a line"), "no_records": ("look at the counts of unreadable lines", "check that the files hold one object a line"),
+    "missing_since": ("name the snapshot to compare with, as an earlier run wrote it",), "path_unwritable": ("choose another folder for the output", "ask for the right to write there"),
+    "state_unreadable": ("move the state file away; a new one is begun",), "runtime_error": ("run again; what was stored is kept",), "interrupted": ("run again; what was stored is kept",),
+    "run_failed": ("look at the first error in the log",), "timeout": ("run again with more executors or a longer limit",), "unknown": ("look at the first error in the log",),
+}
 FIELDS = [f.name for f in schema.RECORD.fields if f.name != "extra"]
 
 
@@ -40,6 +46,10 @@ class DigestError(Exception):
         self.kind, self.message = kind, message
 
 
+def _failure(error: DigestError) -> dict[str, Any]:
+    return {"kind": error.kind, "message": error.message, "next_steps": list(KINDS[error.kind])}
+
+
 @dataclass
 class Settings:
     """What a digest does; paths of outputs that are None are not written."""
@@ -61,6 +71,8 @@ class Settings:
     out_report: str | None = None
     out_refresh: str | None = None
     out_bibtex: str | None = None
+    out_delta: str | None = None
+    names: int = 100
     site: str = "the source site"
     title: str | None = None
 
@@ -72,11 +84,6 @@ def merge_records(records: DataFrame, order: str = "ord") -> DataFrame:
     return merge_richest(keyed, "work_key", order, "cited_by_count", FIELDS, "extra", rest=rest[0], extra_rest=rest[1])
 
 
-def with_order(records: DataFrame) -> DataFrame:
-    """``ord`` as one number: the place of the line among all lines (file, block, line)."""
-    return records.withColumn("ord", F.col("ord.file") * F.lit(1 << 56) + F.col("ord.line"))
-
-
 @dataclass
 class Digest:
     kept: DataFrame
@@ -87,7 +94,7 @@ class Digest:
 def run(spark: SparkSession, s: Settings, now: datetime | None = None) -> Digest:
     """Stages one to nine; the outputs named in the settings are written."""
     now = now or datetime.now(timezone.utc)
-    outputs = {k: v for k, v in (("jsonl", s.out_jsonl), ("csv", s.out_csv), ("report", s.out_report), ("refresh", s.out_refresh), ("bibtex", s.out_bibtex)) if v}
+    outputs = {k: v for k, v in (("jsonl", s.out_jsonl), ("csv", s.out_csv), ("report", s.out_report), ("refresh", s.out_refresh), ("bibtex", s.out_bibtex), ("delta", s.out_delta)) if v}
     if clash := sinks.collisions(outputs):
         raise DigestError("usage", f"{clash[0][0]} and {clash[0][1]} would overwrite each other")
     for path in outputs.values():
@@ -98,7 +105,7 @@ def run(spark: SparkSession, s: Settings, now: datetime | None = None) -> Digest
         paths = resolve_inputs(s.folder, s.files, [p for p in (s.since, *outputs.values()) if p])
     except ValueError as error:
         raise DigestError("usage" if "usage" in str(error) or "recent" in str(error) else "bad_inputs", str(error)) from error
-    parsed = materialize(with_order(read_records(spark, paths)))
+    parsed = materialize(number_lines(materialize(read_records(spark, paths))))
     counts = scan_counts(parsed).first().asDict()
     if not counts["records"]:
         raise DigestError("no_records", "the inputs hold no readable record")
@@ -108,8 +115,8 @@ def run(spark: SparkSession, s: Settings, now: datetime | None = None) -> Digest
     change = None
     if s.since:
         try:
-            old = with_order(read_records(spark, [s.since])).where("not malformed")
-            change = compare_with(old, kept)
+            old = number_lines(materialize(read_records(spark, [s.since]))).where("not malformed")
+            change = materialize(compare_with(old, kept))
         except Exception as error:  # the reader's own message names the path
             raise DigestError("missing_since", str(error)) from error
     whole = {
@@ -117,6 +124,8 @@ def run(spark: SparkSession, s: Settings, now: datetime | None = None) -> Digest
         "unreadable_lines": counts["unreadable_lines"], "repaired_records": counts["repaired_records"],
     }
     write_outputs(kept, s, now)
+    if s.out_delta and change is not None:
+        change.write.mode("overwrite").json(s.out_delta, ignoreNullFields=False)
     return Digest(kept, whole, change)
 
 
@@ -136,17 +145,19 @@ def write_outputs(kept: DataFrame, s: Settings, now: datetime) -> None:
         sinks.write_text(build_report(kept, now, title=s.title, top=s.report_top, groups=s.groups), "line", s.out_report, "n")
     if s.out_refresh:
         ranked = stale.rank_stale(kept, F.lit(now.isoformat()).cast("timestamp"), s.stale_days, "ord")
-        ids = stale.refresh_targets(ranked, s.refresh_limit, "ord").join(kept.select("ord", "title"), "ord")
-        lines = ids.select(F.struct(-F.col("pressure"), -F.col("age_days"), F.col("ord")).alias("o"), F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n"), F.col("target")).alias("line"))
-        sinks.write_text(lines, "line", s.out_refresh, "o")
+        sinks.write_text(stale.refresh_lines(ranked, s.refresh_limit, "ord"), "line", s.out_refresh, "o")
     if s.out_bibtex:
         sinks.write_text(bibliography(kept, "ord", s.site), "entry", s.out_bibtex, "ord")
 
 
 def document(d: Digest, s: Settings, tool: str = "scriptorium-digest", error: DigestError | None = None) -> dict[str, Any]:
-    """The run document: eight fixed keys, the overview and, after a comparison, the delta."""
-    files = {k: v for k, v in (("out", s.out_jsonl), ("csv", s.out_csv), ("report", s.out_report), ("refresh", s.out_refresh), ("bibtex", s.out_bibtex)) if v}
-    fail = {"kind": error.kind, "message": error.message, "next_steps": []} if error else None
+    """The run document: eight fixed keys, the overview and, after a comparison, the delta.
+
+    Lists of names hold the first ``names`` of a kind, the greatest moves first, and ``totals`` how many there are;
+    all of them are in the table ``out_delta``.
+    """
+    files = {k: v for k, v in (("out", s.out_jsonl), ("csv", s.out_csv), ("report", s.out_report), ("refresh", s.out_refresh), ("bibtex", s.out_bibtex), ("delta", s.out_delta)) if v}
+    fail = _failure(error) if error else None
     payload: dict[str, Any] = {"tool": tool, "version": "0.1.0", "ok": error is None, "exit_code": 1 if error else 0, "counts": d.counts, "files": files, "records": [], "error": fail}
     one = summary.overview(d.kept).first()
     rows = lambda df: [r.asDict() for r in df.collect()]
@@ -156,33 +167,23 @@ def document(d: Digest, s: Settings, tool: str = "scriptorium-digest", error: Di
     }
     if d.delta is not None:
         total = delta.delta_summary(d.delta).first()
-        names = lambda status: [r[0] for r in d.delta.where(F.col("status") == status).select("label").orderBy("label").collect()]
+        names = lambda df: [r[0] for r in df.select("label").orderBy("label").limit(s.names).collect()]
+        of = lambda status: names(d.delta.where(F.col("status") == status))
+        again = delta.reclustered(d.delta)
         payload["delta"] = {
-            "before": total["gone"] + total["moved"] + total["same"], "after": total["added"] + total["moved"] + total["same"], "added": names("added"), "gone": names("gone"), "unchanged": total["same"],
-            "reclustered": [r[0] for r in delta.reclustered(d.delta).collect()], "citations_gained": total["citations_gained"],
-            "moved": [{"title": r["label"], "before": r["before"], "after": r["after"], "change": r["change"]} for r in delta.movers(d.delta).collect()],
+            "before": total["gone"] + total["moved"] + total["same"], "after": total["added"] + total["moved"] + total["same"], "added": of("added"), "gone": of("gone"), "unchanged": total["same"],
+            "reclustered": names(again), "citations_gained": total["citations_gained"],
+            "moved": [{"title": r["label"], "before": r["before"], "after": r["after"], "change": r["change"]} for r in delta.movers(d.delta).limit(s.names).collect()],
+            "totals": {"added": total["added"], "gone": total["gone"], "moved": total["moved"], "reclustered": again.count()},
         }
     return payload
 
 
 def failed(error: DigestError, s: Settings, tool: str = "scriptorium-digest") -> dict[str, Any]:
     """The run document of a digest that stopped."""
-    fail = {"kind": error.kind, "message": error.message, "next_steps": []}
+    fail = _failure(error)
     return {"tool": tool, "version": "0.1.0", "ok": False, "exit_code": 1, "counts": {}, "files": {}, "records": [], "error": fail}
 
 
-def network(records: DataFrame, kept: DataFrame, order: str = "ord") -> DataFrame:
-    """Counts of the citation graph: edges of all records, nodes of the kept ones."""
-    return graph.network_summary(graph.nodes_of(kept, order), graph.build_edges(records, kept, order))
-
-
-def audit_of(kept: DataFrame, now: datetime) -> DataFrame:
-    return audit.audit_counts(kept, audit.checks(now.year))
-
-
-def bibliography_counts(kept: DataFrame) -> DataFrame:
-    return bibliography_report(kept)
-
-
 def emit(payload: dict[str, Any]) -> str:
     return json.dumps(payload, ensure_ascii=False, indent=2, default=str)
