@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from .plans import digest
 from .plans.report import summary_lines
 from .plans.settings import SettingsError, overlay, read_settings
-from .session import get_session
+from .session import drop_tables, get_session
 
 
 def parser() -> argparse.ArgumentParser:
@@ -45,6 +45,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{fail.kind}: {fail.message}", file=sys.stderr)
         return 1
     print(digest.emit(digest.document(done, s)) if as_json else "\n".join(summary_lines(done.kept, top=s.top)))
+    drop_tables(done.kept.sparkSession)
     return 0
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import cited_target, parse_id, work_key
@@ -72,6 +72,13 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "key") -> DataFram
     return nodes.select(key).distinct().join(found, key, "left").withColumn("component", F.coalesce("component", key))
 
 
+def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``component``, ``size``, ``first_key`` (its earliest node) of every component, largest first, ties by the earliest."""
+    parts = components(nodes, edges).join(nodes.select("key", "first"), "key")
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("first", "key")).alias("f"))
+    return sizes.orderBy(F.desc("size"), "f").select("component", "size", F.col("f.key").alias("first_key"))
+
+
 def network_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes, edges = materialize(nodes), materialize(edges)  # each is read several times
     n = all_nodes(nodes, edges)
@@ -113,6 +120,3 @@ def follow(seeds: DataFrame, listings: DataFrame, depth: int, breadth: int, floo
         level = listings.join(F.broadcast(chosen.select(F.concat(F.lit("cites:"), "cites_id").alias("query"))), "query", "left_semi")
     return out
 
-
-def depth_of(level: Column) -> Column:
-    return F.coalesce(level, F.lit(0))

@@ -80,3 +80,86 @@ def advise(history: DataFrame, min_delay: float = MIN_DELAY, max_delay: float =
     f = pace_factor(F.col("blocks"), F.col("back_to_back"), F.col("typical_request"))
     out = history.where("blocks > 0").withColumn("factor", f)
     return out.withColumns({"min_delay": F.bround(F.lit(min_delay) * F.col("factor"), 1), "max_delay": F.bround(F.lit(max_delay) * F.col("factor"), 1)})
+
+
+def span_text(low: Column, high: Column) -> Column:
+    """A range of delays, one number if they are the same."""
+    g = lambda x: F.regexp_replace(F.format_number(x, 1), r"\.0$", "")
+    return F.when(low == high, F.concat(g(low), F.lit("s"))).otherwise(F.concat(g(low), F.lit("–"), g(high), F.lit("s")))
+
+
+def plan_text(plan: DataFrame, budget: Budget) -> DataFrame:
+    """``k`` and ``line`` of a plan of :func:`plan_cost`: what the seeds, the expansion and the exports cost, in all and in time."""
+    c = lambda n: F.col(n).cast("string")
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    seconds = F.col("seconds")
+    time = F.when(seconds >= 5_400, say(F.format_number(seconds / 3_600, 1), " h")).when(seconds >= 90, say(F.bround(seconds / 60, 0).cast("long").cast("string"), " min")).otherwise(say(F.bround(seconds, 0).cast("long").cast("string"), "s"))
+    rest = F.when(F.col("cooldowns") > 0, say(" plus ", c("cooldowns"), f" cooldowns of {budget.cooldown_seconds:.0f}s")).otherwise("")
+    lines = F.array(
+        say("seed targets: ", c("seed_loads"), " page loads, up to ", c("seed_records"), " records"),
+        F.when(F.col("follow_listings") > 0, say("citation expansion: up to ", c("follow_listings"), " listings, ", c("follow_loads"), " page loads, up to ", c("follow_records"), " records")),
+        F.when(F.col("bibtex_loads") > 0, say("bibtex export: up to ", c("bibtex_loads"), " page loads")),
+        say("total: up to ", c("total_loads"), " page loads for ", c("total_records"), " records"),
+        say("estimated ", time, " at ", span_text(F.lit(budget.min_delay), F.lit(budget.max_delay)), " between requests", rest),
+    )
+    return plan.select(F.posexplode(F.array_compact(lines)).alias("k", "line"))
+
+
+def run_statistics(loads: DataFrame, events: DataFrame) -> DataFrame:
+    """One row over the page loads of a run (``at`` in seconds, ``retries``) and its events: ``requests``, ``retries``,
+    ``elapsed``, ``per_minute`` (null for runs under half a minute), ``takeovers`` and ``kinds``, how many of each kind."""
+    spent = loads.agg(F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"), F.coalesce(F.max("at") - F.min("at"), F.lit(0)).cast("double").alias("elapsed"))
+    each = kinds(events).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("takeovers"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("kinds"))
+    rate = F.when(F.col("elapsed") >= 30, F.col("requests") / (F.col("elapsed") / 60))
+    both = spent.withColumn("per_minute", rate).unionByName(each, allowMissingColumns=True)  # two rows
+    return both.agg(*[F.max(c).alias(c) for c in ("requests", "retries", "elapsed", "per_minute", "takeovers")], F.first("kinds", ignorenulls=True).alias("kinds"))
+
+
+def resume_text(signature: Column, tool: str) -> Column:
+    """The command that goes on with a stored request; null if the signature is none."""
+    from ..functions.ids import parse_signature
+
+    r = parse_signature(signature)
+    quoted = lambda x: F.concat(F.lit("'"), F.regexp_replace(x, "'", "'\"'\"'"), F.lit("'"))
+    flag = lambda name, x: F.when(x.isNotNull(), F.concat(F.lit(f"--{name} "), quoted(x.cast("string"))))
+    on = lambda name, x: F.when(x, F.lit(f"--{name}"))
+    text = lambda x: F.nullif(x, F.lit(""))
+    parts = [
+        F.lit(tool), flag("author", r["user_id"]), flag("query", text(r["query"])), flag("cites", r["cites"]), flag("cluster", r["cluster"]), flag("year-from", r["year_low"]), flag("year-to", r["year_high"]),
+        flag("lang", r["language"]), on("by-date", r["sorted"]), on("review-only", r["reviews"]), F.lit("--resume"),
+    ]
+    return F.when(r.isNotNull(), F.concat_ws(" ", *parts))
+
+
+WARN, NOTE = "warn", "note"
+
+
+def budget_concerns(budget: Budget, authors: int = 0, blocks_ignored: int = 0) -> list[tuple[str, str]]:
+    """(level, text) of what is worth knowing about a plan's parameters, warnings first."""
+    b, found = budget, []
+    if b.min_delay < MIN_DELAY or b.max_delay < MAX_DELAY:
+        found.append((WARN, f"a delay of {b.min_delay:g}–{b.max_delay:g}s is faster than the default {MIN_DELAY:g}–{MAX_DELAY:g}s"))
+    if not b.cooldown_every:
+        found.append((WARN, "without a cooldown long runs get blocked"))
+    if b.pages < 1:
+        found.append((WARN, f"{b.pages} pages load no listing at all"))
+    if blocks_ignored:
+        found.append((WARN, f"{blocks_ignored} recorded takeovers that would slow this run down are not used"))
+    if b.max_results is not None and b.max_results < PER_PAGE:
+        found.append((NOTE, f"{b.max_results} results cost a whole page of {PER_PAGE} all the same"))
+    if b.bibtex and authors:
+        found.append((NOTE, "entries of profile publications cost three page loads each instead of two"))
+    return sorted(found, key=lambda x: x[0] != WARN)
+
+
+def cursor_concerns(resume: bool, start: int, stored: int) -> list[tuple[str, str]]:
+    """What contradicts itself about going on: ``stored`` cursors of the targets asked for."""
+    if resume and not stored:
+        return [(WARN, "no cursor is stored for these targets, so every one starts from the beginning")]
+    return [(WARN, f"the start {start} is not used for the {stored} targets that have a cursor")] if resume and start else []
+
+
+def cursors_of(targets: DataFrame, cursors: DataFrame, signature: str = "signature") -> DataFrame:
+    """``targets`` with ``next_start`` (0 if none is stored) and ``exhausted`` of their stored cursor."""
+    kept = cursors.select(F.col("signature").alias(signature), "next_start", "exhausted")
+    return targets.join(kept, signature, "left").withColumns({"next_start": F.coalesce("next_start", F.lit(0)).cast("long"), "exhausted": F.coalesce("exhausted", F.lit(False))})
