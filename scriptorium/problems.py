@@ -46,7 +46,17 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return author_names(read(spark, sf, "scholar_results")).select("obs_id", "pos", "name")
 
 
-QUERIES = {"p2_found": p2_found, "p2_history": p2_history, "p2_merge": p2_merge, "p4_found": p4_found}
+#: Lists with one plain delimiter, which SQL can split too.
+PLAIN = r"^[^;,|&/….()\"'\[\]]+(; [^;,|&/….()\"'\[\]]+)+$"
+
+
+def p4_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """The names of all lists that have semicolons and nothing else between plain names."""
+    names = author_names(read(spark, sf, "scholar_results"), keep=["obs_id", "authors"])
+    return names.where(F.col("authors").rlike(PLAIN)).select("obs_id", "pos", "name")
+
+
+QUERIES = {"p2_found": p2_found, "p2_history": p2_history, "p2_merge": p2_merge, "p4_found": p4_found, "p4_plain": p4_plain}
 
 #: DuckDB: instants of one cluster with the attributes carried forward, and the versions they open.
 _VERSIONS = r"""
@@ -76,3 +86,7 @@ from h window w as (partition by cluster_id order by valid_from)
 """
 
 ORACLES = {"p2_found": _VERSIONS + "select cluster_id, valid_from from h", "p2_history": _HISTORY, "p2_merge": _HISTORY}
+ORACLES["p4_plain"] = f"""
+with l as (select obs_id, string_split(authors, ';') as names from scholar_results where regexp_matches(authors, '{PLAIN.replace("'", "''")}'))
+select obs_id, pos, trim(names[pos]) as name from l, unnest(range(1, len(names) + 1)) as t(pos)
+"""

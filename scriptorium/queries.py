@@ -17,6 +17,7 @@ from .functions import text as tx
 from .functions import venues as vx
 from .operators import audit, biblio, delta, filters, graph, merge, planning, stale, summary
 from .plans import digest
+from .plans.report import build_report
 from .session import checkpoint_dir
 from .sources import html, jsonl, sinks, stores
 
@@ -67,13 +68,15 @@ def messy_lines(df: DataFrame) -> DataFrame:
     authors = F.when(c("link").isNull() & c("authors").isNotNull(), F.concat(F.lit("["), inner(c("authors")), F.lit(', "K Lee"]'))).otherwise(inner(c("authors")))
     flag = F.when(c("year").isNull(), F.lit('"no"')).otherwise(c("citation_only").cast("string"))
     n = lambda e: F.coalesce(e, F.lit("null"))
-    line = F.concat(F.lit('{"year": '), n(year), F.lit(', "cited_by_count": '), n(count), F.lit(', "authors": '), n(authors), F.lit(', "citation_only": '), n(flag), F.lit(', "other": [1, {"a": 2}]}'))
+    odd = ("year", "cited_by_count", "authors", "citation_only")
+    rest = F.regexp_extract(F.to_json(F.struct(*[c(f.name) for f in schema.RECORD.fields if f.name not in odd]), {"ignoreNullFields": "false"}), r"(?s)^\{(.*)\}$", 1)
+    line = F.concat(F.lit('{"year": '), n(year), F.lit(', "cited_by_count": '), n(count), F.lit(', "authors": '), n(authors), F.lit(', "citation_only": '), n(flag), F.lit(', "other": [1, {"a": 2}], '), rest, F.lit("}"))
     value = F.when(c("query") == "", "{oops").when(c("title") == "", "[1, 2]").otherwise(line)
     return df.select(c("obs_id").alias("ord"), value.alias("value"))
 
 
 MESSY = """
-m as (select obs_id, query is not null and query = '' or title is not null and title = '' as malformed, link is null as nolink,
+m as (select *, query is not null and query = '' or title is not null and title = '' as malformed, link is null as nolink,
   case when venue = '-' then null else year end as y, case when not coalesce(citation_only, false) then cited_by_count end as n,
   case when link is null and authors is not null then authors || ', K Lee' else authors end as a, case when year is not null then citation_only end as f,
   (venue is not null and venue = '-') or (link is null and year is not null) or (coalesce(citation_only, false) and cited_by_count is not null)
@@ -82,12 +85,18 @@ m as (select obs_id, query is not null and query = '' or title is not null and t
 """
 
 
+_EVEN = [f.name for f in schema.RECORD.fields if f.name not in ("year", "cited_by_count", "authors", "citation_only", "extra")]
+_PARTS = ("follow_depth", "bibtex_key", "citation_id")
+
+
 @query(
     f"with {MESSY} select obs_id as ord, case when not malformed then y end as year, case when not malformed then n end as cited_by_count, case when not malformed then a end as authors, "
-    "case when not malformed then f end as citation_only, malformed, repaired and not malformed as repaired from m"
+    "case when not malformed then f end as citation_only, malformed, repaired and not malformed as repaired, " + ", ".join(f"case when not malformed then {x} end as {x}" for x in _EVEN)
+    + ", " + ", ".join(f"case when not malformed then extra.{x} end as {x}" for x in _PARTS) + ", case when not malformed then 'other' end as more from m"
 )
 def lenient_scan(spark, sf):
-    return jsonl.parse_lines(messy_lines(results(spark, sf))).select("ord", "year", "cited_by_count", "authors", "citation_only", "malformed", "repaired")
+    rows = jsonl.parse_lines(messy_lines(results(spark, sf)))
+    return rows.select("ord", "year", "cited_by_count", "authors", "citation_only", "malformed", "repaired", *_EVEN, *[c(f"extra.{x}").alias(x) for x in _PARTS], F.array_join(F.map_keys(schema.REST), ",").alias("more"))
 
 
 @query(f"with {MESSY} select count_if(not malformed) as records, count_if(malformed) as unreadable_lines, count_if(repaired and not malformed) as repaired_records from m")
@@ -95,14 +104,23 @@ def scan_counts(spark, sf):
     return jsonl.scan_counts(jsonl.parse_lines(messy_lines(results(spark, sf))))
 
 
+_PLACED = "cast(substr(o_orderpriority, 1, 1) as int)"
+
+
 @query(
-    "select l_orderkey, cast(null as bigint) as n from lineitem where false union all select o_orderkey as l_orderkey, try_cast(regexp_extract(o_orderpriority, '^(\\d)', 1) as bigint) as n from orders"
+    f"with o as (select o_orderkey as k, {_PLACED} as p, o_orderstatus as s from orders) select k, case when p = 1 and s <> 'O' then k when p = 2 then -k when p = 5 then -k end as n, case when p = 4 then s = 'O' end as flag, "
+    "case when p = 1 and s <> 'O' then ' ' || k || ' ' when p = 1 then k || ' x' when p = 5 then '-' || k when p = 4 then null when p = 3 and s = 'O' then k || ', None, b' end as text, case when p = 2 then -k when p = 3 and s <> 'O' then k + 0.5 end as real from o"
 )
 def repair_number(spark, sf):
-    from .functions.repair import as_number
+    """Every kind of value, after the order's priority and status."""
+    from .functions import repair
 
-    o = read(spark, sf, "orders")
-    return o.select(c("o_orderkey").alias("l_orderkey"), as_number(F.try_parse_json(F.concat(F.lit('"'), F.substring("o_orderpriority", 1, 1), F.lit('"')))).alias("n"))
+    k, p, s = c("o_orderkey").cast("string"), F.substring("o_orderpriority", 1, 1), c("o_orderstatus")
+    quoted = lambda *x: F.concat(F.lit('"'), *x, F.lit('"'))
+    json = F.when((p == "1") & (s != "O"), quoted(F.lit(" "), k, F.lit(" "))).when(p == "1", quoted(k, F.lit(" x"))).when(p == "2", F.concat(F.lit("-"), k)).when((p == "3") & (s == "O"), F.concat(F.lit("["), quoted(k), F.lit(', null, "b"]')))
+    json = json.when(p == "3", F.concat(k, F.lit(".5"))).when(p == "4", F.when(s == "O", "true").otherwise("false")).otherwise(quoted(F.lit("-"), k))
+    v = read(spark, sf, "orders").select(c("o_orderkey").alias("k"), F.try_parse_json(json).alias("v"))
+    return v.select("k", repair.as_number(c("v")).alias("n"), repair.as_flag(c("v")).alias("flag"), repair.as_text(c("v")).alias("text"), repair.as_double(c("v")).alias("real"))
 
 
 @query(f"select obs_id, {KEY_SQL} as work_key from scholar_results")
@@ -118,17 +136,25 @@ def list_items(spark, sf):
 # ---- merge
 
 MERGED = ["title", "link", "authors", "venue", "year", "snippet", "cited_by_count", "versions_count", "versions_url"]
-_FILLED = " + ".join(f"(case when {{0}}.{f} is not null{'' if f in ('year', 'cited_by_count', 'versions_count') else f' and {{0}}.{f} <> {chr(39)}{chr(39)}'} then 1 else 0 end)" for f in MERGED)
-_RANK = lambda x: f"(coalesce(nullif({x}.cited_by_count, 0), -1) * 100 + {_FILLED.format(x)})"
-_PICK = lambda win, lose: "struct_pack(" + ", ".join(
-    f"{f} := " + (f"coalesce({win}.{f}, {lose}.{f})" if f in ("year", "cited_by_count", "versions_count") else f"coalesce(nullif({win}.{f}, ''), nullif({lose}.{f}, ''))") for f in MERGED
-) + ")"
-_MERGE_SQL = f"""
-with k as (select {KEY_SQL} as work_key, obs_id, {', '.join(MERGED)} from scholar_results),
-g as (select work_key, min(obs_id) as obs_id, count(*) as n_rows, list(struct_pack({', '.join(f'{f} := {f}' for f in MERGED)}) order by obs_id) as l from k group by all),
-r as (select work_key, obs_id, n_rows, list_reduce(l, lambda a, x: case when {_RANK('x')} > {_RANK('a')} then {_PICK('x', 'a')} else {_PICK('a', 'x')} end) as m from g)
-select work_key, obs_id, n_rows, {', '.join(f"m.{f}" if f in ('year', 'cited_by_count', 'versions_count') else f"nullif(m.{f}, '') as {f}" for f in MERGED)} from r
-"""
+_PLAIN = {"year", "cited_by_count", "versions_count", "position", "page_start", "citation_only"}
+
+
+def _merge_sql(fields: list[str], parts: tuple[str, ...] = ()) -> str:
+    """The left fold itself, over lists in order of arrival; ``parts`` of ``extra`` fill each other but don't count."""
+    quote = lambda f: f if f in _PLAIN else f"nullif({f}, '')"
+    one = lambda x, f: f"{x}.{f}" if f in _PLAIN or f in parts else f"nullif({x}.{f}, '')"
+    filled = lambda x: " + ".join(f"(case when {one(x, f)} is not null then 1 else 0 end)" for f in fields)
+    rank = lambda x: f"(coalesce(nullif({x}.cited_by_count, 0), -1) * 100 + {filled(x)})"
+    pick = lambda win, lose: "struct_pack(" + ", ".join(f"{f} := coalesce({one(win, f)}, {one(lose, f)})" for f in (*fields, *parts)) + ")"
+    packed = ", ".join([*(f"{f} := {f}" for f in fields), *(f"{x} := extra.{x}" for x in parts)])
+    return f"""with k as (select {KEY_SQL} as work_key, * from scholar_results),
+g as (select work_key, min(obs_id) as obs_id, count(*) as n_rows, list(struct_pack({packed}) order by obs_id) as l from k group by all),
+r as (select work_key, obs_id, n_rows, list_reduce(l, lambda a, x: case when {rank('x')} > {rank('a')} then {pick('x', 'a')} else {pick('a', 'x')} end) as m from g),
+u as (select work_key, obs_id, n_rows, {', '.join(f'm.{f} as {f}' for f in (*fields, *parts))} from r)
+select work_key, obs_id, n_rows, {', '.join([*(f'{quote(f)} as {f}' for f in fields), *parts])} from u"""
+
+
+_MERGE_SQL = _merge_sql(MERGED)
 
 
 @query(_MERGE_SQL)
@@ -136,14 +162,14 @@ def merge_richest(spark, sf):
     return merge.merge_richest(keyed(results(spark, sf)), "work_key", "obs_id", "cited_by_count", MERGED)
 
 
-@query(f"select {KEY_SQL} as work_key, max(obs_id) as obs_id, arg_max(title, obs_id) as title from scholar_results where title is not null group by all")
+@query(f"select {KEY_SQL} as work_key, max(obs_id) as obs_id, arg_max(struct_pack(t := title), obs_id).t as title from scholar_results group by all")
 def merge_last(spark, sf):
-    return stores.last_per_key(keyed(results(spark, sf).where("title is not null")).select("work_key", "obs_id", "title"), "work_key", "obs_id")
+    return stores.last_per_key(keyed(results(spark, sf)).select("work_key", "obs_id", "title"), "work_key", "obs_id")
 
 
-@query(f"select {KEY_SQL} as work_key, min(obs_id) as obs_id, arg_min(title, obs_id) as title from scholar_results where title is not null group by all")
+@query(f"select {KEY_SQL} as work_key, min(obs_id) as obs_id, arg_min(struct_pack(t := title), obs_id).t as title from scholar_results group by all")
 def merge_first(spark, sf):
-    return stores.first_per_key(keyed(results(spark, sf).where("title is not null")).select("work_key", "obs_id", "title"), "work_key", "obs_id")
+    return stores.first_per_key(keyed(results(spark, sf)).select("work_key", "obs_id", "title"), "work_key", "obs_id")
 
 
 @query(f"select count(*) as read, count(distinct {KEY_SQL}) as merged, count(*) - count(distinct {KEY_SQL}) as duplicates from scholar_results")
@@ -181,18 +207,19 @@ def cap_per_target(spark, sf):
 
 _CHECKS_SQL = """
 with a as (select query, page_start, count(*) as n, count_if(coalesce(title <> '', false)) as t, count_if(coalesce(not coalesce(citation_only, false), false)) as la, count_if(coalesce(not coalesce(citation_only, false) and link <> '', false)) as lk,
-  count_if(coalesce(byline <> '', false)) as b, count_if(coalesce(year <> 0, false)) as y, count_if(coalesce(snippet <> '', false)) as s, count_if(coalesce(cluster_id <> '', false)) as d, count_if(coalesce(cited_by_count <> 0 and cited_by_url <> '', false)) as ct
+  count_if(coalesce(byline <> '', false)) as b, count_if(coalesce(year <> 0, false)) as y, count_if(coalesce(snippet <> '', false)) as s, count_if(coalesce(cluster_id <> '', false)) as d, count_if(coalesce(cited_by_count <> 0 and cited_by_url <> '', false)) as ct, max(versions_count) as te, bool_or(citation_only) as nx
   from scholar_results group by all)
 select query, page_start, 'results_parsed' as check, n >= 5 as ok, n as passed, n as "of" from a union all select query, page_start, 'titles', t = n, t, n from a
 union all select query, page_start, 'links', la > 0 and la = lk, lk, la from a union all select query, page_start, 'bylines', b = n, b, n from a
 union all select query, page_start, 'years', y >= n * 0.6, y, n from a union all select query, page_start, 'snippets', s >= n * 0.5, s, n from a
 union all select query, page_start, 'card_ids', d = n, d, n from a union all select query, page_start, 'citation_counts', ct > 0, ct, n from a
+union all select query, page_start, 'total_estimate', te is not null, case when te is not null then 1 else 0 end, 1 from a union all select query, page_start, 'pagination', coalesce(nx, false), case when nx then 1 when not nx then 0 end, 1 from a
 """
 
 
 @query(_CHECKS_SQL.replace("as check", 'as "check"'))
 def page_checks(spark, sf):
-    return filters.check_pages(results(spark, sf), ["query", "page_start"])
+    return filters.check_pages(results(spark, sf), ["query", "page_start"], total="versions_count", has_next="citation_only")
 
 
 # ---- summaries
@@ -449,12 +476,26 @@ def graph_components(spark, sf):
     return graph.components(graph.all_nodes(n, e), e)
 
 
-@query()
+@query(
+    _COMPONENTS + """, c as (select n.key, coalesce(component, n.key) as component from n left join least using (key)), z as (select component, count(*) as size from c group by all)
+select (select count(distinct k) from kept) as collected, (select count(distinct cited) from edges where stub) as uncollected, (select count(*) from edges) as edges, count(*) as components, max(size) as largest,
+  (select count(distinct k) from kept where k not in (select citing from edges) and k not in (select cited from edges)) as isolated from z"""
+)
 def graph_summary(spark, sf):
     n, e = _graph(spark, sf)
     return graph.network_summary(n, e)
 
 
+@query(
+    _COMPONENTS + """, f as (select key, min(first) as first from (select k as key, obs_id as first from kept union all select cited, first from edges where stub) group by all),
+c as (select f.key, f.first, coalesce(component, f.key) as component from f left join least using (key))
+select component, count(*) as size, arg_min(key, struct_pack(f := first, k := key)) as first_key from c group by all"""
+)
+def component_sizes(spark, sf):
+    n, e = _graph(spark, sf)
+    return graph.component_sizes(graph.all_nodes(n, e), e)
+
+
 @query(
     f"""with p as (select {_PID('cited_by_url')} as t, coalesce(cited_by_count, 0) as n, obs_id, query from scholar_results where {_PID('cited_by_url')} is not null),
 l1 as (select t, max(n) as n, arg_min(obs_id, struct_pack(n := -n, o := obs_id)) as o from p where n >= 1 group by t order by 2 desc, 3 limit 5),
@@ -580,7 +621,16 @@ def signature_roundtrip(spark, sf):
     return s.select("signature", F.when(r.isNull(), c("signature")).when(r["kind"] == "author", ids.author_signature(r["user_id"], r["language"], r["sorted"])).otherwise(search).alias("again"))
 
 
-@query()
+_LO, _HI = (f"nullif(try_cast({_S(k)} as bigint), 0)" for k in (4, 5))
+
+
+@query(
+    f"with d as (select signature, case when {_A(1)} is not null then 'author:' || {_A(1)} else coalesce({_S(1)}, 'cites:' || {_S(2)}, 'cluster:' || {_S(3)}) end as label, "
+    f"case when {_A(1)} is not null then [coalesce({_A(2)}, ''), case when {_A(3)} = '1' then 'by year' else '' end] else [coalesce({_S(6)}, ''), "
+    f"trim(coalesce(cast({_LO} as varchar), '') || '-' || coalesce(cast({_HI} as varchar), ''), '-'), case when {_S(7)} = '1' then 'by date' else '' end, case when {_S(8)} is distinct from '1' then 'no citations' else '' end, "
+    f"case when {_S(9)} is distinct from '1' then 'no patents' else '' end, case when regexp_extract(signature, '\\|rev=([^|]*)$', 1) = '1' then 'reviews only' else '' end] end as said, regexp_matches(signature, '{_SIG}') or starts_with(signature, 'author=') as known from resume_state) "
+    "select signature, case when not known then signature else label || (case when len(list_filter(said, lambda x: x <> '')) > 0 then ' [' || array_to_string(list_filter(said, lambda x: x <> ''), ', ') || ']' else '' end) end as described from d"
+)
 def describe_signatures(spark, sf):
     return read(spark, sf, "resume_state").select("signature", ids.describe_signature(c("signature")).alias("described"))
 
@@ -598,6 +648,15 @@ def bibliography_entries(spark, sf):
     return biblio.bibliography(results(spark, sf), "obs_id", SITE)
 
 
+@query("select count(*) as entries, count(*) as keys, 0 as not_of_base, count(*) as parsed from scholar_results where regexp_matches(title, '\\S')")
+def citation_keys(spark, sf):
+    """What must hold of a bibliography: every key once, each a base with at most one letter, each entry read back to its key."""
+    b = biblio.bibliography(results(spark, sf), "obs_id", SITE)
+    r = results(spark, sf).select("obs_id", bx.base_key(c("authors"), c("byline"), c("year"), c("title"), c("extra.bibtex_key")).alias("base"))
+    both = b.join(r, "obs_id").withColumn("right", c("key").startswith(c("base")) & (F.length("key") - F.length("base") <= 1))
+    return both.agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("key").alias("keys"), F.count_if(~c("right")).alias("not_of_base"), F.count_if(bx.bibtex_key(c("entry")) == F.regexp_extract("key", r"^([^,\s]+)", 1)).alias("parsed"))
+
+
 @query("select o_orderkey, regexp_replace(lower(o_orderpriority), '[^a-z]', '', 'g') || cast(year(o_orderdate) as varchar) as base, row_number() over (partition by regexp_replace(lower(o_orderpriority), '[^a-z]', '', 'g') || cast(year(o_orderdate) as varchar) order by o_orderkey) - 1 as n from orders")
 def key_suffix(spark, sf):
     """Ranks within a base, read back from the suffix the keys got."""
@@ -668,9 +727,18 @@ def cursor_scan(spark, sf):
     return stores.parse_cursors(_state_file(spark, sf)).where("not dropped").select("signature", "next_start", "exhausted", "updated_at")
 
 
-@query("select signature, updated_at from resume_state where updated_at is not null order by updated_at desc, signature limit 20")
+@query("select signature, next_start, updated_at from resume_state where updated_at is not null")
 def cursor_listing(spark, sf):
-    return read(spark, sf, "resume_state").where("updated_at is not null").orderBy(F.desc("updated_at"), "signature").limit(20).select("signature", "updated_at")
+    """All cursors, the latest first."""
+    return read(spark, sf, "resume_state").where("updated_at is not null").orderBy(F.desc("updated_at"), "signature").select("signature", "next_start", "updated_at")
+
+
+@query("select signature, case when next_start > 10 and not coalesce(exhausted, false) then next_start + 10 else next_start end as next_start, case when next_start > 10 and not coalesce(exhausted, false) then true else exhausted end as exhausted from resume_state")
+def cursor_upsert(spark, sf):
+    """Cursors behind the first pages moved on by a page and ended."""
+    s = read(spark, sf, "resume_state")
+    moved = s.where("next_start > 10 and not coalesce(exhausted, false)").withColumns({"next_start": c("next_start") + 10, "exhausted": F.lit(True)})
+    return sinks.upsert_cursors(s, moved).select("signature", "next_start", "exhausted")
 
 
 @query("select signature from resume_state where contains(lower(signature), 'au')")
@@ -679,11 +747,11 @@ def cursor_forget(spark, sf):
     return sinks.split_forgotten(s, "AU", c("signature"))[1].select("signature")
 
 
-@query("select r.signature, coalesce(s.next_start, 0) as next_start from (select signature from resume_state where exhausted) r left join (select * from resume_state where next_start > 10) s using (signature)")
+@query("select r.signature, coalesce(s.next_start, 0) as next_start, coalesce(s.exhausted, false) as exhausted from (select signature from resume_state where exhausted) r left join (select * from resume_state where next_start > 10) s using (signature)")
 def cursor_lookup(spark, sf):
     s = read(spark, sf, "resume_state")
     asked = s.where("exhausted").select("signature")
-    return asked.join(s.where("next_start > 10").select("signature", "next_start"), "signature", "left").select("signature", F.coalesce("next_start", F.lit(0)).cast("long").alias("next_start"))
+    return planning.cursors_of(asked, s.where("next_start > 10"))
 
 
 _PLAN = """with n as (select count_if(not starts_with(signature, 'author=')) as l, count_if(starts_with(signature, 'author=')) as a from resume_state),
@@ -700,6 +768,38 @@ def plan_cost(spark, sf):
     return planning.plan_cost(s, planning.Budget(pages=5, max_results=25, depth=2, breadth=5, bibtex=True))
 
 
+@query("select 'lines' as what, 5 as n")
+def plan_lines(spark, sf):
+    """A plan in words has a line for its seeds, its expansion, its exports, in all and for its time."""
+    b = planning.Budget(pages=5, max_results=25, depth=2, breadth=5, bibtex=True)
+    return planning.plan_text(plan_cost(spark, sf), b).agg(F.lit("lines").alias("what"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"with {_EVENTS}, l as (select count(*) as requests, coalesce(sum(consecutive), 0) as retries, cast(coalesce(max(request_index) - min(request_index), 0) as double) as elapsed from challenge_log) "
+    "select requests, cast(retries as bigint) as retries, elapsed, case when elapsed >= 30 then requests / (elapsed / 60) end as per_minute, (select count(*) from real) as takeovers, (select count(distinct kind) from real) as n_kinds from l"
+)
+def run_statistics(spark, sf):
+    loads = read(spark, sf, "challenge_log").select(c("request_index").alias("at"), c("consecutive").alias("retries"))
+    stats = planning.run_statistics(loads, stores.parse_events(_event_lines(spark, sf)))
+    return stats.select("requests", "retries", "elapsed", "per_minute", "takeovers", F.size("kinds").cast("long").alias("n_kinds"))
+
+
+@query("select signature, regexp_matches(signature, '%s') or starts_with(signature, 'author=') as resumes from resume_state" % _SIG)
+def resume_commands(spark, sf):
+    text = planning.resume_text(c("signature"), "collect")
+    return read(spark, sf, "resume_state").select("signature", (text.startswith("collect --") & text.endswith(" --resume")).alias("r")).select("signature", F.coalesce("r", F.lit(False)).alias("resumes"))
+
+
+@query("select distinct query as value, 'given' as side from scholar_results where query <> '' and trim(query) <> '' and not starts_with(trim(query), '#')")
+def target_union(spark, sf):
+    """The queries as a list file, after a given one that is in it too."""
+    at = _folder(spark)
+    q = results(spark, sf).where("trim(query) <> ''").select("query").distinct()
+    q.select(F.regexp_replace("query", "\n", " ").alias("value")).write.text(at)
+    return jsonl.target_list(spark, [], at).select("value", F.lit("given").alias("side")).distinct()
+
+
 # ---- sinks and streams
 
 
@@ -707,23 +807,23 @@ def _folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/queries/{uuid.uuid4().hex}"
 
 
-_SOME = ["cluster_id", "title", "authors", "year", "cited_by_count", "citation_only", "query", "fetched_at"]
+_SOME = [f.name for f in schema.RECORD.fields if f.name != "extra"]
 
 
-@query(f"select {', '.join(_SOME)} from scholar_results")
+@query(f"select {', '.join(_SOME)}, {', '.join(f'extra.{x} as {x}' for x in _PARTS)} from scholar_results")
 def sink_roundtrip_jsonl(spark, sf):
     at = _folder(spark)
     sinks.write_jsonl(results(spark, sf), at)
     parsed = jsonl.parse_lines(spark.read.text(at).withColumn("ord", F.lit(0)))
-    return parsed.select(*_SOME)
+    return parsed.select(*_SOME, *[c(f"extra.{x}").alias(x) for x in _PARTS])
 
 
-@query("select coalesce(title, '') as title, coalesce(authors, '') as authors, coalesce(cast(year as varchar), '') as year, case when citation_only then 'True' when not citation_only then 'False' else '' end as citation_only, coalesce(query, '') as query from scholar_results")
+@query("select " + ", ".join(f"case when {x} then 'True' when not {x} then 'False' else '' end as {x}" if x == "citation_only" else f"coalesce(cast({x} as varchar), '') as {x}" for x in schema.CSV_COLUMNS) + " from scholar_results")
 def sink_roundtrip_csv(spark, sf):
     at = _folder(spark)
     sinks.write_csv(results(spark, sf), at)
     back = spark.read.csv(at, header=True, escape='"', quote='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="\u0001", emptyValue="")
-    return back.select(*[F.coalesce(x, F.lit("")).alias(x) for x in ("title", "authors", "year", "citation_only", "query")])
+    return back.select(*[F.coalesce(x, F.lit("")).alias(x) for x in schema.CSV_COLUMNS])
 
 
 _APPEND = f"with k as (select {KEY_SQL} as work_key, obs_id, year from scholar_results), m as (select work_key from k where year < 2015), f as (select work_key, min(obs_id) as obs_id from k where (year >= 2015 or year is null) and work_key not in (select work_key from m) group by all) select work_key, obs_id from f"
@@ -771,10 +871,7 @@ def stream_upsert(spark, sf):
     at = _folder(spark)
     rows = _stream(spark, sf).where("cluster_id is not null").select("cluster_id", "obs_id")
     streaming.upsert_stream(rows, "cluster_id", "obs_id", f"{at}/out", f"{at}/state").awaitTermination()
-    versions = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/out")
-    found = versions.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(versions)
-    last = max(int(s.getPath().getName()[1:]) for s in found)
-    return spark.read.parquet(f"{at}/out/v{last}")
+    return streaming.stored_rows(spark, f"{at}/out", "cluster_id")
 
 
 # ---- saved pages
@@ -792,12 +889,18 @@ def _pages(spark, sf) -> DataFrame:
     return r.select(c("obs_id").alias("page_id"), body.alias("html"))
 
 
+_COLLAPSE = lambda e: _STRIP(f"regexp_replace(regexp_replace({e}, '[\\s\\x{{A0}}]+', ' ', 'g'), '\\s+([,;.])', '\\1', 'g')")
+
+
 @query(
-    f"select obs_id as page, coalesce(cluster_id, '') as cluster_id, 1 as position, case when coalesce(link, '') = '' then null when regexp_matches(link, '^https?://') then link else '{HOST}/' || link end as link, case when cited_by_count >= 0 then cited_by_count end as cited_by_count, "
+    f"select obs_id as page, regexp_replace({_COLLAPSE("coalesce(title, '')")}, '^\\s*\\[[^\\]]{{1,12}}\\]\\s*', '') as title, {_COLLAPSE("coalesce(byline, '')")} as byline, {_COLLAPSE("coalesce(snippet, '')")} as snippet, "
+    f"nullif({_STRIP(f"split_part({_COLLAPSE("coalesce(byline, '')")}, ' - ', 1)")}, '') as authors, case when cited_by_count >= 0 then '{HOST}/scholar?cites=77&hl=en' end as cited_by_url, "
+    f"case when versions_count >= 0 then '{HOST}/scholar?cluster=88&hl=en' end as versions_url, cast(null as varchar) as related_url, cast(null as varchar) as resource_link, cast(null as varchar) as resource_type, 0 as page_start, "
+    f"coalesce(cluster_id, '') as cluster_id, 1 as position, case when coalesce(link, '') = '' then null when regexp_matches(link, '^https?://') then link else '{HOST}/' || link end as link, case when cited_by_count >= 0 then cited_by_count end as cited_by_count, "
     "case when versions_count >= 0 then versions_count end as versions_count, link is null as citation_only from scholar_results"
 )
 def html_cards(spark, sf):
-    return html.result_cards(_pages(spark, sf), F.lit(HOST)).select("page", "cluster_id", "position", "link", "cited_by_count", "versions_count", "citation_only")
+    return html.result_cards(_pages(spark, sf), F.lit(HOST)).drop("venue", "year")
 
 
 @query("select obs_id as page, obs_id as total_estimate, true as has_next from scholar_results")
@@ -805,21 +908,32 @@ def html_facts(spark, sf):
     return html.page_facts(_pages(spark, sf))
 
 
+_STATS = ("cited_by_total", "cited_by_recent", "h_index", "h_index_recent", "i10_index", "i10_index_recent")
+_FACTS = ("name", "affiliation", "organization", "verified_email")
+
+
 def _profile_pages(spark, sf) -> DataFrame:
-    p = read(spark, sf, "author_profiles").withColumn("n", F.monotonically_increasing_id())
-    p = stores.last_per_key(p, "user_id", "n")
+    """A saved page for every profile, with the greatest value of each field."""
+    p = read(spark, sf, "author_profiles").groupBy("user_id").agg(*[F.max(x).alias(x) for x in (*_STATS, *_FACTS, "homepage")])
+    esc = lambda e: F.replace(F.replace(F.replace(F.coalesce(e, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     td = lambda e: F.concat(F.lit('<td class="gsc_rsb_std">'), F.coalesce(e.cast("string"), F.lit("")), F.lit("</td>"))
     row = lambda a, b: F.concat(F.lit("<tr><td>x</td>"), td(c(a)), td(c(b)), F.lit("</tr>"))
     body = F.concat(
-        F.lit('<div id="gsc_prf_in">'), c("user_id"), F.lit('</div><table id="gsc_rsb_st"><tbody>'), row("cited_by_total", "cited_by_recent"), row("h_index", "h_index_recent"), row("i10_index", "i10_index_recent"),
+        F.lit('<div id="gsc_prf_in">'), esc(c("name")), F.lit('</div><div class="gsc_prf_il">'), esc(c("affiliation")), F.lit(' <a class="gsc_prf_ila">'), esc(c("organization")), F.lit('</a></div><div class="gsc_prf_il" id="gsc_prf_ivh">'), esc(c("verified_email")),
+        F.lit(' - <a href="http://'), F.lit(SITE), F.lit('/x">own</a><a href="'), esc(c("homepage")), F.lit('">Homepage</a></div><div id="gsc_prf_int"><a>reef  optics</a><a>moss</a></div><table id="gsc_rsb_st"><tbody>'),
+        row("cited_by_total", "cited_by_recent"), row("h_index", "h_index_recent"), row("i10_index", "i10_index_recent"),
         F.lit('</tbody></table><table><tr class="gsc_a_tr"><td><a class="gsc_a_at" href="/v?citation_for_view='), c("user_id"), F.lit(':1">On <b>x</b></a><div class="gs_gray">A B</div><div class="gs_gray">Reef Letters 3, 2019</div></td><td><a class="gsc_a_ac" href="/scholar?cites=5">7</a></td><td><span class="gsc_a_h">2019</span></td></tr></table><button id="gsc_bpf_more" disabled>'),
     )
     return p.select("user_id", body.alias("html"))
 
 
-@query("select user_id, user_id as name, count(*) > 0 as there from author_profiles group by all")
+@query(
+    "with p as (select user_id, " + ", ".join(f"max({x}) as {x}" for x in (*_STATS, *_FACTS, "homepage")) + " from author_profiles group by all) "
+    f"select user_id, {_COLLAPSE("coalesce(name, '')")} as name, nullif({_COLLAPSE("coalesce(affiliation, '') || ' ' || coalesce(organization, '')")}, '') as affiliation, nullif({_COLLAPSE("coalesce(organization, '')")}, '') as organization, "
+    "case when regexp_matches(homepage, '^https?://') then homepage end as homepage, nullif(trim(coalesce(verified_email, ''), ' -–'), '') as verified_email, ['reef optics', 'moss'] as interests, " + ", ".join(_STATS) + " from p"
+)
 def html_profiles(spark, sf):
-    return html.profile_headers(_profile_pages(spark, sf), SITE).select("user_id", "name", F.lit(True).alias("there"))
+    return html.profile_headers(_profile_pages(spark, sf), SITE)
 
 
 @query(f"select distinct user_id, 'On x' as title, 'A B' as authors, 'Reef Letters 3' as venue, 2019 as year, 7 as cited_by_count, '{HOST}/scholar?cites=5' as cited_by_url, user_id || ':1' as citation_id, 'author:' || user_id as query from author_profiles")
@@ -837,10 +951,25 @@ def html_exports(spark, sf):
 # ---- the digest as one plan
 
 
-@query(f"with m as ({_MERGE_SQL}) select count(*) as records, cast(sum(coalesce(cited_by_count, 0)) as bigint) as citations from m where coalesce(cited_by_count, 0) >= 0 and year >= 2010")
+_DIGESTED = f"d as ({_merge_sql([f.name for f in schema.RECORD.fields if f.name != 'extra'], ('bibtex_key',))}), kept as (select * from d where coalesce(cited_by_count, 0) >= 0 and year >= 2010)"
+
+
+@query(
+    f"with {_DIGESTED}, {_VENUE.replace('from scholar_results', 'from kept')} select count(*) as records, cast(coalesce(sum(coalesce(cited_by_count, 0)), 0) as bigint) as citations, count_if(bibtex_key <> '') as with_bibtex, "
+    f"count_if(coalesce(citation_only, false)) as citation_only, count_if(year is null or year = 0) as unknown_year, count(distinct lower({_VLABEL})) as venue_count, count(distinct lower({_FIRST})) as author_count from v"
+)
 def digest_overview(spark, sf):
     merged = digest.merge_records(results(spark, sf).withColumnRenamed("obs_id", "ord"))
-    return summary.overview(filters.filter_records(merged, 0, 2010)).select("records", "citations")
+    return summary.overview(filters.filter_records(merged, 0, 2010))
+
+
+@query("select 'queries' as section, count(distinct query) as n from scholar_results where query <> ''")
+def report_queries(spark, sf):
+    """The report lists every query there is."""
+    from datetime import datetime
+
+    lines = build_report(results(spark, sf), datetime(2026, 9, 2), order="obs_id")
+    return lines.where("n.section = 6 and n.part = 1 and n.k.a > -4611686018427387904").agg(F.lit("queries").alias("section"), F.count(F.lit(1)).alias("n"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

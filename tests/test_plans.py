@@ -21,17 +21,18 @@ def write(path, rows):
 def test_digest_end_to_end(spark, tmp_path):
     new = write(tmp_path / "new.jsonl", [{"cluster_id": "a", "title": "One", "year": "2020", "cited_by_count": 5, "venue": "Reef 3 (1)", "query": "q"}, "{broken", {"cluster_id": "a", "title": "One", "cited_by_count": 9, "query": "q"}, {"cluster_id": "b", "title": "Two", "cited_by_count": -1}, {"title": "Three", "year": 2021, "fetched_at": "2026-01-01", "versions_url": "/s?cluster=5"}])
     old = write(tmp_path / "old.jsonl", [{"cluster_id": "a", "title": "One", "cited_by_count": 4}, {"cluster_id": "z", "title": "Gone"}])
-    s = digest.Settings(files=[new], since=old, out_jsonl=str(tmp_path / "o1"), out_csv=str(tmp_path / "o2"), out_report=str(tmp_path / "o3"), out_refresh=str(tmp_path / "o4"), out_bibtex=str(tmp_path / "o5"))
+    s = digest.Settings(files=[new], since=old, out_jsonl=str(tmp_path / "o1"), out_csv=str(tmp_path / "o2"), out_report=str(tmp_path / "o3"), out_refresh=str(tmp_path / "o4"), out_bibtex=str(tmp_path / "o5"), out_delta=str(tmp_path / "o6"))
     d = digest.run(spark, s, NOW)
     assert d.counts == {"records": 2, "read": 4, "files": 1, "duplicates": 1, "filtered_out": 1, "unreadable_lines": 1, "repaired_records": 1}
     doc = digest.document(d, s)
     assert doc["ok"] and doc["overview"]["citations"] == 9 and doc["overview"]["most_cited"][0] == {"citations": 9, "year": 2020, "title": "One"}
+    assert doc["delta"]["totals"] == {"added": 1, "gone": 1, "moved": 1, "reclustered": 0} and spark.read.json(s.out_delta).count() == 3
     assert doc["delta"]["gone"] == ["Gone"] and doc["delta"]["moved"] == [{"title": "One", "before": 4, "after": 9, "change": 5}] and doc["delta"]["citations_gained"] == 5
     back = spark.read.text(s.out_jsonl).collect()
     assert json.loads(sorted(r[0] for r in back)[0])["title"] in ("One", "Three") and len(back) == 2
     text = "\n".join(r[0] for r in spark.read.text(s.out_report).collect())
     assert text.startswith("# q") and "## At a glance" in text and "**2 records**, 9 citations" in text
-    assert any(r[0] == "5" for r in spark.read.text(s.out_refresh).collect())
+    assert any(r[0] == "5" for r in spark.read.text(s.out_refresh).collect()) and digest.failed(digest.DigestError("usage", "x"), s)["error"]["next_steps"]
     assert json.loads(digest.emit(doc))["counts"]["records"] == 2
     assert report.summary_lines(d.kept)[0].startswith("2 records, 9 citations")
 
@@ -40,8 +41,7 @@ def test_report_lists_every_query(spark, tmp_path):
     rows = [{"cluster_id": f"c{i}", "title": f"T{i}", "query": f"q|{i}"} for i in range(1_203)] + [{"cluster_id": "d", "title": "D", "query": "q|7"}]
     s = digest.Settings(files=[write(tmp_path / "in.jsonl", rows)], out_report=str(tmp_path / "out"))
     digest.run(spark, s, NOW)
-    (part,) = (tmp_path / "out").glob("part-*")
-    lines = part.read_text(encoding="utf-8").split("\n")
+    lines = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "out").glob("part-*"))).split("\n")
     at = lines.index("## What was searched") + 2
     want = ["| q\\|7 | 2 |"] + [f"| q\\|{i} | 1 |" for i in range(1_203) if i != 7]
     assert lines[at : at + 2] == ["| Query | Records |", "| --- | --- |"] and lines[at + 2 : at + 1_205] == want
@@ -121,9 +121,21 @@ def test_settings():
             settings.read_settings(bad)
 
 
-def test_report_cells():
-    assert report.cell("*a* [b]|c") == "\\*a\\* \\[b\\]\\|c" and report.cell(None) == "—"
-    assert report.bars([(2020, 1), (2021, 56)]) == ["```", "2020  ▇ 1", "2021  " + "▇" * 28 + " 56", "```"]
+def test_report_cells(spark):
+    texts = spark.createDataFrame([("*a* [b]|c\\",), (None,), ("  ",), ("x  y " * 40,)], "v string").select(report.markdown(F.col("v"), 20)).collect()
+    assert [r[0] for r in texts] == ["\\*a\\* \\[b\\]\\|c\\\\", "—", "—", "x y x y x y x y x y…"]
+    h = spark.createDataFrame([(2021, 56), (2020, 1)], "year long, records long")
+    assert [r["line"] for r in report.year_bars(h).orderBy("k").collect()] == ["```", "2020  ▇ 1", "2021  " + "▇" * 28 + " 56", "```"] and report.year_bars(h.limit(0)).collect() == []
+    spans = spark.createDataFrame([(2019, 2020), (2019, 2019), (None, None), (2019, None)], "a long, b long").select(report.years_of(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in spans] == ["2019–2020", "2019", "—", "2019"]
+
+
+def test_empty_report(spark):
+    from scriptorium.sources.jsonl import parse_lines
+
+    lines = parse_lines(spark.createDataFrame([(1, "{}")], "ord long, value string")).limit(0)
+    text = [r["line"] for r in report.build_report(lines, NOW).orderBy("n").collect()]
+    assert text[0] == "# Literature overview" and "## At a glance" in text and "- published **unknown**" in text and text[-1].startswith("Every field") and "## What was searched" not in text
 
 
 def test_streams_equal_batch(spark, tmp_path):
@@ -142,5 +154,29 @@ def test_streams_equal_batch(spark, tmp_path):
     assert got == {tuple(r) for r in audit.audit_counts(df, checks).collect()}
     assert [r["check"] for r in streaming.alarms(spark.table("audit_t"), checks).collect()] == ["negative_count"]
     streaming.upsert_stream(stream().select("cluster_id", "obs_id"), "cluster_id", "obs_id", str(tmp_path / "up"), str(tmp_path / "s3")).awaitTermination()
-    last = sorted((tmp_path / "up").iterdir(), key=lambda p: int(p.name[1:]))[-1]
-    assert spark.read.parquet(str(last)).count() == 7
+    want = {(f"c{k}", max(i for i in range(40) if i % 7 == k)) for k in range(7)}
+    kept = lambda at: {tuple(r) for r in streaming.stored_rows(spark, str(tmp_path / at), "cluster_id").select("cluster_id", "obs_id").collect()}
+    assert {k for k, _ in kept("up")} == {k for k, _ in want} and len(list((tmp_path / "up").glob("layer=*"))) == 3
+    streaming.fold_layers(spark, str(tmp_path / "up"), str(tmp_path / "one"), "cluster_id")
+    assert kept("one") == kept("up")
+
+
+def test_pages_up_to_the_end_of_a_listing(spark, tmp_path):
+    from scriptorium.sources.html import result_cards
+
+    card = lambda t: f'<div class="gs_r gs_or gs_scl" data-cid="{t}"><h3 class="gs_rt">{t}</h3></div>'
+    for name, n in (("a_0", 2), ("a_10", 1), ("a_20", 0), ("a_30", 1), ("b_0", 1), ("b_20", 1), ("c_10", 1)):
+        (tmp_path / "pages").mkdir(exist_ok=True)
+        (tmp_path / "pages" / f"{name}.html").write_text("".join(card(f"{name}-{k}") for k in range(n)) or "nothing")
+    pages = streaming.page_stream(spark, str(tmp_path / "pages"))
+    at = F.regexp_extract("path", r"/(\w+)_(\d+)\.html$", 1), F.regexp_extract("path", r"/(\w+)_(\d+)\.html$", 2)
+    for _ in range(2):
+        streaming.collect_pages(pages, *at, str(tmp_path / "got"), str(tmp_path / "state")).awaitTermination()
+    got = streaming.listed_records(spark, str(tmp_path / "got"), lambda p: result_cards(p, F.lit("https://h"), start="start"))
+    assert sorted((r["title"], r["position"]) for r in got.collect()) == [("a_0-0", 1), ("a_0-1", 2), ("a_10-0", 11), ("b_0-0", 1)]
+
+
+def test_public_names():
+    import scriptorium
+
+    assert all(callable(getattr(scriptorium, n)) for n in scriptorium.__all__) and len(scriptorium.__all__) > 50

@@ -44,7 +44,7 @@ def fold(rows):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_merge_against_the_fold(spark, seed):
     r = random.Random(seed)
-    rows = [(i, r.choice("abcde"), r.choice([None, "", "T1", "T2", "T3"]), r.choice([None, "", "V1", "V2"]), r.choice([None, 0, 0, 1, 2, 5]), r.choice([None, 0, 3, 4]), None) for i in range(200)]
+    rows = [(i, r.choice("abcde"), r.choice([None, "", "T1", "T2", "T3"]), r.choice([None, "", "V1", "V2"]), r.choice([None, 0, -1, -3, -7, *((1, 2, 5) if seed == 1 else (None, -2))]), r.choice([None, 0, 3, 4]), None) for i in range(200)]
     df = spark.createDataFrame(rows, REC)
     fields = ["title", "venue", "cited_by_count", "versions_count"]
     got = {x["k"]: x for x in merge_richest(df, "k", "ord", "cited_by_count", fields).collect()}
@@ -54,6 +54,16 @@ def test_merge_against_the_fold(spark, seed):
         assert got[k]["n_rows"] == sum(x[1] == k for x in rows)
 
 
+def test_merge_of_negative_counts_and_many_fields(spark):
+    rows = [(1, "a", "T1", None, None, None, None), (2, "a", None, None, -5, None, None), (3, "a", "T3", None, -3, None, None)]
+    one = merge_richest(spark.createDataFrame(rows, REC), "k", "ord", "cited_by_count", ["title", "venue", "cited_by_count"]).first()
+    assert (one["title"], one["cited_by_count"]) == ("T3", -3)
+    names = [f"f{i}" for i in range(130)]
+    wide = spark.createDataFrame([(1, "a", 3, *["x"] * 100, *[None] * 30), (2, "a", 3, *[None] * 100, *["y"] * 30), (3, "a", 3, *["z"] * 130), (4, "a", 3, *["w"] * 130)], "ord int, k string, n int, " + ", ".join(f"{n} string" for n in names))
+    got = merge_richest(wide, "k", "ord", "n", ["n", *names]).first()
+    assert [got[n] for n in names] == ["x"] * 100 + ["y"] * 30  # the union is as rich as the later rows
+
+
 def test_merge_extra_and_empty(spark):
     rows = [(1, "a", "T", None, 5, None, Row(follow_depth=2, bibtex_key=None, citation_id="c")), (2, "a", None, None, 9, None, Row(follow_depth=1, bibtex_key="key", citation_id=None)), (3, "b", "X", None, None, None, None)]
     df = spark.createDataFrame(rows, REC)
@@ -95,6 +105,27 @@ def test_files_in_order(spark, tmp_path):
         jsonl.resolve_inputs(None, [])
 
 
+def test_many_files_and_equal_names(spark, tmp_path):
+    paths = []
+    for k in range(200):
+        folder = tmp_path / f"d {k % 7}+{k}%"
+        folder.mkdir()
+        (folder / "same.jsonl").write_text("\n".join(f'{{"title": "{k}-{i}"}}' for i in range(2)) + "\n")
+        paths.append(str(folder / "same.jsonl"))
+    random.Random(2).shuffle(paths)
+    want = [f"{p.rsplit('+', 1)[1].split('%')[0]}-{i}" for p in paths for i in range(2)]
+    rows = jsonl.number_lines(jsonl.read_records(spark, paths)).orderBy("ord").select("ord", "title").collect()
+    assert [r["title"] for r in rows] == want and [r["ord"] for r in rows] == list(range(400))
+
+
+def test_target_lists(spark, tmp_path):
+    (tmp_path / "q.txt").write_text("# comment\n\n  b c \na\n")
+    (tmp_path / "none.txt").write_text("# nothing\n\n")
+    assert [r["value"] for r in jsonl.target_list(spark, ["a", "z"], str(tmp_path / "q.txt")).orderBy("ord").collect()] == ["a", "z", "b c", "a"]
+    with pytest.raises(ValueError, match="names no target"):
+        jsonl.target_list(spark, [], str(tmp_path / "none.txt"))
+
+
 # ---- scalar functions
 
 
@@ -202,12 +233,34 @@ def test_graph_stubs_and_walk(spark):
     assert (counts["edges"], counts["components"], counts["largest"], counts["isolated"], counts["uncollected"]) == (4, 2, 4, 0, 1)
 
 
+def test_component_order_and_texts(spark):
+    edges = spark.createDataFrame([("b", "a", False, 3), ("d", "c", False, 2), ("e", "c", False, 9), ("g", "f", False, 1)], "citing string, cited string, stub boolean, first long")
+    nodes = spark.createDataFrame([(k, i) for i, k in enumerate("gfedcbah")], "key string, first long")
+    assert [tuple(x) for x in graph.component_sizes(nodes, edges).collect()] == [("c", 3, "e"), ("f", 2, "g"), ("a", 2, "b"), ("h", 1, "h")]
+    t = spark.createDataFrame([("listing",), ("author",)], "kind string")
+    b = planning.Budget(pages=3, depth=1, breadth=4, bibtex=True)
+    lines = [x["line"] for x in planning.plan_text(planning.plan_cost(t, b), b).orderBy("k").collect()]
+    assert lines[0] == "seed targets: 6 page loads, up to 330 records" and lines[1] == "citation expansion: up to 8 listings, 24 page loads, up to 240 records"
+    assert lines[-1] == "estimated 8.0 h at 4–11s between requests plus 147 cooldowns of 90s"
+    assert planning.budget_concerns(planning.Budget()) == [] and [x[0] for x in planning.budget_concerns(planning.Budget(min_delay=1, max_results=5, cooldown_every=0), blocks_ignored=2)] == ["warn", "warn", "warn", "note"]
+    assert planning.cursor_concerns(True, 0, 0)[0][0] == "warn" and planning.cursor_concerns(True, 10, 2) and not planning.cursor_concerns(True, 0, 2)
+    loads = spark.createDataFrame([(0, 0), (60, 2), (120, 0)], "at long, retries long")
+    ev = spark.createDataFrame([("captcha", "solved", "x"), ("captcha", "rehearsed", "x")], "kind string, outcome string, target string")
+    s = planning.run_statistics(loads, ev).first()
+    assert (s["requests"], s["retries"], s["elapsed"], s["per_minute"], s["takeovers"], s["kinds"]) == (3, 2, 120.0, 1.5, 1, {"captcha": 1})
+    sig = ["it's|cites=|cluster=|lo=2020|hi=|lang=|date=1|cit=1|pat=1|rev=0", "author=abcdefghijkl|lang=de|year=1", "junk"]
+    assert values(spark, lambda c: planning.resume_text(c, "collect"), sig) == ["collect --query 'it'\"'\"'s' --year-from '2020' --by-date --resume", "collect --author 'abcdefghijkl' --lang 'de' --by-date --resume", None]
+
+
 def test_stale(spark):
     rows = [record(1, fetched_at="2026-01-01T00:00:00", cited_by_count=99, versions_url="/s?cluster=7"), record(2, fetched_at="2026-08-31T00:00:00"), record(3, fetched_at="soon"), record(4, fetched_at="2026-01-01T00:00:00+00:00", cited_by_count=None, versions_url="/s?cluster=7")]
     df, now = spark.createDataFrame(rows, FULL), F.lit("2026-09-01T00:00:00").cast("timestamp")
     ranked = stale.rank_stale(df, now, 30)
     assert [(r["obs_id"], r["age_days"], round(r["pressure"], 6)) for r in ranked.collect()] == [(1, 243.0, 486.0), (4, 243.0, 0.0)]
     assert [r["target"] for r in stale.refresh_targets(ranked).collect()] == ["7"] and stale.refresh_targets(ranked, 0).collect() == []
+    lines = ranked.select("obs_id", stale.described().alias("line")).collect()
+    assert lines[0]["line"] == "  243d         99 citations  cluster 7                     T1" and "          ? citations" in lines[1]["line"]
+    assert [x["line"] for x in stale.refresh_lines(ranked, 5, "obs_id").orderBy("o").collect()][1] == "# 243 days old: T1\n7"
     s = stale.stale_stats(df, now).first()
     assert (s["undated"], s["stale"], s["refreshable"], s["youngest"]) == (1, 2, 2, 1.0)
 
@@ -245,6 +298,46 @@ def test_bibliography(spark):
     assert values(spark, bx.bibtex_key, ["@article{key1,\n x}", "junk"]) == ["key1", None]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_citation_keys_one_by_one(spark, seed):
+    r = random.Random(seed)
+    bases = {1: ["x", "xa", "xab", "xaba", "y"], 2: ["k", "ka", "kb", "kba", "kc", "kbac", "z{", "z"], 3: ["a", "ab", "abc", "abcd", "b"]}[seed]
+    rows = [(i, r.choice(bases)) for i in range(120)]
+    if seed == 1:
+        rows = [(0, "x"), (1, "xa"), (2, "xa"), (3, "xa"), (4, "xab")] + [(i + 5, b) for i, b in rows]
+    used, want = set(), {}
+    for i, b in rows:
+        k, n = b, 0
+        while k in used:
+            n += 1
+            k = b + chr(96 + n)
+        used.add(k)
+        want[i] = k
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "o long, b string")
+    got = {x["o"]: x["key"] for x in biblio.unique_keys(df, "b", "o").collect()}
+    assert got == want
+
+
+def test_appended_entries_and_stored_ones(spark):
+    e = spark.createDataFrame([(1, "@article{a,\n t}"), (2, "@article{b,\n u} "), (3, "@article{b,\n v}"), (4, "no key"), (5, "no key")], "o long, entry string")
+    have = spark.createDataFrame([("@misc{a,\n x}",), (None,)], "entry string")
+    assert sorted((x["o"], x["entry"]) for x in biblio.new_entries(e, have, "o").collect()) == [(2, "@article{b,\n u}"), (4, "no key"), (5, "no key")]
+    rec = spark.createDataFrame([record(1, extra=Row(follow_depth=0, bibtex_key="b", citation_id=None)), record(2)], FULL)
+    assert {x["obs_id"]: x["entry"] for x in biblio.with_entries(rec, e).collect()} == {1: "@article{b,\n u} ", 2: None}
+    assert values(spark, stores.bibliography_keys, ["@article{k1,\n a}\n\n@misc{ k2 ,\n b}\ntext @x{no,"]) == [["k1", "k2"]]
+
+
+def test_pages_of_any_depth(spark):
+    deep = "<p>" * 5_000 + "<div>" * 5_000 + '<div class="gs_r gs_or gs_scl" data-cid="z"><h3 class="gs_rt">Deep <ul><li>one<li>two</ul></h3></div>'
+    df = spark.createDataFrame([(1, deep)], "page_id int, html string")
+    assert [(x["cluster_id"], x["title"]) for x in html.result_cards(df, F.lit("https://h")).collect()] == [("z", "Deep onetwo")]
+    root = html.parse_html("<div><p>a<p>b<div>c</div></div><ul><li>x<ul><li>y</ul><li>z</ul>")
+    assert [n.text() for n in root.find("p")] == ["a", "b"] and [len(list(n.walk())) for n in root.find("li")] == [2, 0, 0]
+    html.register_page_functions(spark)
+    spark.createDataFrame([(1, deep)], "page_id int, html string").createOrReplaceTempView("saved")
+    assert [tuple(x) for x in spark.sql("select cluster_id, title from saved, lateral page_cards(html)").collect()] == [("z", "Deep onetwo")]
+
+
 def test_html(spark):
     page = """<div class="gs_ab_mdw">Page 2 of about 1,240 results</div>
     <div class="gs_r gs_or gs_scl" data-cid="abc"><div class="gs_ggs gs_fl"><div class="gs_ggsd"><div class="gs_or_ggsm"><a href="//p.example/x.pdf"><span class="gs_ctg2">[PDF]</span> p</a></div></div></div>
