@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..queries import AT_SQL
 from ..session import materialize
 from .leaks import leaks, without_leaks
 from .packing import CAPACITY, pack_documents, packing_report, token_sizes
 from .resolution import entities, variant_pairs
 from .spam import spam_pages
-from .survivorship import disputed_survivors, survivor_records
+from .survivorship import DAMAGE, REPAIRABLE, SLACK, disputed_survivors, survivor_records
 from .topn import top_n
 from .truncation import cut_values, host, truncation_report
 from .venues import map_venues, venue_candidates
@@ -89,7 +90,7 @@ def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
     sizes = token_sizes(read(spark, sf, "documents")).groupBy("doc_id").agg(F.sum("size").alias("tokens"))
     used = packed.where("container is not null").groupBy("container").agg(F.sum("size").alias("used"))
     full = used.agg(F.count_if(F.col("used") > CAPACITY).alias("overfull"), (F.coalesce(F.max("container") + 1, F.lit(0)) - F.count(F.lit(1))).alias("left_out"))
-    per = packed.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.count_if("size > 0 and container is null").alias("loose"), F.count_if(F.col("start") != F.col("piece") * CAPACITY).alias("shifted"))
+    per = packed.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.count_if(F.expr("size > 0 and container is null")).alias("loose"), F.count_if(F.col("start") != F.col("piece") * CAPACITY).alias("shifted"))
     both = sizes.join(per, "doc_id", "full_outer")
     right = (F.col("n") == F.col("last") + 1) & (F.col("n") == F.greatest(F.ceil(F.col("tokens") / CAPACITY), F.lit(1))) & (F.col("shifted") == 0)
     docs = both.agg(
@@ -132,7 +133,26 @@ QUERIES = {
     )
 }
 
+
+
+def _survivor_sql() -> str:
+    """The survivors field by field: the best usable row of a cluster, then the smallest row that holds its value."""
+    damage, repairable = DAMAGE.replace("'", "''"), REPAIRABLE.replace("'", "''")
+    mended = f"regexp_replace(regexp_replace(title, '{repairable}', '', 'g'), '&#?\\w{{1,8}};|â€.|Ã.|\\s+', '_', 'g')"
+    shouting = "(title = upper(title) and title <> lower(title) and length(title) > 8)"
+    rules = [("title", f"regexp_matches(title, '\\S') and not regexp_matches(title, '{damage}') and not {shouting}", "length(title)")]
+    rules += [(f, f"regexp_matches(cast({f} as varchar), '\\S')", "case when coalesce(citation_only, false) then 0 else 1 end") for f in ("link", "year")]
+    rules += [(f, f"{f} >= 0 and at_s is not null", "0") for f in ("cited_by_count", "versions_count")]
+    one = lambda f, usable, prior: (
+        f"select r.cluster_id, '{f}' as field, min(case when r.{f} = b.v then r.obs_id end) as obs_id from r join (select cluster_id, {f} as v from r where {usable} "
+        f"qualify row_number() over (partition by cluster_id order by {prior} desc, at_s desc nulls last, {f} desc) = 1) b using (cluster_id) group by r.cluster_id "
+        f"having count(distinct r.{f}) + max(case when r.{f} is null then 1 else 0 end) > 1" + (f" and coalesce(max(length({mended}) - {SLACK}), 0) <= length(any_value(b.v))" if f == "title" else "")
+    )
+    return f"with r as (select *, {AT_SQL} as at_s from scholar_results where cluster_id is not null) " + " union all ".join(one(*x) for x in rules)
+
+
 ORACLES = {
+    "p3_found": _survivor_sql(),
     "p8_checks": "select count(distinct doc_id) as documents, 0 as missing, 0 as wrong_pieces, 0 as loose, 0 as tokens_lost, 0 as overfull, 0 as left_out from documents",
     "p5_found": """
 with s as (select query, cluster_id, max(cited_by_count) as c from scholar_results

@@ -22,7 +22,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import count
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 #: Bound of the training sample, in pages of each label (spam, none, silent); trees, their depth, segments of a leaf, spam segments of a bag.
-SAMPLE_PAGES, TREES, DEPTH, LEAF, BAG = 2_000, 12, 7, 8, 1_500
+SAMPLE_PAGES, TREES, DEPTH, LEAF, BAG = 1_000, 12, 7, 8, 1_500
 #: Share of the text that makes a page spam; by how much a host of nothing but spam lowers the score of a spam segment; pages of prior.
 SHARE, HOST_WEIGHT, PRIOR = 0.7, 0.15, 20.0
 #: Scores at which a page's share is kept: the middle, as far as hosts can shift it, in steps of STEP.
@@ -152,37 +152,52 @@ def page_features(texts: list[str], odds: dict[str, float]) -> tuple[np.ndarray,
     return page_of, length, x
 
 
-@dataclass
 class Facts:
-    """What the rules look at in a page."""
-
-    words: list[str]
-    common: float
-    echo: float
-    links: float
-    dated: float
-    tags: float
-    codes: float
-    variety: float
-    lines: int
-
-
-def facts(text: str) -> Facts:
-    words = WORD.findall(text.lower())
-    n = max(1, len(words))
-    lines = [x for x in text.split("\n") if x.strip()]
-    some = max(1, len(lines))
-    return Facts(
-        words,
-        sum(w in COMMON for w in words) / n,
-        sum(c for c in Counter(zip(words, words[1:])).values() if c > 2) / n,
-        sum(len(m) for m in LINK.findall(text)) / max(1, len(text)),
-        sum(YEAR.search(x) is not None for x in lines) / some,
-        text.count("#") / n,
-        sum(CODE.fullmatch(w) is not None for w in words) / some,
-        len(set(words)) / n,
-        len(lines),
-    )
+    """What the rules look at in a page, each worked out when a rule asks for it."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, WORD.findall(text.lower())
+        self.n = max(1, len(self.words))
+
+    @cached_property
+    def common(self) -> float:
+        return sum(w in COMMON for w in self.words) / self.n
+
+    @cached_property
+    def echo(self) -> float:
+        return sum(c for c in Counter(zip(self.words, self.words[1:])).values() if c > 2) / self.n
+
+    @cached_property
+    def links(self) -> float:
+        some = any(x in self.text for x in ("](", "<a", "<A", "://", "www.", "WWW."))
+        return sum(len(m) for m in LINK.findall(self.text)) / max(1, len(self.text)) if some else 0.0
+
+    @cached_property
+    def full(self) -> list[str]:
+        return [x for x in self.text.split("\n") if x.strip()]
+
+    @cached_property
+    def lines(self) -> int:
+        return len(self.full)
+
+    @cached_property
+    def dated(self) -> float:
+        return sum(YEAR.search(x) is not None for x in self.full) / max(1, self.lines)
+
+    @cached_property
+    def tags(self) -> float:
+        return self.text.count("#") / self.n
+
+    @cached_property
+    def codes(self) -> float:
+        return sum(CODE.fullmatch(w) is not None for w in self.words) / max(1, self.lines)
+
+    @cached_property
+    def variety(self) -> float:
+        return len(set(self.words)) / self.n
+
+
+facts = Facts
 
 
 def weak_label(f: Facts, odds: dict[str, float] | None = None) -> int | None:
@@ -194,24 +209,20 @@ def weak_label(f: Facts, odds: dict[str, float] | None = None) -> int | None:
     n = len(f.words)
     if n < 12:
         return None
-    if f.tags > 0.35 and f.common < 0.05:
-        return 1
-    if f.links > 0.85 and f.common < 0.05 and f.dated < 0.3:
-        return 1
-    if f.echo > 0.55 and f.common < 0.14 and f.dated < 0.2:
+    if f.common < 0.05 and (f.tags > 0.35 or (f.links > 0.85 and f.dated < 0.3) or (f.codes > 0.8 and f.dated < 0.3)):
         return 1
-    if f.codes > 0.8 and f.common < 0.05 and f.dated < 0.3:
+    if f.common < 0.14 and f.echo > 0.55 and f.dated < 0.2:
         return 1
     if f.common < 0.035 and f.variety < 0.45 and n > 40 and f.dated < 0.2:
         return 1
     telling = sum(odds.get(w, 0.0) > TELLING for w in f.words) / n if odds else 0.0
     if telling > 0.3 and f.echo > 0.15 and f.dated < 0.3:
         return 1
-    if f.dated > 0.6 and f.lines > 3 and f.echo < 0.4 and not f.tags:
+    if not f.tags and f.lines > 3 and f.dated > 0.6 and f.echo < 0.4:
         return 0
     if telling > 0.1:
         return None
-    return 0 if f.common > 0.15 and f.echo < 0.25 and f.links < 0.1 and not f.tags else None
+    return 0 if f.common > 0.15 and not f.tags and f.links < 0.1 and f.echo < 0.25 else None
 
 
 @dataclass
