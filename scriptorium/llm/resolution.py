@@ -141,10 +141,11 @@ def relatives(tokens: DataFrame) -> DataFrame:
                     d += [float(gap)] * 2
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(d, pa.float64())], names=["a", "b", "d"])
 
-    # A word meets its own signs and those of which it is a beginning; two beginnings say nothing.
+    # A word meets those with its own signs, and those it is a beginning of; two beginnings never meet, so a letter calls nobody together.
     signed = spread(names).mapInArrow(sign, "sign string, token string, own boolean").select(F.xxhash64("sign").alias("sign"), "token", "own")
-    a, b = signed.select("sign", F.col("token").alias("a"), F.col("own").alias("oa")), signed.select("sign", F.col("token").alias("b"), F.col("own").alias("ob"))
-    pairs = a.join(b.hint("merge"), "sign").where("a < b and (oa or ob)").select("a", "b").distinct()  # merge: the signs look small to the planner
+    a, b = signed.where("own").select("sign", F.col("token").alias("a")), signed.select("sign", F.col("token").alias("b"), "own")
+    met = a.join(b.hint("merge"), "sign").where("a < b or (a > b and not own)")  # merge: the signs look small to the planner
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = pairs.mapInArrow(verify, "a string, b string, d double")
     return found.unionByName(names.select(F.col("token").alias("a"), F.col("token").alias("b"), F.lit(0.0).alias("d")))
 
