@@ -115,27 +115,33 @@ def _href(n: Node | None) -> str | None:
 FOOTER = (("cited", "cites=", "cluster="), ("versions", "cluster=", ""), ("related", "related:", ""))
 
 
+#: Texts of a card, of a row of a profile and of its head by the tag, class and id that mark them.
+CARD_TEXTS = {"byline": ("div", "gs_a", None), "snippet": ("div", "gs_rs", None)}
+ROW_TEXTS = {"year": ("span", "gsc_a_h", None), "cites": ("a", "gsc_a_ac", None)}
+HEAD_TEXTS = {"name": (None, "", "gsc_prf_in"), "organization": ("a", "gsc_prf_ila", None)}
+
+
+def _texts(root: Node, marks: dict[str, tuple[str | None, str, str | None]]) -> dict[str, str | None]:
+    """The text of the first element with each mark, null where there is none."""
+    found = {name: root.first(*mark) for name, mark in marks.items()}
+    return {name: None if n is None else n.text() for name, n in found.items()}
+
+
 def _cards(root: Node) -> list[dict]:
     out = []
     for k, card in enumerate(root.find("div", "gs_r gs_or gs_scl")):
         heading = card.first("h3", "gs_rt")
         if heading is None:
             continue
+        links = list(card.find("a", href=True))
+        foot = {kind: a for a in links if a.inside("gs_fl") for kind, has, lacks in FOOTER if has in a.attrs["href"] and not (lacks and lacks in a.attrs["href"])}
+        side = next((a for a in links if a.inside("gs_or_ggsm") or a.inside("gs_ggsd")), None)
+        badge = None if side is None else side.first("span", "gs_ctg2")
         anchor = heading.first("a", href=True)
-        byline, snippet = card.first("div", "gs_a"), card.first("div", "gs_rs")
-        foot = {}
-        for a in card.find("a", href=True):
-            if a.inside("gs_fl"):
-                foot |= {kind: a for kind, has, lacks in FOOTER if has in a.attrs["href"] and not (lacks and lacks in a.attrs["href"])}
-        side = next((a for a in card.find("a", href=True) if a.inside("gs_or_ggsm") or a.inside("gs_ggsd")), None)
-        label = side.first("span", "gs_ctg2") if side is not None else None
-        out.append(
-            {
-                "index": k, "cluster_id": card.attrs.get("data-cid"), "title": (anchor or heading).text(), "link": _href(anchor), "resource_link": _href(side),
-                "resource_type": label.text().strip().strip("[]") if label is not None else None, "byline": byline.text() if byline is not None else "", "snippet": snippet.text() if snippet is not None else "",
-                **{f"{kind}_href": _href(foot.get(kind)) for kind, _, _ in FOOTER}, **{f"{kind}_text": foot[kind].text() if kind in foot else None for kind in ("cited", "versions")},
-            }
-        )
+        said = {name: text or "" for name, text in _texts(card, CARD_TEXTS).items()}
+        linked = {f"{kind}_href": _href(foot.get(kind)) for kind, _, _ in FOOTER} | {f"{kind}_text": foot[kind].text() if kind in foot else None for kind in ("cited", "versions")}
+        own = {"index": k, "cluster_id": card.attrs.get("data-cid"), "title": (anchor or heading).text(), "link": _href(anchor), "resource_link": _href(side), "resource_type": None if badge is None else badge.text().strip().strip("[]")}
+        out.append(own | said | linked)
     return out
 
 
@@ -147,39 +153,23 @@ HEADER = "struct<name:string,affiliation:string,organization:string,homepage:str
 def _rows(root: Node) -> list[dict]:
     out = []
     for k, row in enumerate(root.find("tr", "gsc_a_tr")):
-        title = row.first("a", "gsc_a_at")
-        if title is None:
-            continue
-        gray, cites, year = list(row.find("div", "gs_gray")), row.first("a", "gsc_a_ac"), row.first("span", "gsc_a_h")
-        out.append(
-            {
-                "index": k, "title": title.text(), "href": title.attrs.get("href", ""), "authors": gray[0].text() if gray else None, "venue": gray[1].text() if len(gray) > 1 else None,
-                "year": year.text() if year is not None else "", "cites": cites.text() if cites is not None else None, "cites_href": _href(cites),
-            }
-        )
+        title, gray = row.first("a", "gsc_a_at"), [n.text() for n in row.find("div", "gs_gray")]
+        if title is not None:
+            said = _texts(row, ROW_TEXTS)
+            out.append({"index": k, "title": title.text(), "href": title.attrs.get("href", ""), "authors": (gray + [None])[0], "venue": (gray + [None, None])[1], "year": said["year"] or "", "cites": said["cites"], "cites_href": _href(row.first("a", "gsc_a_ac"))})
     return out
 
 
 def _header(root: Node, own_host: str) -> dict:
-    name = root.first(ident="gsc_prf_in")
-    line = next((n for n in root.find("div", "gsc_prf_il") if not n.attrs.get("id")), None)
-    org = line.first("a", "gsc_prf_ila") if line is not None else None
-    mail = root.first(ident="gsc_prf_ivh")
-    home = direct = None
-    if mail is not None:
-        home = next((h for a in mail.find("a", href=True) if (h := a.attrs["href"]).startswith(("http://", "https://")) and own_host not in h), None)
-        direct = " ".join("".join(k for k in mail.kids if isinstance(k, str)).split()).strip(" -–") or None
-    interests = root.first(ident="gsc_prf_int")
-    table = root.first(ident="gsc_rsb_st")
-    stats = []
-    if table is not None:
-        for tr in table.find("tr"):
-            cells = [td.text() for td in tr.find("td", "gsc_rsb_std")]
-            if any(n.tag == "td" for n in tr.walk()):
-                stats.append(cells[:2])
+    lines = [n for n in root.find("div", "gsc_prf_il") if not n.attrs.get("id")]  # the first is the affiliation, the organisation a link in it
+    said = _texts(root, {"name": HEAD_TEXTS["name"]}) | (_texts(lines[0], {"organization": HEAD_TEXTS["organization"]}) if lines else {"organization": None})
+    contact, tags, table = (root.first(ident=i) for i in ("gsc_prf_ivh", "gsc_prf_int", "gsc_rsb_st"))
+    away = [h for a in (contact.find("a", href=True) if contact else ()) if (h := a.attrs["href"]).startswith(("http://", "https://")) and own_host not in h]
+    bare = " ".join("".join(k for k in contact.kids if isinstance(k, str)).split()).strip(" -–") if contact else ""
+    filled = [tr for tr in (table.find("tr") if table else ()) if tr.first("td") is not None]
     return {
-        "name": name.text() if name is not None else "", "affiliation": line.text() if line is not None else None, "organization": org.text() if org is not None else None,
-        "homepage": home, "verified_email": direct, "interests": [a.text() for a in interests.find("a")] if interests is not None else [], "stats": stats,
+        "name": said["name"] or "", "affiliation": lines[0].text() if lines else None, "organization": said["organization"], "homepage": (away + [None])[0], "verified_email": bare or None,
+        "interests": [a.text() for a in tags.find("a")] if tags else [], "stats": [[td.text() for td in tr.find("td", "gsc_rsb_std")][:2] for tr in filled],
     }
 
 
