@@ -12,6 +12,10 @@ from .venues import entry_type, split_venue, venue_field
 STOPWORDS = ("a", "an", "the", "on", "of", "in", "for", "and", "to", "with", "from", "by", "at", "is", "are")
 ESCAPES = (("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("^", r"\textasciicircum{}"), ("~", r"\textasciitilde{}"))
 
+#: Letters behind a base run from ``a`` to the last character, past the numbers kept for halves of pairs, which are no characters.
+FIRST, LAST, HALVES, PAIRS = ord("a"), 0x10FFFF, 0xD800, 0xE000
+LETTERS = LAST - FIRST + 1 - (PAIRS - HALVES)
+
 
 def escape(c: Column) -> Column:
     """Safe inside a braced field: braces to parentheses, backslash to slash, then the escapes."""
@@ -26,6 +30,27 @@ def bibtex_key(entry: Column) -> Column:
     return filled(F.regexp_extract(entry, r"@\w+\s*\{\s*([^,\s]+)\s*,", 1))
 
 
+def letter_number(c: Column) -> Column:
+    """Number of the first character of a text, 1 for ``a``; below 1 for what stands before it."""
+    at = F.ascii(c).cast("long")
+    return at - FIRST + 1 - F.when(at >= PAIRS, PAIRS - HALVES).otherwise(0)
+
+
+def key_suffix(n: Column) -> Column:
+    """What stands behind a base: nothing for 0, then one letter after another; after the last letter they begin anew behind it."""
+    k = n.cast("long") - 1
+    at = k % LETTERS + FIRST
+    at = at + F.when(at >= HALVES, PAIRS - HALVES).otherwise(0)
+    pair = F.concat(F.hex(F.shiftright(at - 0x10000, 10) + HALVES), F.hex((at - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+    letter = F.decode(F.unhex(F.when(at < 0x10000, F.lpad(F.hex(at), 4, "0")).otherwise(pair)), "utf-16be")
+    return F.when(n == 0, "").otherwise(F.concat(F.repeat(F.lit(chr(LAST)), F.floor(k / LETTERS).cast("int")), letter))
+
+
+def suffix_number(suffix: Column) -> Column:
+    """The number that :func:`key_suffix` made it of."""
+    return F.when(suffix == "", F.lit(0).cast("long")).otherwise((F.length(suffix) - 1).cast("long") * LETTERS + letter_number(F.right(suffix, F.lit(1))))
+
+
 def parse_bibtex(body: Column) -> Column:
     """The entry in an export (rendered page or raw), from its ``@``; null if there is none."""
     page = F.lower(body).contains("<pre") | F.lower(body).contains("<html")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.biblio import authors_cut, base_key, bibtex_key, entry
+from ..functions.biblio import authors_cut, base_key, bibtex_key, entry, key_suffix, letter_number
 from ..functions.text import filled
 from ..session import materialize
 from ..sources.stores import first_per_key
@@ -23,6 +23,8 @@ def unique_keys(df: DataFrame, base: str, order: str, key: str = "key") -> DataF
     such chains on: whether its bare key is gone, and which letters it must pass over.
     That needs the place of a few rows of each (as many as the base has
     longer neighbours, twice), never the rows of a base together.
+    A base of more rows than there are letters (1,111,967) gets further ones behind the last
+    character, U+10FFFF, with which no base is taken to end.
     """
     rows = df.withColumn("__slice", F.floor(F.col(order) / SUFFIX_SLICE).cast("long"))
     per = rows.groupBy(base, "__slice").agg(F.count(F.lit(1)).alias("__c"))
@@ -35,8 +37,7 @@ def unique_keys(df: DataFrame, base: str, order: str, key: str = "key") -> DataF
     rows = rows.join(rules, base, "left")
     start = F.col("__n") + F.coalesce("__gone", F.lit(0))
     n = F.aggregate(F.coalesce("__passed", F.array().cast("array<long>")), start, lambda n, passed: F.when(n >= passed, n + 1).otherwise(n))
-    letter = F.decode(F.unhex(F.lpad(F.hex(F.lit(96) + F.col("__letter")), 4, "0")), "utf-16be")
-    rows = rows.withColumn("__letter", n).withColumn(key, F.when(F.col("__letter") == 0, F.col(base)).otherwise(F.concat(F.col(base), letter)))
+    rows = rows.withColumn("__letter", n).withColumn(key, F.concat(F.col(base), key_suffix(F.col("__letter"))))
     return rows.drop("__n", "__gone", "__passed", "__letter")
 
 
@@ -44,8 +45,8 @@ def _meeting_rules(rows: DataFrame, base: str, order: str) -> DataFrame:
     """``base``, ``__gone`` (1 if its bare key goes to a shorter base) and ``__passed`` (numbers of the letters that go to
     longer ones, ascending) of the bases that meet others; ``rows`` have their rank in ``__n``."""
     names = rows.groupBy(F.col(base).alias("base")).agg(F.min(order).alias("first"))
-    letter = F.ascii(F.right("base", F.lit(1))) - 96
-    longer = names.where((letter >= 1) & (F.length("base") > 1)).select("base", "first", letter.cast("long").alias("letter"), F.expr("substring(base, 1, length(base) - 1)").alias("stem"))
+    letter = letter_number(F.right("base", F.lit(1)))
+    longer = names.where((letter >= 1) & (F.length("base") > 1)).select("base", "first", letter.alias("letter"), F.expr("substring(base, 1, length(base) - 1)").alias("stem"))
     pairs = materialize(longer.join(names.select(F.col("base").alias("stem")), "stem"))  # read four times
     # The root of a chain: the shortest beginning of which every longer one is a base too.
     size = F.length("base")

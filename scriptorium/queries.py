@@ -663,7 +663,7 @@ def key_suffix(spark, sf):
     o = read(spark, sf, "orders").select("o_orderkey", F.concat(F.regexp_replace(F.lower("o_orderpriority"), "[^a-z]", ""), F.year("o_orderdate").cast("string")).alias("base"))
     k = biblio.unique_keys(o, "base", "o_orderkey")
     tail = F.expr("substring(key, length(base) + 1)")
-    return k.select("o_orderkey", "base", F.when(tail == "", 0).otherwise(F.conv(F.hex(F.encode(tail, "utf-16be")), 16, 10).cast("long") - 96).cast("long").alias("n"))
+    return k.select("o_orderkey", "base", bx.suffix_number(tail).alias("n"))
 
 
 # ---- event log, cursors, planning

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from scriptorium import queries
 from scriptorium.functions import biblio as bx
 from scriptorium.functions import ids, urls
 from scriptorium.functions import text as tx
@@ -318,6 +319,41 @@ def test_citation_keys_one_by_one(spark, seed):
     assert got == want
 
 
+def test_citation_keys_of_many_rows(spark):
+    """More rows of a base than letters before the halves of pairs (55,199), and more than fit two bytes (63,391); bases that want letters there."""
+    letters = [chr(i) for i in range(97, 0x110000) if not 0xD800 <= i <= 0xDFFF]
+    bases = ["x\ud7ff", "x\ue000", "x\ue002", "x\ufeff", "x\uffff", "x\U00010000", "x\U0001f600"]
+    rows = [(i, "x") for i in range(70_000)]
+    rows += [(100_000 + i, b) for i, b in enumerate(bases[1::2])] + [(-9 + i, b) for i, b in enumerate(bases[::2])]
+    used, at, want = set(), {}, {}
+    for i, b in sorted(rows):
+        k = b
+        while k in used:
+            at[b] = at.get(b, -1) + 1
+            k = b + letters[at[b]]
+        used.add(k)
+        want[i] = k
+    df = spark.createDataFrame(rows, "o long, b string")
+    got = {x["o"]: x["key"] for x in biblio.unique_keys(df, "b", "o").collect()}
+    assert got == want and want[55_200] == "x\ue001" and "x\U00010001" in used
+
+
+def test_key_suffix_of_every_number(spark):
+    n = spark.range(0, 2 * bx.LETTERS + 3).select("id", bx.key_suffix(F.col("id")).alias("s"))
+    assert n.where(bx.suffix_number(F.col("s")) != F.col("id")).count() == 0 and n.agg(F.count_distinct("s")).first()[0] == 2 * bx.LETTERS + 3
+    last = chr(0x10FFFF)
+    some = {0: "", 1: "a", 55_199: "\ud7ff", 55_200: "\ue000", bx.LETTERS: last, bx.LETTERS + 1: last + "a", 2 * bx.LETTERS + 1: 2 * last + "a"}
+    assert {r["id"]: r["s"] for r in n.where(F.col("id").isin(*some)).collect()} == some
+
+
+def test_key_suffix_query_of_many_rows(spark, tmp_path):
+    """60,000 orders of one base: their ranks, as the SQL of the query has them."""
+    o = spark.range(60_000).select(F.col("id").alias("o_orderkey"), F.lit("1-URGENT").alias("o_orderpriority"), F.lit("1995-01-01 00:00:00").cast("timestamp").alias("o_orderdate"))
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.QUERIES["key_suffix"](spark, str(tmp_path))
+    assert got.count() == 60_000 and got.where("base <> 'urgent1995' or n <> o_orderkey").count() == 0
+
+
 def test_appended_entries_and_stored_ones(spark):
     e = spark.createDataFrame([(1, "@article{a,\n t}"), (2, "@article{b,\n u} "), (3, "@article{b,\n v}"), (4, "no key"), (5, "no key")], "o long, entry string")
     have = spark.createDataFrame([("@misc{a,\n x}",), (None,)], "entry string")
